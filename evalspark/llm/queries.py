@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import table
 from evalspark.llm.fingerprint import fingerprint_edits
+from evalspark.llm.html_text import extract_pages
+from evalspark.llm.packing import pack
+from evalspark.llm.quality import fit_quality, score_quality
 from evalspark.llm.sharding import histogram_shards
+from evalspark.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op1_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +29,18 @@ def op1_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def id_fold(column: str, folds: int, fold: int) -> Column:
+    """Whether CRC-32 of the id as text leaves the remainder ``fold``; false for null ids."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def op2_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_fold("doc_id", 3, 1)
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), held_out)
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint_edits(table(spark, sf_dir, "documents"))
     return out.select(
@@ -39,10 +55,48 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_tag_ratio_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_fold("doc_id", 5, 0)
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), held_out)
+    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        F.col("sequence").alias("sequence_id"),
+        "offset",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_histogram_sort_shards": op1_histogram_sort_shards,
+        "op2_byte_cnn_quality": op2_byte_cnn_quality,
         "op3_merkle_fingerprints": op3_merkle_fingerprints,
+        "op5_tag_ratio_html": op5_tag_ratio_html,
+        "op7_ngram_toxicity": op7_ngram_toxicity,
+        "op9_bounded_space_packing": op9_bounded_space_packing,
     }
 
 
