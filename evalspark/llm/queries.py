@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import table
+from evalspark.llm.embedding_dup import vector_links
 from evalspark.llm.fingerprint import fingerprint_edits
 from evalspark.llm.html_text import extract_pages
+from evalspark.llm.near_dup import near_duplicates
 from evalspark.llm.packing import pack
 from evalspark.llm.quality import fit_quality, score_quality
 from evalspark.llm.sharding import histogram_shards
@@ -67,10 +69,18 @@ def op7_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_order_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "kept")
+
+
 def op9_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op10_rotated_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -96,7 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_merkle_fingerprints": op3_merkle_fingerprints,
         "op5_tag_ratio_html": op5_tag_ratio_html,
         "op7_ngram_toxicity": op7_ngram_toxicity,
+        "op8_order_minhash_near_dup": op8_order_minhash_near_dup,
         "op9_bounded_space_packing": op9_bounded_space_packing,
+        "op10_rotated_code_links": op10_rotated_code_links,
     }
 
 
