@@ -11,6 +11,8 @@ from evalspark.llm.common import table
 from evalspark.llm.embedding_dup import vector_links
 from evalspark.llm.fingerprint import fingerprint_edits
 from evalspark.llm.html_text import extract_pages
+from evalspark.llm.line_dedup import dedup_lines
+from evalspark.llm.mixing import mix
 from evalspark.llm.near_dup import near_duplicates
 from evalspark.llm.packing import pack
 from evalspark.llm.quality import fit_quality, score_quality
@@ -57,11 +59,73 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_tag_ratio_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_pages(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+#: Target weights: per domain, then per language in a domain, then per source in a language (others: 1).
+WEIGHTS = {
+    "domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1},
+    "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
+    "source": {"src0": 2},
+}
+DOMAINS = 4
+
+
+def mix_levels() -> dict[str, Column]:
+    """The source tree: a source's number gives its domain."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    domain = F.when(number != "", F.concat(F.lit("domain"), (number.cast("long") % DOMAINS).cast("string")))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(table(spark, sf_dir, "documents"), mix_levels(), WEIGHTS)
+    return out.select("doc_id", "domain", "lang", "source", "tokens", "epoch")
+
+
+def mix_sql(docs: str = "documents", max_epochs: int = 2) -> str:
+    """The same choice as one statement: each level's water-filling is a common table expression."""
+    weight = lambda level, c: "case " + " ".join(f"when {c} = '{k}' then {w}" for k, w in WEIGHTS[level].items()) + " else 1 end"
+    levels = list(WEIGHTS)
+    parts = []
+    for i, level in enumerate(levels):
+        parent = levels[:i]
+        keys = ", ".join([*parent, level])
+        over = f"partition by {', '.join(parent)}" if parent else ""
+        parts.append(f"""
+        n{i} as (select {keys}, sum(tokens) * {max_epochs} as capacity, {weight(level, level)} as weight from leaves group by all),
+        b{i} as (select n.*, {"(select total // 2 from total)" if not i else "p.given"} as budget from n{i} n {f"join g{i - 1} p using ({', '.join(parent)})" if i else ""}),
+        o{i} as (select *,
+            coalesce(sum(capacity) over ({over} order by capacity::double / weight::double, {level} rows between unbounded preceding and 1 preceding), 0)::hugeint as taken,
+            sum(weight) over ({over})::hugeint - coalesce(sum(weight) over ({over} order by capacity::double / weight::double, {level} rows between unbounded preceding and 1 preceding), 0)::hugeint as rest_w from b{i}),
+        f{i} as (select *, capacity::hugeint * rest_w <= weight::hugeint * (budget::hugeint - taken) as is_full from o{i}),
+        g{i} as (select {keys}, case when is_full then capacity else (weight::hugeint * (budget::hugeint
+            - coalesce(sum(capacity) filter (where is_full) over ({over}), 0)::hugeint)) // nullif(sum(weight) filter (where not is_full) over ({over}), 0)::hugeint end::bigint as given from f{i})""")
+    keys = ", ".join(levels)
+    return f"""
+    with d as (
+        select doc_id, coalesce('domain' || (try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') as bigint) % {DOMAINS}), 'none') as domain,
+            coalesce(lang, 'none') as lang, coalesce(source, 'none') as source,
+            len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+'))::bigint as tokens,
+            coalesce(doc_id::varchar, '') as id, md5(coalesce(text, '')) as digest
+        from {docs}),
+        leaves as (select {keys}, sum(tokens)::bigint as tokens from d group by all having sum(tokens) > 0),
+        total as (select sum(tokens)::bigint as total from leaves),
+        {",".join(parts)},
+        plan as (select l.*, g.given // l.tokens as epochs, g.given % l.tokens as rest from leaves l join g{len(levels) - 1} g using ({keys})),
+        x as (select d.*, p.epochs, p.rest, md5('1:' || p.epochs || ':' || id || ':' || digest) as o from d join plan p using ({keys})),
+        c as (select *, sum(tokens) over (partition by {keys} order by o range between unbounded preceding and current row) as until from x)
+    select doc_id, {keys}, tokens, unnest(range(epochs))::bigint as epoch from x
+    union all
+    select doc_id, {keys}, tokens, epochs as epoch from c where rest > 0 and until <= rest"""
+
+
 def op7_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), id_fold("doc_id", 5, 0)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), held_out)
@@ -104,7 +168,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_histogram_sort_shards": op1_histogram_sort_shards,
         "op2_byte_cnn_quality": op2_byte_cnn_quality,
         "op3_merkle_fingerprints": op3_merkle_fingerprints,
+        "op4_deletion_line_dedup": op4_deletion_line_dedup,
         "op5_tag_ratio_html": op5_tag_ratio_html,
+        "op6_hierarchical_mix": op6_hierarchical_mix,
         "op7_ngram_toxicity": op7_ngram_toxicity,
         "op8_order_minhash_near_dup": op8_order_minhash_near_dup,
         "op9_bounded_space_packing": op9_bounded_space_packing,
@@ -113,4 +179,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_hierarchical_mix": mix_sql()}
