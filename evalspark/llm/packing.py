@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import os
 from collections.abc import Iterator
 
@@ -17,8 +18,10 @@ from evalspark.llm.common import stored
 
 #: Tokens of a sequence; windows kept open per partition.
 LENGTH, OPEN = 4096, 64
-#: Words whose ids a worker remembers; bytes of text handled at a time.
-REMEMBERED, STRIP = 300_000, 1 << 20
+#: Words whose ids a worker remembers (twice as many at most); bytes of text handled at a time.
+REMEMBERED, STRIP = 400_000, 1 << 20
+#: How tokens that end a run of letters, a digit or a run of marks are written in the vocabulary; marks that follow words.
+END, MARKS = "</w>", b".,!?;:|*$#%&)"
 #: Partitions whose leftover windows are merged together.
 MERGED = 64
 PIECES = "id {0}, start long, length long, ids binary, doc_tokens long, sequence long, offset long, closed boolean"
@@ -27,8 +30,9 @@ PIECES = "id {0}, start long, length long, ids binary, doc_tokens long, sequence
 class WordIds:
     """Ids of whole texts as little-endian 32-bit bytes, word by word.
 
-    For tokenizers that treat white space as a mere separator and fold case: a text's ids are its words' ids in turn.
-    Texts with a mark that could begin a special token are encoded whole.
+    For tokenizers that treat white space as a mere separator, fold case, keep letters and punctuation apart and mark
+    the end of a run (see END): a text's ids are its words' ids in turn. Unknown words of letters are encoded many at
+    a time and parted at the marks. Texts with a mark that could begin a special token are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -36,24 +40,53 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, words: list[bytes]) -> None:
+        """Remember the ids of ``words``; those of several kinds of characters are encoded one by one."""
+        cores = {w: w.rstrip(MARKS) for w in words}
+        letters = list({c for c in cores.values() if c not in self.known and c.isalpha()} | {c for c in cores.values() if c not in self.known and not c.isascii() and c.decode("utf-8", "replace").isalpha()})
+        for a in range(0, len(letters), 2048):
+            part = letters[a : a + 2048]
+            ids = np.asarray(self.tokenizer.encode(b" ".join(part).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                self.known.update((w, raw[i:j]) for w, i, j in zip(part, at[:-1], at[1:], strict=True))
+        get = self.known.get
+        rest = [w for w, c in cores.items() if w not in self.known and (c == w or c not in self.known)]
+        marks = list({w[len(c) :] for w, c in cores.items() if c != w and c in self.known} - self.known.keys())
+        single = [*rest, *marks]
+        self.known.update(zip(single, self.encode([w.decode("utf-8", "replace") for w in single]), strict=True))
+        self.known.update((w, get(c) + get(w[len(c) :])) for w, c in cores.items() if w not in self.known)
+
     def texts(self, raw: list[bytes]) -> list[bytes]:
         words = [None if b"<|" in t else t.lower().split() for t in raw]
-        unknown = list({w for ws in words if ws for w in ws if w not in self.known})
+        every = set().union(*(ws for ws in words if ws))
+        unknown = every - self.known.keys()
         if len(self.known) + len(unknown) > REMEMBERED:
-            self.known.clear()
-            unknown = list({w for ws in words if ws for w in ws})
-        for a in range(0, len(unknown), 4096):
-            part = unknown[a : a + 4096]
-            self.known.update(zip(part, self.encode([w.decode("utf-8", "replace") for w in part]), strict=True))
+            self.older, self.known = self.known, {}
+            unknown = every
+        again = unknown & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        self.learn(list(unknown - again))
         get = self.known.__getitem__
         return [self.encode([t.decode("utf-8", "replace")])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(raw, words, strict=True)]
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One per Python worker: what a task has learnt serves the worker's later tasks."""
+    return WordIds(path)
+
+
 class OpenWindows:
     """Best-fit placement into at most ``most`` open windows of ``length`` tokens."""
 
@@ -106,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         windows = OpenWindows(TaskContext.get().partitionId() << 32, length, open_windows)
         out: list[tuple] = []
         held = 0
