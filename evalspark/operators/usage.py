@@ -35,7 +35,7 @@ def with_metrics(rows: DataFrame, json: str = "response_usage") -> DataFrame:
         "upstream_prompt_cost_usd": to_float(u("cost_details.upstream_inference_prompt_cost")),
         "upstream_completions_cost_usd": to_float(u("cost_details.upstream_inference_completions_cost")),
         "is_byok": to_bool(u("is_byok")),
-        "has_usage": F.col("__u").isNotNull() & (F.coalesce(F.trim(json), F.lit("{}")) != "{}"),
+        "has_usage": F.coalesce(F.trim(json).startswith("{") & (F.trim(json) != "{}") & F.try_parse_json(json).isNotNull(), F.lit(False)),
     }
     latency = F.col("response_latency_ms")
     out = parsed.withColumns(m).drop("__u")
