@@ -20,6 +20,10 @@ WORDS, LEAST = 5, 0.8
 #: pair is missed with a probability of 2e-6.
 SKETCHES, AGREE = 16, 2
 STRIP = 1 << 20
+#: Most shingles that are put last in the order of prefixes for being common (a bounded list; it only saves work).
+COMMON = 1 << 16
+#: Nodes that share a prefix shingle up to which their pairs are joined, and rows of a block of a larger group.
+PAIRED, BLOCK = 32, 512
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -169,6 +173,84 @@ def aligned_likeness(a: bytes, b: bytes, least: float = LEAST) -> float:
     return common / (total - common) if common >= needed - 1e-9 else 0.0
 
 
+def overlaps(shingled: list[np.ndarray]) -> np.ndarray:
+    """How many labelled shingles every two texts share, from products of 0/1 matrices."""
+    n = len(shingled)
+    every, text = np.concatenate(shingled), np.repeat(np.arange(n), [len(x) for x in shingled])
+    token, column, count = np.unique(every, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    text, column = text[shared], np.unique(column[shared], return_inverse=True)[1]
+    total = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    text, column = text[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, (first, first + 4096))
+        x = np.zeros((n, 4096), np.float32)
+        x[text[lo:hi], column[lo:hi] - first] = 1
+        total += x @ x.T
+    return total
+
+
+def block_links(rows: DataFrame, least: float) -> DataFrame:
+    """Links (``a``, ``b``) that join the classes of a block's nodes as far as likeness allows.
+
+    ``rows`` (block, node, label, text, left, right) lie together by block. Shared shingles of all pairs are counted
+    at once; only pairs that reach ``least`` thereby and whose classes are not joined yet are aligned.
+    """
+
+    def links(nodes: list[int], labels: list[int], texts: list[bytes], left: np.ndarray, right: np.ndarray, sketcher: Sketcher) -> list[tuple[int, int]]:
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        h, at = sketcher.shingles(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        size = np.diff(at)
+        common = overlaps([h[at[i] : at[i + 1]] for i in range(len(texts))])
+        of = {x: x for x in labels}
+
+        def root(x: int) -> int:
+            while of[x] != x:
+                of[x] = of[of[x]]
+                x = of[x]
+            return x
+
+        good = np.triu(common * (1 + least) >= least * (size[:, None] + size[None, :]) - 1e-3, 1)
+        good &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
+        found = []
+        for i, j in zip(*np.nonzero(good), strict=True):
+            if root(labels[i]) != root(labels[j]) and aligned_likeness(texts[i], texts[j], least) >= least:
+                of[root(labels[i])] = root(labels[j])
+                found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher()
+        held: list[dict] = []
+
+        def close() -> pa.RecordBatch:
+            flags = [np.array([r[c] for r in held], bool) for c in ("left", "right")]
+            found = links([r["node"] for r in held], [r["label"] for r in held], [r["text"].encode() for r in held], *flags, sketcher) if len(held) > 1 else []
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["block"] != row["block"]:
+                    yield close()
+                held.append(row)
+        if held:
+            yield close()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (token, node, ...) of large groups, each in all blocks of its group's block pairs; together by block."""
+    size = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int").alias("mine")
+    each = rows.join(size, "token").select("*", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("block")
+    placed = each.select(block, "node", "label", "text", (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
+    return placed.repartition("block").sortWithinPartitions("block", "node")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """``id``, ``node`` (hash of the whole text), ``n`` (shingles) and ``sketch`` of each row of ``id``, ``text``."""
 
@@ -187,6 +269,55 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.withColumn("node", F.xxhash64("text")).mapInArrow(run, f"id {kind}, node long, n long, sketch array<long>")
 
 
+def _tokens(batch: pa.RecordBatch, sketcher: Sketcher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    data, offsets = utf8(batch.column("text"))
+    for a, b in strips(offsets, STRIP):
+        h, at = sketcher.shingles(data, offsets[a : b + 1])
+        yield a, b, h.view(np.int64), at
+
+
+def common_shingles(texts: DataFrame, most: int = COMMON) -> list[tuple[int, int]]:
+    """Up to ``most`` (labelled shingle, count) that occur most, as far as batches of rows show them more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher()
+        for batch in batches:
+            parts = [h for _, _, h, _ in _tokens(batch, sketcher)]
+            token, count = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token[count > 1]), pa.array(count[count > 1])], names=["token", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return [tuple(r) for r in counted.orderBy(F.col("n").desc(), "token").limit(most).collect()]
+
+
+def prefixes(texts: DataFrame, common: list[tuple[int, int]], least: float) -> DataFrame:
+    """The shingles of each text's prefix: ``node``, ``label``, ``token``.
+
+    All texts order their shingles alike: first those not in ``common``, then by rising count. Two texts with likeness
+    of at least ``least`` share a shingle among their first n - ceil(least * n) + 1, whatever that order is; this one
+    keeps what many texts share out of the prefixes.
+    """
+    known = sorted(common)
+    shared = texts.sparkSession.sparkContext.broadcast((np.array([t for t, _ in known], np.int64), np.array([n for _, n in known], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher()
+        token, count = shared.value
+        for batch in batches:
+            for a, b, h, at in _tokens(batch, sketcher):
+                place = np.minimum(np.searchsorted(token, h), max(0, len(token) - 1))
+                rank = np.where(token[place] == h, count[place], 0) if len(token) else np.zeros(len(h), np.int64)
+                n = np.diff(at)
+                text = np.repeat(np.arange(b - a), n)
+                order = np.lexsort((h, rank, text))
+                length = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+                chosen = order[np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(length, n)]
+                take = pa.array(text[chosen] + a)
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(take), batch.column("label").take(take), pa.array(h[chosen])], names=["node", "label", "token"])
+
+    return texts.select("node", "label", "text").mapInArrow(run, "node long, label long, token long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (``a``, ``b``) of nodes whose texts align with at least ``least``."""
 
@@ -221,9 +352,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Likeness: shingles of five words that a banded alignment has in common, over all shingles of both.
 
     Equal texts are one node. Nodes that share a sketch meet in buckets. First every node is aligned with the bucket
-    centre it agrees with most; then, in every bucket that still holds several classes, the pairs between classes
-    (agreeing in AGREE sketches) are aligned. So a large group costs one alignment for each member, and no pair that
-    could join two classes is left out.
+    centre it agrees with most. Then the nodes of buckets that still hold several classes are compared between
+    classes: an exact prefix filter groups them by rare shingles; pairs of small groups that agree in AGREE sketches
+    are aligned, larger groups are counted block by block and aligned only where counts reach ``least`` and classes
+    are still apart. So texts that merely share a passage make few pairs, a large group makes no pairs outside its
+    blocks, and no pair that could join two classes is left out.
 
     Null texts count as empty; empty texts are one class. Null ids never are a class's id unless it has no other (the
     class id is then null). ``kept`` is true for the row with the class's id (rows that repeat id and text: for each of
@@ -233,28 +366,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(sketches(base), "sketches")
     nodes = stored(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     keys = nodes.select("node", F.explode("sketch").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = stored(keys.join(buckets, "key").select("key", "a", F.col("node").alias("b")), "members")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = stored(keys.join(buckets, "key"), "shared")
+    # a bucket's centre is its node with the most company over all its buckets: the text that the others derive from
+    company = shared.groupBy("node").agg(F.sum("size").alias("company"))
+    centres = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("most")).select("key", F.col("most.node").alias("a"))
+    members = stored(shared.join(centres, "key").select("key", "a", F.col("node").alias("b")), "members")
     stars = members.filter("a <> b").select("a", "b").distinct()
     first = _likely(stars, nodes, least).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     wanted = members.select(F.col("b").alias("node")).distinct().join(nodes.select("node", "id"), "node")
     with_node = base.withColumn("node", F.xxhash64("text"))
-    texts = stored(
-        with_node.join(wanted.withColumnRenamed("id", "least_id"), "node").filter(F.col("id").eqNullSafe(F.col("least_id"))).groupBy("node").agg(F.first("text").alias("text")),
-        "texts",
-    )
+    wanted = wanted.select(F.col("node").alias("__node"), F.col("id").alias("__id"))
+    one = with_node.join(wanted, (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__id")))
+    texts = stored(one.groupBy("node").agg(F.first("text").alias("text")), "texts")
     found = stored(verified(first, texts, least), "links")
     label = components(found)
     placed = members.select("key", F.col("b").alias("node")).join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     split = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    open_ = stored(placed.join(split, "key"), "open")
-    classes = open_.select("key", "label").distinct()
-    meet = classes.select("key", F.col("label").alias("la")).join(classes.select("key", F.col("label").alias("lb")), "key").filter("la < lb")
-    side = lambda s: open_.select("key", F.col("node").alias(s), F.col("label").alias(f"l{s}"))
-    rest = meet.join(side("a"), ["key", "la"]).join(side("b"), ["key", "lb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = stored(placed.join(split, "key").select("node", "label").distinct().join(texts, "node"), "open")
+    tokens = stored(prefixes(open_, common_shingles(open_), least), "prefixes")
+    mixed = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("token", "size")
+    sides = stored(tokens.join(mixed, "token"), "sides")
+    side = lambda s: sides.filter(F.col("size") <= PAIRED).select("token", F.col("node").alias(s), F.col("label").alias(f"l{s}"))
+    rest = side("a").join(side("b"), "token").filter("a < b and la <> lb").select("a", "b").distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(_likely(rest.join(tried, ["a", "b"], "left_anti"), nodes, least), texts, least)
-    label = components(found.unionByName(stored(more, "links")))
+    pairs = stored(verified(_likely(rest.join(tried, ["a", "b"], "left_anti"), nodes, least), texts, least), "links")
+    large = sides.filter(F.col("size") > PAIRED).select("token", "node").join(open_, "node")
+    more = pairs.unionByName(stored(block_links(in_blocks(large), least), "links"))
+    label = components(found.unionByName(more))
     classed = rows.select("id", "node").join(label, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label"))
     first_row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("keeper")
     of_class = classed.groupBy("label").agg(first_row)
