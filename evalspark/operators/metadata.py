@@ -10,8 +10,23 @@ from pyspark.sql import functions as F
 from evalspark.functions.text import clean, iso_date, model_specific, url_domain
 from evalspark.operators.leaderboard import last_by
 
-#: Evidence that counts (fixed values).
+# Evidence that counts, and the wording of the judge's findings.
 EVIDENCE_TYPES = ("announcement_blog", "newsroom", "docs_release_note", "changelog")
+NO_DATE = "Missing proposed launch date."
+BAD_DATE = "{} must be YYYY-MM-DD."
+FUTURE_DATE = "{} cannot be in the future."
+NO_URL = "Missing evidence_url."
+NO_DOMAIN = "Missing evidence_domain (or parseable domain from evidence_url)."
+FOREIGN_DOMAIN = ("Evidence domain '", "' is not first-party for org '", "'.")
+NO_TITLE = "Missing evidence_title."
+BAD_TYPE = "evidence_type must be one of: announcement_blog|newsroom|docs_release_note|changelog."
+NO_PUBLISHED = "Missing evidence_published_date."
+UNEQUAL_DATES = "proposed_launch_date must match evidence_published_date under strict policy."
+NO_SNIPPET = "Missing supporting_snippet with key launch evidence."
+NOT_SPECIFIC = "Evidence not model-specific enough; include explicit model name in title/snippet/url."
+ACCEPTED = "Accepted: date and evidence pass strict checks."
+NOT_JUDGED = "No judged row available."
+CONFIDENCE = {"accepted": "0.95", "rejected": "0.90", "needs_retry": "0.60", "unresolved": "0.75"}
 
 
 def inventory(observations: DataFrame) -> DataFrame:
@@ -59,32 +74,34 @@ def judge(rows: DataFrame, allowed: Mapping[str, Sequence[str]], as_of: str, max
     proposed, published = iso_date(t["proposed_launch_date"]), iso_date(t["evidence_published_date"])
 
     def date_rules(name: str, text: Column, day: Column) -> tuple[list[Column], Column]:
-        hard = F.when((text != "") & day.isNull(), f"{name} must be YYYY-MM-DD.").when(day > today, f"{name} cannot be in the future.")
+        hard = F.when((text != "") & day.isNull(), BAD_DATE.format(name)).when(day > today, FUTURE_DATE.format(name))
         return [hard], text == ""
 
     hard_a, none_a = date_rules("proposed_launch_date", t["proposed_launch_date"], proposed)
     hard_b, none_b = date_rules("evidence_published_date", t["evidence_published_date"], published)
-    foreign = F.when((domain != "") & ~first_party(t["org"], domain, allowed), F.concat(F.lit("Evidence domain '"), domain, F.lit("' is not first-party for org '"), t["org"], F.lit("'.")))
-    unequal = F.when(proposed != published, "proposed_launch_date must match evidence_published_date under strict policy.")
+    foreign = F.when((domain != "") & ~first_party(t["org"], domain, allowed), F.concat(F.lit(FOREIGN_DOMAIN[0]), domain, F.lit(FOREIGN_DOMAIN[1]), t["org"], F.lit(FOREIGN_DOMAIN[2])))
+    unequal = F.when(proposed != published, UNEQUAL_DATES)
     hard = F.array_compact(F.array(*hard_a, foreign, *hard_b, unequal))
     retry = F.array_compact(
         F.array(
-            F.when(none_a, "Missing proposed launch date."),
-            F.when(t["evidence_url"] == "", "Missing evidence_url."),
-            F.when(domain == "", "Missing evidence_domain (or parseable domain from evidence_url)."),
-            F.when(t["evidence_title"] == "", "Missing evidence_title."),
-            F.when(~t["evidence_type"].isin(*EVIDENCE_TYPES), f"evidence_type must be one of: {'|'.join(EVIDENCE_TYPES)}."),
-            F.when(none_b, "Missing evidence_published_date."),
-            F.when(t["supporting_snippet"] == "", "Missing supporting_snippet with key launch evidence."),
-            F.when(~model_specific(t["model_id"], [t["evidence_url"], t["evidence_title"], t["supporting_snippet"]]), "Evidence not model-specific enough; include explicit model name in title/snippet/url."),
+            F.when(none_a, NO_DATE),
+            F.when(t["evidence_url"] == "", NO_URL),
+            F.when(domain == "", NO_DOMAIN),
+            F.when(t["evidence_title"] == "", NO_TITLE),
+            F.when(~t["evidence_type"].isin(*EVIDENCE_TYPES), BAD_TYPE),
+            F.when(none_b, NO_PUBLISHED),
+            F.when(t["supporting_snippet"] == "", NO_SNIPPET),
+            F.when(~model_specific(t["model_id"], [t["evidence_url"], t["evidence_title"], t["supporting_snippet"]]), NOT_SPECIFIC),
         )
     )
     j = rows.withColumns({"evidence_domain": domain, "__hard": hard, "__retry": retry})
     status = F.when(F.size("__hard") > 0, "rejected").when(F.size("__retry") > 0, "needs_retry").otherwise("accepted")
     last = (attempt if attempt is not None else F.lit(1)) >= max_attempts
     j = j.withColumn("judge_status", F.when((status != "accepted") & last, "unresolved").otherwise(status)).withColumn("__all", F.concat("__hard", "__retry"))
-    confidence = F.when(F.col("judge_status") == "accepted", "0.95").when(F.col("judge_status") == "rejected", "0.90").when(F.col("judge_status") == "needs_retry", "0.60").otherwise("0.75")
-    reason = F.coalesce(F.get("__all", F.lit(0)), F.lit("Accepted: date and evidence pass strict checks."))
+    confidence = F.lit(None).cast("string")
+    for name, text in CONFIDENCE.items():
+        confidence = F.when(F.col("judge_status") == name, text).otherwise(confidence)
+    reason = F.coalesce(F.get("__all", F.lit(0)), F.lit(ACCEPTED))
     return j.withColumns({"judge_reason": reason, "required_fix": F.array_join("__all", " | "), "judge_confidence": confidence}).drop("__hard", "__retry", "__all")
 
 
@@ -94,7 +111,7 @@ def attempts(rows: DataFrame, allowed: Mapping[str, Sequence[str]], as_of: str,
     tries = F.sequence(F.lit(1), F.when(F.col("judge_status") == "accepted", 1).otherwise(max_attempts))
     again = first.withColumn("attempt_count", F.explode(tries))
     last = (F.col("judge_status") != "accepted") & (F.col("attempt_count") == max_attempts)
-    return again.withColumns({"judge_confidence": F.when(last, "0.75").otherwise(F.col("judge_confidence")), "judge_status": F.when(last, "unresolved").otherwise(F.col("judge_status"))})
+    return again.withColumns({"judge_confidence": F.when(last, CONFIDENCE["unresolved"]).otherwise(F.col("judge_confidence")), "judge_status": F.when(last, "unresolved").otherwise(F.col("judge_status"))})
 
 
 def final_rows(tried: DataFrame) -> DataFrame:
@@ -106,7 +123,7 @@ def review(models: DataFrame, final: DataFrame) -> DataFrame:
     """Every inventory model with its outcome; models without a judged row are unresolved."""
     j = models.select("model_id", "org").join(final.drop("org"), "model_id", "left")
     date = F.when(F.col("judge_status") == "accepted", F.col("proposed_launch_date")).otherwise("")
-    return j.select("model_id", "org", date.alias("launch_date"), F.coalesce("evidence_url", F.lit("")).alias("evidence_url"), F.coalesce("judge_status", F.lit("unresolved")).alias("judge_status"), F.coalesce("judge_reason", F.lit("No judged row available.")).alias("judge_reason"))
+    return j.select("model_id", "org", date.alias("launch_date"), F.coalesce("evidence_url", F.lit("")).alias("evidence_url"), F.coalesce("judge_status", F.lit("unresolved")).alias("judge_status"), F.coalesce("judge_reason", F.lit(NOT_JUDGED)).alias("judge_reason"))
 
 
 def candidates(reviewed: DataFrame) -> DataFrame:

@@ -11,7 +11,15 @@ from evalspark.functions.exact import half_up, quotient
 
 #: Consensus scores are whole numbers of ten-thousandths.
 UNIT = 10_000
-MISSING, MISMATCH = "Missing row for sample_id in this grade dir.", "Identity mismatch across judge rows; consensus skipped for this sample."
+# The wording of row errors.
+MISSING = "Missing row for sample_id in this grade dir."
+MISMATCH = "Identity mismatch across judge rows; consensus skipped for this sample."
+NO_SCORES = "no_valid_scores"
+TIE = "majority_tie:"
+NO_TIEBREAK = "primary_disagreement_without_tiebreak"
+TOO_FEW = "primary_tiebreak_requires_3_judges"
+TIEBREAK_MISSING = "Synthetic tiebreaker row missing while primary judges disagreed."
+TIEBREAK_IMPOSSIBLE = "Synthetic tiebreaker row could not assign score because primary judges had no valid score."
 
 
 def align(grades: DataFrame, judges: int, identity: Sequence[str], key: str = "sample_id") -> DataFrame:
@@ -51,7 +59,7 @@ def _majority(scores: Column) -> tuple[Column, Column]:
     most = F.array_max(F.transform(scores, count))
     winners = F.array_sort(F.array_distinct(F.filter(scores, lambda x: count(x) == most)))
     score = F.when(F.size(winners) == 1, F.element_at(winners, 1))
-    return score, F.when(F.size(winners) > 1, F.concat(F.lit("majority_tie:"), F.array_join(winners.cast("array<string>"), ",")))
+    return score, F.when(F.size(winners) > 1, F.concat(F.lit(TIE), F.array_join(winners.cast("array<string>"), ",")))
 
 
 def _primary(judges: Column) -> tuple[Column, Column]:
@@ -59,8 +67,8 @@ def _primary(judges: Column) -> tuple[Column, Column]:
     enough = F.size(judges) >= 3
     both = a.isNotNull() & b.isNotNull()
     score = F.when(both & (a == b), a).otherwise(F.coalesce(third, F.when(~both, F.coalesce(a, b))))
-    error = F.when(both & (a != b) & third.isNull(), "primary_disagreement_without_tiebreak").when(score.isNull(), "no_valid_scores")
-    return F.when(enough, score), F.when(enough, error).otherwise("primary_tiebreak_requires_3_judges")
+    error = F.when(both & (a != b) & third.isNull(), NO_TIEBREAK).when(score.isNull(), NO_SCORES)
+    return F.when(enough, score), F.when(enough, error).otherwise(TOO_FEW)
 
 
 #: Name to (score in ten-thousandths, error) of (judges, valid scores); add one to have a new method.
@@ -80,7 +88,7 @@ def consensus(panel: DataFrame, method: str = "mean") -> DataFrame:
     p = panel.withColumn("valid", used)
     c4, error = METHODS[method](F.col("judges"), F.col("valid"))
     none = F.lit(False) if method == "primary_tiebreak" else F.size("valid") == 0
-    p = p.withColumns({"c4": F.when(~none, c4), "consensus_error": F.when(none, "no_valid_scores").otherwise(error)})
+    p = p.withColumns({"c4": F.when(~none, c4), "consensus_error": F.when(none, NO_SCORES).otherwise(error)})
     judge_errors = F.transform("judges", lambda j, i: F.when(j["error"] != "", F.concat(F.lit("judge_"), (i + 1).cast("string"), F.lit(": "), j["error"])))
     errors = F.array_compact(F.concat(judge_errors, F.array(F.when(F.col("mismatch"), MISMATCH), F.col("consensus_error"))))
     return p.withColumns({"status": F.when(F.size(errors) > 0, "error").otherwise("ok"), "error": F.array_join(errors, " | ")})
@@ -110,8 +118,8 @@ def synthetic_tiebreaks(source: DataFrame, panel: DataFrame, rejudged: DataFrame
     a, b = valid_score(F.element_at("judges", 1)), valid_score(F.element_at("judges", 2))
     both = a.isNotNull() & b.isNotNull()
     made = F.when(~both | (a == b), F.coalesce(a, b))
-    error = F.when(both & (a != b), "Synthetic tiebreaker row missing while primary judges disagreed.").when(
-        a.isNull() & b.isNull(), "Synthetic tiebreaker row could not assign score because primary judges had no valid score."
+    error = F.when(both & (a != b), TIEBREAK_MISSING).when(
+        a.isNull() & b.isNull(), TIEBREAK_IMPOSSIBLE
     )
     own = rejudged.select("sample_id", F.col("score").alias("own_score"), F.col("error").alias("own_error"), F.lit(True).alias("own"))
     joined = source.join(panel.select("sample_id", "judges"), "sample_id", "left").join(own, "sample_id", "left")

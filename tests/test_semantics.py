@@ -157,7 +157,7 @@ def test_redaction_and_slimming(spark):
 
 
 def test_evidence_rules(spark):
-    base = {"pos": 1, "model_id": "o/claude-3.5", "org": "o", "proposed_launch_date": "2024-01-02", "evidence_url": "https://blog.o.com/x", "evidence_title": "Claude 3.5 is here", "evidence_published_date": "2024-01-02", "evidence_type": "newsroom", "supporting_snippet": "s"}
+    base = {"pos": 1, "model_id": "o/alpha-3.5", "org": "o", "proposed_launch_date": "2024-01-02", "evidence_url": "https://blog.o.com/x", "evidence_title": "Alpha 3.5 is here", "evidence_published_date": "2024-01-02", "evidence_type": "newsroom", "supporting_snippet": "s"}
     cases = [({}, "accepted"), ({"proposed_launch_date": "2024-1-2"}, "rejected"), ({"proposed_launch_date": "2030-01-01", "evidence_published_date": "2030-01-01"}, "rejected"), ({"evidence_url": "https://o.com.evil.org"}, "rejected"), ({"evidence_type": "tweet"}, "needs_retry"), ({"evidence_title": "news", "supporting_snippet": "x"}, "needs_retry"), ({"evidence_published_date": ""}, "needs_retry")]
     rows = spark.createDataFrame([tuple({**base, **c, "pos": i}.values()) for i, (c, _) in enumerate(cases)], ", ".join(f"{k} {'int' if k == 'pos' else 'string'}" for k in base))
     judged = metadata.judge(rows, {"o": ["o.com"]}, "2024-06-30", 3).orderBy("pos").collect()
