@@ -129,6 +129,27 @@ def status_of(status: Column, error: Column) -> Column:
     return F.coalesce(given, F.when(clean(error) != "", "error").otherwise("ok"))
 
 
+def benchmark_version(path: Column) -> Column:
+    """v1 or v2 from a dataset's path, else a tag of its folder's name."""
+    p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    name = F.element_at(F.split(p, "/"), -1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"([^/]+)/[^/]*$", 1), F.lit("")), F.regexp_replace(path, r"\.[^.]*$", ""))
+    return F.when(p.contains("/data/v2/") | name.contains("v2"), "v2").when(p.contains("/data/latest/") | name.contains("v1"), "v1").otherwise(tag(folder))
+
+
+def identity_defaults(columns: Sequence[str]) -> dict[str, Column]:
+    """Identity columns of a row with older names as fallbacks; columns that the table lacks count as missing."""
+    have = lambda c: F.col(c) if c in columns else F.lit(None).cast("string")
+    model = have("model")
+    return {
+        "model_id": F.coalesce(have("model_id"), model),
+        "model_org": F.coalesce(have("model_org"), F.lit("unknown")),
+        "model_name": F.coalesce(have("model_name"), have("model_id"), model),
+        "model_reasoning_level": F.coalesce(have("model_reasoning_level"), F.lit("default")),
+        "model_row": F.coalesce(have("model_row"), model),
+    }
+
+
 def redacted(c: Column) -> Column:
     """Local user paths replaced by a mark."""
     return F.regexp_replace(c, r"/Users/[^\s\"']+", "[local-path]")

@@ -10,6 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# The wording of rows that cannot be graded.
+SOURCE_ERROR = "Cannot grade response with source error: "
+EMPTY_TEXT = "Cannot grade empty response_text."
+BAD_SCORE = ("Invalid judge score ", " for this row; allowed scores: ")
+
+
+def grading_error(source_error: Column, text: Column) -> Column:
+    """Why a response cannot be graded; null if it can. Such rows stay, as error rows."""
+    failed = F.coalesce(F.trim(source_error), F.lit("")) != ""
+    empty = F.coalesce(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit("")) == ""
+    return F.when(failed, F.concat(F.lit(SOURCE_ERROR), source_error)).when(empty, EMPTY_TEXT)
+
+
+def score_error(score: Column, control: Column, hinted: bool = True) -> Column:
+    """Why a judge's score is not allowed; null if it is. Controls take 0 and 3 (any score without the hint), other
+    questions 0 to 2."""
+    controls, others = ((0, 3) if hinted else (0, 1, 2, 3)), (0, 1, 2)
+    listed = lambda xs: ",".join(map(str, xs))
+    bad = ~F.when(control, score.isin(*controls)).otherwise(score.isin(*others))
+    return F.when(bad, F.concat(F.lit(BAD_SCORE[0]), score.cast("string"), F.lit(BAD_SCORE[1]), F.when(control, listed(controls)).otherwise(listed(others))))
+
+
 def rendered(template: Column, fields: Mapping[str, Column]) -> Column:
     """The template with ``{name}`` replaced literally, one field after the other: a value may bring in later names."""
     for name, value in fields.items():

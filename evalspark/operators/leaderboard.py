@@ -133,3 +133,10 @@ def enriched(board: DataFrame, votes: DataFrame, launches: DataFrame, params: Da
     out = board.withColumn("model_id", base_model(F.col("model"))).join(votes.select("model", F.col("org").alias("voted")), "model", "left")
     out = out.join(dates, "model_id", "left").join(sizes, "model_id", "left")
     return out.withColumns({"org": F.coalesce("voted", org_of(F.col("model"))), "reasoning": level_of(F.col("model")), "model_age_days": age}).drop("voted")
+
+
+def compared(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Models of two leaderboards (of two benchmark versions): both averages and the change."""
+    side = lambda df, n: df.select("model", F.col("avg_score").alias(n))
+    change = F.round((F.col("second_avg") - F.col("first_avg")) * UNIT) / F.lit(float(UNIT))
+    return side(first, "first_avg").join(side(second, "second_avg"), "model").withColumn("delta", change)

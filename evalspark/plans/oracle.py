@@ -218,6 +218,16 @@ SQL["dry_run_collect"] = f"{MODELS} select model_id, question_id, {_DRY} as resp
 SQL["dry_run_grade"] = f"{MODELS} select model_id, question_id, case when is_control then 3 else 1 end as judge_score, 'Dry run placeholder grade.' as judge_justification from models, questions"
 SQL["prompt_render"] = f"""{MODELS} select model_id, question_id, replace(case when is_control then 'Legitimate: ' || question || ' ' || ({_DRY}) || ' Answer: ' || ({_DRY})
     else 'Q: ' || question || ' ' || ({_DRY}) || ' Wrong: ' || model_id || ' A: ' || ({_DRY}) end, '', '') as prompt from models, questions"""
+SQL["grading_guard"] = f"""with {RESPONSES} select sample_id, case when error <> '' then 'Cannot grade response with source error: ' || error
+    when pos % 17 = 0 or regexp_matches(response_text, '^\\s*$') then 'Cannot grade empty response_text.' end as error from responses"""
+_SCORE = "(score + pos % 2)"
+SQL["score_checks"] = f"""with {GRADES} select sample_id, judge_idx,
+    case when is_control and {_SCORE} not in (0, 3) then 'Invalid judge score ' || {_SCORE} || ' for this row; allowed scores: 0,3'
+        when not is_control and {_SCORE} > 2 then 'Invalid judge score ' || {_SCORE} || ' for this row; allowed scores: 0,1,2' end as hinted,
+    case when is_control and {_SCORE} > 3 then 'Invalid judge score ' || {_SCORE} || ' for this row; allowed scores: 0,1,2,3'
+        when not is_control and {_SCORE} > 2 then 'Invalid judge score ' || {_SCORE} || ' for this row; allowed scores: 0,1,2' end as unhinted from grades"""
+SQL["version_comparison"] = f"""{scored()}, h as (select model, substring(question_id, 2)::bigint % 2 as half, {MEAN4.format("case when not is_control then c4 end")} as a from agg group by all)
+    select x.model, x.a as first_avg, y.a as second_avg, round((y.a - x.a) * 10000) / 10000.0::double as delta from h x join h y on x.model = y.model and x.half = 0 and y.half = 1"""
 SQL["judge_output_parse"] = """select doc_id, case when doc_id % 7 in (0, 1, 2, 3) then doc_id % 3 when doc_id % 7 = 6 then 0 end::int as score,
     case when doc_id % 7 in (0, 1, 2, 3) then 'because {it} "is"' when doc_id % 7 = 6 then '' end as justification,
     case doc_id % 7 when 0 then 'direct' when 3 then 'direct' when 1 then 'markdown_fence' when 2 then 'first_json_object' when 6 then 'fallback_empty_judge_output' else '' end as parse_mode,

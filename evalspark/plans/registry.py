@@ -266,6 +266,28 @@ def prompt_render(spark, sf_dir):
     return _grid(spark, sf_dir).select("model_id", "question_id", inference.rendered(template, fields).alias("prompt"))
 
 
+@query
+def grading_guard(spark, sf_dir):
+    r = v.responses(spark, sf_dir)
+    text = F.when(F.col("pos") % 17 == 0, F.lit(" ")).otherwise(F.col("response_text"))
+    return r.select("sample_id", inference.grading_error(F.col("error"), text).alias("error"))
+
+
+@query
+def score_checks(spark, sf_dir):
+    """Scores of another scale held against the allowed ones, with and without the control hint."""
+    g, s = v.grades(spark, sf_dir), (F.col("score") + F.col("pos") % 2).cast("int")
+    return g.select("sample_id", "judge_idx", inference.score_error(s, F.col("is_control")).alias("hinted"), inference.score_error(s, F.col("is_control"), False).alias("unhinted"))
+
+
+@query
+def version_comparison(spark, sf_dir):
+    """Two leaderboards, of even and of odd questions."""
+    rows = scored(spark, sf_dir).withColumn("half", F.substring("question_id", 2, 20).cast("long") % 2)
+    per = stored(leaderboard.summarize(rows, ("half", "model")).select("half", "model", "avg_score"))
+    return leaderboard.compared(per.filter("half = 0"), per.filter("half = 1"))
+
+
 def judge_raw(spark, sf_dir):
     d = F.col("doc_id")
     obj = F.concat(F.lit('{"justification": "because {it} \\"is\\"", "score": '), (d % 3).cast("string"), F.lit("}"))

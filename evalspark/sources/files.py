@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.text import unquoted
+from evalspark.operators.integrity import duplicates, require_empty
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -22,6 +23,15 @@ def lenient_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def grade_set(spark: SparkSession, path: str, schema: T.StructType, judge_idx: int) -> DataFrame:
+    """A judge's grades: at least one row, and one per sample."""
+    rows = strict_jsonl(spark, path, schema)
+    if rows.isEmpty():
+        raise ValueError(f"no grades in {path}")
+    require_empty(duplicates(rows), f"repeated samples in {path}")
+    return rows.withColumn("judge_idx", F.lit(judge_idx))
+
+
 def csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Quoted CSV with a header; a missing file is an empty table."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
