@@ -13,6 +13,8 @@ from evalspark.llm.common import as_row, cut, kept_columns, range_of, unpack
 KEY_BITS, ROW_BITS = 63, 23
 #: Bits of a histogram's first round and of each later one.
 FIRST_BITS, NEXT_BITS = 12, 8
+#: Bytes of a key range that one task sorts, and most ranges of all shards.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 4096
 
 
 @dataclass
@@ -73,13 +75,13 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[
     return out
 
 
-def histogram_shards(df: DataFrame, n_shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.01, ranges_per_shard: int = 8) -> DataFrame:
+def histogram_shards(df: DataFrame, n_shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.01, ranges_per_shard: int | None = None) -> DataFrame:
     """Put every row into one of ``n_shards`` shards of near equal bytes by one global histogram sort.
 
     Rows sort by the hash of their text, then by the hash of their id, so equal texts lie together and stay in one
     shard, except where a group is so large that a boundary within ``tolerance`` (a share of a shard) must cut it.
     Each shard is made of ``ranges_per_shard`` key ranges, found by the same histograms, so that no task sorts a
-    whole shard; raise it with the data. Rows move once.
+    whole shard: by default as many as keep a range near RANGE_BYTES (8 at least). Rows move once.
 
     Returns the caller's columns with ``size`` (UTF-8 bytes plus 1; null and empty texts: 1), ``shard`` (0 to
     n_shards-1) and ``slot`` (its place in the shard, gapless from 0); these win over columns of the same names.
@@ -91,9 +93,12 @@ def histogram_shards(df: DataFrame, n_shards: int = 16, *, id_col: str = "doc_id
     size = F.octet_length(text).cast("long") + 1
     keys = cut(df.select(key.alias("key"), size.alias("size")))
     total = keys.agg(F.sum("size")).first()[0] or 0
+    if ranges_per_shard is None:
+        ranges_per_shard = max(8, min(MOST_RANGES // n_shards, total // (n_shards * RANGE_BYTES)))
     n = n_shards * ranges_per_shard
     share = total / n
-    targets = [(share * j, share * ranges_per_shard * tolerance / 2 if j % ranges_per_shard == 0 else share / 5) for j in range(1, n)]
+    # only the shards' own boundaries must be precise
+    targets = [(share * j, share * ranges_per_shard * tolerance / 2 if j % ranges_per_shard == 0 else share / 2) for j in range(1, n)]
     splitters = find_splitters(keys, targets) if total else [0] * (n - 1)
     counts = {r[0]: r[1] for r in keys.groupBy(range_of(F.col("key"), splitters)).count().collect()}
     starts, at = [], 0
