@@ -21,24 +21,20 @@ def merkle(text: Column) -> Column:
     Paragraphs are lines; a section is SECTION consecutive paragraphs. Sections and the root are SHA-256 digests of
     what they stand over, so equal roots mean equal texts. Leaves are 64-bit digests of parts of paragraphs.
     """
-    lines = F.split(text, "\n", -1)
-    paragraphs = F.transform(lines, lambda p: F.xxhash64(p))
-    sections = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / SECTION).cast("int")),
-        lambda i: F.sha2(F.array_join(F.slice(lines, i * SECTION + 1, F.lit(SECTION)), "\n"), 256),
-    )
-    leaves = F.array_distinct(
-        F.flatten(
-            F.transform(
-                lines,
-                lambda p: F.transform(
-                    F.regexp_extract_all(p, F.lit(LEAF_PATTERN), F.lit(0)),
-                    lambda x: F.shiftleft(F.shiftright(F.xxhash64(x), LENGTH_BITS), LENGTH_BITS).bitwiseOR(F.length(x).cast("long")),
-                ),
-            )
+
+    def tree(lines: Column) -> Column:
+        sections = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / SECTION).cast("int")),
+            lambda i: F.sha2(F.array_join(F.slice(lines, i * SECTION + 1, F.lit(SECTION)), "\n"), 256),
         )
-    )
-    return F.struct(F.sha2(F.array_join(sections, ""), 256).alias("root"), sections.alias("sections"), paragraphs.alias("paragraphs"), leaves.alias("leaves"))
+        leaf = lambda x: F.shiftleft(F.shiftright(F.xxhash64(x), LENGTH_BITS), LENGTH_BITS).bitwiseOR(F.length(x).cast("long"))
+        leaves = F.flatten(F.transform(lines, lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF_PATTERN), F.lit(0)), leaf)))
+        return F.struct(sections.alias("sections"), F.transform(lines, lambda p: F.xxhash64(p)).alias("paragraphs"), F.array_distinct(leaves).alias("leaves"))
+
+    # a lambda's variable is computed once, where a repeated expression could be computed for every section
+    levels = F.transform(F.array(F.split(text, "\n", -1)), tree)
+    rooted = F.transform(levels, lambda t: F.struct(F.sha2(F.array_join(t["sections"], ""), 256).alias("root"), t["sections"].alias("sections"), t["paragraphs"].alias("paragraphs"), t["leaves"].alias("leaves")))
+    return F.element_at(rooted, 1)
 
 
 def weight(leaves: Column) -> Column:
