@@ -23,33 +23,41 @@ SKIPPED = frozenset("applet aside audio button canvas datalist dialog footer for
 FURNITURE = frozenset("ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent copyright disqus footer masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
 #: What such a word may say of an element that holds the whole page: it is then no furniture.
 PAGE = frozenset("html body main".split())
+#: Blocks that are parts of a text, not containers of one.
+PARTS = frozenset("blockquote caption center dd details dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr legend li ol p pre summary ul".split())
 #: Elements that close an open paragraph when they begin.
 SIBLINGS = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "th", "th": "td", "option": "option"}
 #: Width of the smoothing kernel in lines.
 SIGMA = 1.0
 #: Share of the standard deviation at which smoothed ratios count as content.
 THRESHOLD = 0.5
+#: Share of the fullest level's content from which an outer level of marked elements is the page's. What a character
+#: counts there in an article or main element, and under a name of nothing but furniture words ('comments').
+HOME, ARTICLE, PLAIN = 0.25, 4.0, 0.1
 #: Characters fed to the parser at a time.
 CHUNK = 1 << 16
 _WORDS = re.compile(r"[a-z]+")
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, count of tags, whether it is furniture, and the path of open containers."""
+    """Collects lines: text, count of tags, whether it never is article text, the path of open containers, and the open
+    elements that a furniture word marks (``marks`` has the class names, ids and roles with such a word)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, number of the element, furniture
+        self.stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("", 0, False, ())]  # tag, number of the element, skipped, marked
         self.serial = 0
         self.text: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.articles: set[int] = set()
+        self.lines: list[tuple[str, int, bool, tuple[int, ...], tuple[int, ...]]] = []
+        self.articles: dict[int, tuple[int, ...]] = {}
+        self.marks: dict[int, frozenset[str]] = {}
+        self.pages = {0}
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.stack[-1][2], tuple(s[1] for s in self.stack if s[0] in BLOCKS or not s[0])))
+            self.lines.append((text, self.tags, self.stack[-1][2], tuple(s[1] for s in self.stack if (s[0] in BLOCKS and s[0] not in PARTS) or not s[0]), self.stack[-1][3]))
             self.tags = 0
         self.text.clear()
 
@@ -73,14 +81,20 @@ class Lines(HTMLParser):
                 self.pop_to(SIBLINGS[tag], frozenset({"ul", "ol", "dl", "table"}))
         if tag in VOID:
             return
-        words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in _WORDS.findall(v.lower())}
+        names = frozenset(x for k, v in attrs if k in ("class", "id", "role") and v for x in v.lower().split() if not FURNITURE.isdisjoint(_WORDS.findall(x)))
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
         in_article = any(s[1] in self.articles for s in self.stack)
-        skipped = self.stack[-1][2] or tag in SKIPPED or hidden or (tag == "header" and not in_article) or (tag not in PAGE and bool(words & FURNITURE))
+        skipped = self.stack[-1][2] or tag in SKIPPED or hidden or (tag == "header" and not in_article)
         self.serial += 1
+        marked = self.stack[-1][3]
         if tag in ("article", "main") and not skipped:
-            self.articles.add(self.serial)
-        self.stack.append((tag, self.serial, skipped))
+            self.articles[self.serial] = marked
+        if names and tag not in PAGE:
+            self.marks[self.serial] = names
+            marked = (*marked, self.serial)
+        if tag in ("html", "body"):
+            self.pages.add(self.serial)
+        self.stack.append((tag, self.serial, skipped, marked))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -102,13 +116,41 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full(ratios) / full(np.ones_like(ratios))
 
 
+def cluster(lines: list[tuple], free: np.ndarray) -> np.ndarray:
+    """Which of the free lines are content: their smoothed ratio reaches a threshold over the page."""
+    ratio = smoothed(np.where(free, np.array([len(line[0]) / max(1, line[1]) for line in lines]), 0.0))
+    return free & (ratio >= min(ratio[free].max(), THRESHOLD * ratio.std()))
+
+
+def furniture(parser: Lines, free: np.ndarray) -> set[int]:
+    """The marked elements that are furniture.
+
+    Each line belongs to its innermost marked element, or to none. The outermost of these levels that has a fair share
+    of the content is the page's own: names that mark it or what it lies in say nothing on this page. Names such as
+    'comments' need far more content for that than names such as 'has-sidebar' or 'content-sidebar-wrap'.
+    """
+    if not parser.marks:
+        return set()
+    plain = {m for m, names in parser.marks.items() if any(FURNITURE.issuperset(_WORDS.findall(x)) for x in names)}
+    articles = {c for c, marked in parser.articles.items() if plain.isdisjoint(marked)}
+    held: dict[tuple[int, ...], float] = {}
+    for i in np.flatnonzero(cluster(parser.lines, free)):
+        text, _, _, path, marked = parser.lines[i]
+        held[marked] = held.get(marked, 0.0) + len(text) * (1.0 if articles.isdisjoint(path) else ARTICLE) * (1.0 if plain.isdisjoint(marked) else PLAIN)
+    most = max(held.values())
+    home = min((m for m, v in held.items() if v >= HOME * most), key=lambda m: (len(m), -held[m]))
+    said = frozenset().union(*(parser.marks[m] for m in home))
+    return {m for m, names in parser.marks.items() if not names <= said}
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the page's main region, joined by two newlines; empty if there is none.
 
     A line's ratio is its characters over its tags (furniture has ratio 0). Lines whose smoothed ratio reaches a
     threshold over the page form the content cluster; the region is the innermost container (an open article or main
     element if there is one) that holds nearly all of that cluster's text, and all its lines that are no furniture are
-    kept, short ones too. Without such an element, lines outside the cluster's first and last line are left out.
+    kept, short ones too. Only where that is the whole page, lines outside the cluster's first and last line are left
+    out. A furniture word marks no element that holds the content (see furniture).
     """
     if not html:
         return ""
@@ -121,23 +163,24 @@ def main_text(html: str | None) -> str:
     free = np.array([not line[2] for line in lines], bool)
     if not free.any():
         return ""
-    sizes = np.array([len(line[0]) for line in lines], float)
-    ratio = smoothed(np.where(free, sizes / np.array([max(1, line[1]) for line in lines]), 0.0))
-    content = free & (ratio >= min(ratio[free].max(), THRESHOLD * ratio.std()))
+    bad = furniture(parser, free)
+    if bad:
+        free &= np.array([bad.isdisjoint(line[4]) for line in lines], bool)
+    content = cluster(lines, free)
     held: dict[int, float] = {}
     for i in np.flatnonzero(content):
         for container in lines[i][3]:
-            held[container] = held.get(container, 0.0) + sizes[i]
-    total = sizes[content].sum()
+            held[container] = held.get(container, 0.0) + len(lines[i][0])
+    total = sum(len(lines[i][0]) for i in np.flatnonzero(content))
     within = {c: v for c, v in held.items() if c in parser.articles}
     if within and max(within.values()) >= 0.5 * total:
         region = max(within, key=lambda c: (within[c], c))
-        keep = [i for i in range(len(lines)) if free[i] and region in lines[i][3]]
     else:
         region = max((c for c, v in held.items() if v >= 0.8 * total), default=0)
-        inside = [i for i in range(len(lines)) if free[i] and region in lines[i][3]]
+    keep = [i for i in range(len(lines)) if free[i] and region in lines[i][3]]
+    if region in parser.pages:
         first, last = np.flatnonzero(content)[[0, -1]]
-        keep = [i for i in inside if first <= i <= last]
+        keep = [i for i in keep if first <= i <= last]
     return "\n\n".join(lines[i][0] for i in keep)
 
 

@@ -18,6 +18,34 @@ def test_articles(page):
     assert main_text(page) == TEXT
 
 
+SIDE = "<nav><a href=/>Home</a></nav><div class=sidebar><p>Read these other pages of ours</p></div>"
+COMMENTS = "<div id=comments>" + "<p>I liked this article very much indeed, thanks to all who wrote it for us.</p>" * 9 + "</div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div id='content-sidebar-wrap'><div class=content>{BODY}</div>{SIDE}</div></body>",
+        f"<body><div id='content-sidebar-wrap'><main>{BODY}</main>{SIDE}</div><footer>x</footer></body>",
+        f"<body><p>Skip</p><div class='page has-sidebar'>{SIDE}<article>{BODY}</article>{COMMENTS}</div></body>",
+        f"<body>{SIDE}<article class='post category-social comments-open'>{BODY}</article>{COMMENTS}</body>",
+        f"<body>{SIDE}<div class=content>{BODY}</div>{COMMENTS}</body>",
+        "<body>" + SIDE + "<div class=content>" + "".join(f"<div class='x-widget'>{p}</p></div>" for p in BODY.split("</p>")[:-1]) + "</div></body>",
+    ],
+)
+def test_furniture_words_on_what_holds_the_article(page):
+    assert main_text(page) == TEXT
+
+
+def test_short_lines_of_a_container_stay():
+    long = "<p>" + "A long paragraph of the article with many words in it. " * 12 + "</p>"
+    page = f"<body><ul><li><a href=a>A</a></ul><div class=content><h1>Head</h1><p><i>By</i> <b>me</b></p><p>1 May</p><p>Hm.</p><p>So.</p>{long * 3}<p>Yes.</p><p>No.</p><p>Ah.</p><p>Well.</p><p>The end.</p></div><p>Foot</p></body>"
+    got = main_text(page).split("\n\n")
+    assert got[:5] == ["Head", "By me", "1 May", "Hm.", "So."] and got[8:] == ["Yes.", "No.", "Ah.", "Well.", "The end."]
+    one = f"<body><div class=content><h1>Head</h1>{long}<p>The end.</p></div></body>"
+    assert main_text(one).split("\n\n")[::2] == ["Head", "The end."]
+
+
 def test_broken_markup_and_references():
     assert main_text("<article><h1>Head</h1><p><b>One open &lt;tag&gt;<br><p>Two&nbsp;&eacute;&#233; end") == "Head\n\nOne open <tag>\n\nTwo éé end"
 
