@@ -20,8 +20,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(line: Column) -> Column:
-    """What is compared: lower case, digits as 0, white space runs as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\p{Nd}", "0"), r"\s+", " "))
+    """What is compared: lower case, white space runs as one space, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
 
 
 def length_classes(n: Column) -> Column:

@@ -51,6 +51,12 @@ def test_against_brute_force(spark, docs):
     check(spark, [(i, "\n".join(d)) for i, d in enumerate(docs)])
 
 
+def test_lines_that_differ_in_several_digits_stay(spark):
+    texts = ["12 March 1998: 340 of 512 votes", "30 March 2004: 918 of 777 votes", "Price: 19.90", "Price: 24.95", "12 March 1998: 340 of 513 votes", "10:15", "10:16"]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: "" if i == 4 else t for i, t in enumerate(texts)}
+
+
 def test_hard_rows_and_empty_table(hard, nothing):
     out = dedup_lines(hard)
     rows = out.collect()
