@@ -1,4 +1,5 @@
 import json
+import os
 
 from evalspark.streaming import events as streams
 from pyspark.sql import functions as F
@@ -27,6 +28,17 @@ def test_samples_complete_once(spark, tmp_path):
     assert sorted(r.sample_id for r in streams.appended(streams.first_completions(live)).collect()) == ["s0", "s1", "s2", "s3"]
 
 
+def test_files_in_reverse_time_order(spark, tmp_path):
+    for i, hour in enumerate([12, 6, 0]):
+        rows = [{"ts": f"2024-01-01T{hour:02d}:00:{s:02d}Z", "event": "task_complete", "model": "m", "status": "ok", "sample_id": f"s{s % 2 + 2 * i}", "cooldown": None} for s in range(4)]
+        (tmp_path / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(tmp_path / f"{i}.json", (1_700_000_000 + 100 * i,) * 2)
+    live = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    got = streams.latest(streams.progress(live), ("start", "model", "status")).collect()
+    assert sorted((r.start.hour, r.n) for r in got) == [(0, 4), (6, 4), (12, 4)]
+    assert sorted(r.sample_id for r in streams.appended(streams.first_completions(live)).collect()) == [f"s{i}" for i in range(6)]
+
+
 def test_batches_merge(spark, tmp_path):
     live, _ = stream(spark, tmp_path)
     new = live.select(F.col("sample_id").alias("key"), F.minute("ts").alias("v"))
