@@ -15,11 +15,28 @@ LENGTH_BITS = 6
 LEAF_PATTERN = rf"(?s)[^.!?]{{0,{LEAF - 1}}}[.!?]|[^.!?]{{1,{LEAF}}}"
 
 
+def numbered(leaves: Column) -> Column:
+    """``leaves`` with every further occurrence of a leaf told from the one before; lengths stay in the lowest bits."""
+    low = F.lit((1 << LENGTH_BITS) - 1).cast("long")
+
+    def label(x: Column, k: Column) -> Column:
+        return F.when(k == 0, x).otherwise(F.shiftleft(F.shiftright(F.xxhash64(x, k), LENGTH_BITS), LENGTH_BITS).bitwiseOR(x.bitwiseAND(low)))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        one = lambda t: lambda a, j: F.transform(F.sequence(a, F.coalesce(F.get(t, j + 1), F.size(s)) - 1), lambda i: label(F.get(s, i), i - a))
+        return F.element_at(F.transform(F.array(starts), lambda t: F.flatten(F.transform(t, one(t)))), 1)
+
+    sort = lambda x: F.element_at(F.transform(F.array(F.sort_array(x)), runs), 1)
+    return F.element_at(F.transform(F.array(leaves), lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), x).otherwise(sort(x))), 1)
+
+
 def merkle(text: Column) -> Column:
     """The tree of a text as a struct: ``root`` and, level by level, ``sections``, ``paragraphs`` and ``leaves``.
 
     Paragraphs are lines; a section is SECTION consecutive paragraphs. Sections and the root are SHA-256 digests of
-    what they stand over, so equal roots mean equal texts. Leaves are 64-bit digests of parts of paragraphs.
+    what they stand over, so equal roots mean equal texts. Leaves are 64-bit digests of parts of paragraphs; those that
+    repeat are numbered (see numbered).
     """
 
     def tree(lines: Column) -> Column:
@@ -29,7 +46,7 @@ def merkle(text: Column) -> Column:
         )
         leaf = lambda x: F.shiftleft(F.shiftright(F.xxhash64(x), LENGTH_BITS), LENGTH_BITS).bitwiseOR(F.length(x).cast("long"))
         leaves = F.flatten(F.transform(lines, lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF_PATTERN), F.lit(0)), leaf)))
-        return F.struct(sections.alias("sections"), F.transform(lines, lambda p: F.xxhash64(p)).alias("paragraphs"), F.array_distinct(leaves).alias("leaves"))
+        return F.struct(sections.alias("sections"), F.transform(lines, lambda p: F.xxhash64(p)).alias("paragraphs"), numbered(leaves).alias("leaves"))
 
     # a lambda's variable is computed once, where a repeated expression could be computed for every section
     levels = F.transform(F.array(F.split(text, "\n", -1)), tree)
@@ -38,12 +55,12 @@ def merkle(text: Column) -> Column:
 
 
 def weight(leaves: Column) -> Column:
-    """Code points under distinct leaves."""
+    """Code points under leaves."""
     return F.aggregate(leaves, F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit((1 << LENGTH_BITS) - 1).cast("long")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two trees' distinct leaves, by code points: 1 for equal roots, 0 without a common leaf."""
+    """Dice coefficient of two trees' leaves, repeats and all, by code points: 1 for equal roots, 0 without a common leaf."""
     both = weight(a["leaves"]) + weight(b["leaves"])
     return F.when(a["root"] == b["root"], 1.0).when(both == 0, 0.0).otherwise(2.0 * weight(F.array_intersect(a["leaves"], b["leaves"])) / both)
 

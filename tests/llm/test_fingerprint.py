@@ -1,7 +1,10 @@
 import hashlib
+import re
+from collections import Counter
 
 from evalspark.llm.fingerprint import fingerprint_edits
 from evalspark.llm.queries import op3_merkle_fingerprints
+from pyspark.sql import functions as F
 
 
 def test_edits_follow_the_contract(spark):
@@ -30,6 +33,22 @@ def test_differences_are_located(spark):
     assert got.first_edit == changed and got.near_next == 1.0
 
 
+def test_repeats_count(spark):
+    from evalspark.llm.fingerprint import LEAF_PATTERN, likeness, merkle
+
+    def leaves(t):
+        return Counter(x for p in t.split("\n") for x in re.findall(LEAF_PATTERN, p))
+
+    line = "The same line again and again."
+    texts = ["\n".join([line] * n) for n in (10, 1000)] + ["", "\n".join([line] * 30 + [f"Line {i} of the end." for i in range(20)]), "Other. Other. No. " + f"{line}\n{line} Other."]
+    pairs = [(a, b) for a in texts for b in texts]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", merkle(F.col("a")).alias("x"), merkle(F.col("b")).alias("y"))
+    for r in df.select("a", "b", likeness(F.col("x"), F.col("y")).alias("v")).collect():
+        size = lambda c: sum(len(x) * n for x, n in c.items())
+        a, b = leaves(r.a), leaves(r.b)
+        assert r.v == (1.0 if r.a == r.b else 2.0 * size(a & b) / (size(a) + size(b)))
+
+
 def test_many_buckets_agree_with_one(spark):
     from evalspark.llm import fingerprint as f
 
