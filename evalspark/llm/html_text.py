@@ -19,55 +19,75 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold article text.
 SKIPPED = frozenset("applet aside audio button canvas datalist dialog footer form head iframe map menu nav noembed noframes noscript object option script select style svg template textarea title video".split())
-#: Words of a class, id or role that mark page furniture.
+#: Words of a class, id or role that speak for page furniture, and words that may stand beside them in one name.
 FURNITURE = frozenset("ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent copyright disqus footer masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
-#: What such a word may say of an element that holds the whole page: it is then no furniture.
+BESIDE = frozenset("area articles bar block bottom box button buttons container first form global google header icon icons inner item items last left link links list main outer page panel post posts primary right secondary section site stories top user wrap wrapper".split())
+#: What a name may say of an element that holds the whole page: it is then no furniture.
 PAGE = frozenset("html body main".split())
 #: Blocks that are parts of a text, not containers of one.
 PARTS = frozenset("blockquote caption center dd details dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr legend li ol p pre summary ul".split())
-#: Elements that close an open paragraph when they begin.
+#: Elements that close an open one of the same or the named kind when they begin, within the nearest list or table.
 SIBLINGS = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "th", "th": "td", "option": "option"}
+LISTS = ("ul", "ol", "dl", "table")
 #: Width of the smoothing kernel in lines.
 SIGMA = 1.0
 #: Share of the standard deviation at which smoothed ratios count as content.
 THRESHOLD = 0.5
 #: Share of the fullest level's content from which an outer level of marked elements is the page's. What a character
-#: counts there in an article or main element, and under a name of nothing but furniture words ('comments').
-HOME, ARTICLE, PLAIN = 0.25, 4.0, 0.1
+#: counts there in an article or main element, and in an element with a furniture name.
+HOME, ARTICLE, NAMED = 0.25, 4.0, 0.1
 #: Characters fed to the parser at a time.
 CHUNK = 1 << 16
-_WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def furniture_name(name: str) -> bool:
+    """Whether a whole class name, id or role speaks for furniture: 'site-footer' and 'cookieNotice' do, 'no-sidebar',
+    'comments-open' and 'share-price' do not."""
+    parts = [x.lower() for x in _PARTS.findall(name)]
+    return not FURNITURE.isdisjoint(parts) and all(x in FURNITURE or x in BESIDE for x in parts)
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, count of tags, whether it never is article text, the path of open containers, and the open
-    elements that a furniture word marks (``marks`` has the class names, ids and roles with such a word)."""
+    """Collects lines (text, count of tags, element) and the tree of elements; element 0 is the page.
+
+    Per element: its parent, whether it never holds article text, whether it may be a region, whether an article or
+    main element is open, and the innermost element around it that a furniture name marks (0: none). Every event costs
+    the same at any depth: the places on the stack where a tag is open are at hand.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("", 0, False, ())]  # tag, number of the element, skipped, marked
-        self.serial = 0
+        self.stack, self.tag = [0], [""]
+        self.open: dict[str, list[int]] = {}
+        self.blocks = [0]
         self.text: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, bool, tuple[int, ...], tuple[int, ...]]] = []
-        self.articles: dict[int, tuple[int, ...]] = {}
+        self.lines: list[tuple[str, int, int]] = []
+        self.parent, self.skipped, self.region, self.article, self.marked = [0], [False], [True], [False], [0]
+        self.articles: list[int] = []
         self.marks: dict[int, frozenset[str]] = {}
         self.pages = {0}
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.stack[-1][2], tuple(s[1] for s in self.stack if (s[0] in BLOCKS and s[0] not in PARTS) or not s[0]), self.stack[-1][3]))
+            self.lines.append((text, self.tags, self.stack[-1]))
             self.tags = 0
         self.text.clear()
 
-    def pop_to(self, tag: str, fence: frozenset[str]) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in fence:
-                return
+    def place(self, tag: str) -> int:
+        """The innermost place on the stack where ``tag`` is open; 0 if it is not."""
+        at = self.open.get(tag)
+        return at[-1] if at else 0
+
+    def cut(self, at: int) -> None:
+        """Close what is open from place ``at`` on."""
+        for element in self.stack[at:]:
+            self.open[self.tag[element]].pop()
+        del self.stack[at:]
+        while self.blocks[-1] >= at:
+            self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -75,34 +95,45 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in BLOCKS:
             self.flush()
-            self.pop_to("p", BLOCKS - {"p"})
+            p = self.place("p")
+            if p and p == self.blocks[-1]:
+                self.cut(p)
             if tag in SIBLINGS:
-                self.pop_to(tag, frozenset({"ul", "ol", "dl", "table"}))
-                self.pop_to(SIBLINGS[tag], frozenset({"ul", "ol", "dl", "table"}))
+                for sibling in (tag, SIBLINGS[tag]):
+                    at = self.place(sibling)
+                    if at and at > max(map(self.place, LISTS)):
+                        self.cut(at)
         if tag in VOID:
             return
-        names = frozenset(x for k, v in attrs if k in ("class", "id", "role") and v for x in v.lower().split() if not FURNITURE.isdisjoint(_WORDS.findall(x)))
+        names = frozenset(x for k, v in attrs if k in ("class", "id", "role") and v for x in v.split() if furniture_name(x))
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        in_article = any(s[1] in self.articles for s in self.stack)
-        skipped = self.stack[-1][2] or tag in SKIPPED or hidden or (tag == "header" and not in_article)
-        self.serial += 1
-        marked = self.stack[-1][3]
-        if tag in ("article", "main") and not skipped:
-            self.articles[self.serial] = marked
+        up, element = self.stack[-1], len(self.parent)
+        skipped = self.skipped[up] or tag in SKIPPED or hidden or (tag == "header" and not self.article[up])
+        article = tag in ("article", "main") and not skipped
+        self.parent.append(up)
+        self.tag.append(tag)
+        self.skipped.append(skipped)
+        self.region.append(tag in BLOCKS and tag not in PARTS)
+        self.article.append(article or self.article[up])
+        if article:
+            self.articles.append(element)
         if names and tag not in PAGE:
-            self.marks[self.serial] = names
-            marked = (*marked, self.serial)
+            self.marks[element] = names
+        self.marked.append(element if element in self.marks else self.marked[up])
         if tag in ("html", "body"):
-            self.pages.add(self.serial)
-        self.stack.append((tag, self.serial, skipped, marked))
+            self.pages.add(element)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-            self.pop_to(tag, frozenset())
-        elif tag not in VOID:
-            self.pop_to(tag, BLOCKS)
+        at = self.place(tag)
+        if at and (tag in BLOCKS or at > self.blocks[-1]):
+            self.cut(at)
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
@@ -122,25 +153,33 @@ def cluster(lines: list[tuple], free: np.ndarray) -> np.ndarray:
     return free & (ratio >= min(ratio[free].max(), THRESHOLD * ratio.std()))
 
 
-def furniture(parser: Lines, free: np.ndarray) -> set[int]:
-    """The marked elements that are furniture.
+def furniture(page: Lines, content: np.ndarray) -> list[bool]:
+    """For each element whether it lies in furniture, as the content lines decide.
 
     Each line belongs to its innermost marked element, or to none. The outermost of these levels that has a fair share
-    of the content is the page's own: names that mark it or what it lies in say nothing on this page. Names such as
-    'comments' need far more content for that than names such as 'has-sidebar' or 'content-sidebar-wrap'.
+    of the content is the page's own: names that mark it or what it lies in say nothing on this page.
     """
-    if not parser.marks:
-        return set()
-    plain = {m for m, names in parser.marks.items() if any(FURNITURE.issuperset(_WORDS.findall(x)) for x in names)}
-    articles = {c for c, marked in parser.articles.items() if plain.isdisjoint(marked)}
-    held: dict[tuple[int, ...], float] = {}
-    for i in np.flatnonzero(cluster(parser.lines, free)):
-        text, _, _, path, marked = parser.lines[i]
-        held[marked] = held.get(marked, 0.0) + len(text) * (1.0 if articles.isdisjoint(path) else ARTICLE) * (1.0 if plain.isdisjoint(marked) else PLAIN)
+    depth = {0: 0}
+    for m in page.marks:
+        depth[m] = depth[page.marked[page.parent[m]]] + 1
+    true_article = [False] * len(page.parent)
+    for e in range(1, len(true_article)):
+        true_article[e] = true_article[page.parent[e]] or (page.article[e] and not page.article[page.parent[e]] and not page.marked[e])
+    held: dict[int, float] = {}
+    for i in np.flatnonzero(content):
+        text, _, e = page.lines[i]
+        m = page.marked[e]
+        held[m] = held.get(m, 0.0) + len(text) * (ARTICLE if true_article[e] else 1.0) * (NAMED if m else 1.0)
     most = max(held.values())
-    home = min((m for m, v in held.items() if v >= HOME * most), key=lambda m: (len(m), -held[m]))
-    said = frozenset().union(*(parser.marks[m] for m in home))
-    return {m for m, names in parser.marks.items() if not names <= said}
+    home = min((m for m, v in held.items() if v >= HOME * most), key=lambda m: (depth[m], -held[m]))
+    said: set[str] = set()
+    while home:
+        said |= page.marks[home]
+        home = page.marked[page.parent[home]]
+    bad = [False] * len(page.parent)
+    for e in range(1, len(bad)):
+        bad[e] = bad[page.parent[e]] or (e in page.marks and not page.marks[e] <= said)
+    return bad
 
 
 def main_text(html: str | None) -> str:
@@ -150,35 +189,37 @@ def main_text(html: str | None) -> str:
     threshold over the page form the content cluster; the region is the innermost container (an open article or main
     element if there is one) that holds nearly all of that cluster's text, and all its lines that are no furniture are
     kept, short ones too. Only where that is the whole page, lines outside the cluster's first and last line are left
-    out. A furniture word marks no element that holds the content (see furniture).
+    out. A furniture name marks no element that holds the content (see furniture).
     """
     if not html:
         return ""
-    parser = Lines()
+    page = Lines()
     for at in range(0, len(html), CHUNK):
-        parser.feed(html[at : at + CHUNK])
-    parser.close()
-    parser.flush()
-    lines = parser.lines
-    free = np.array([not line[2] for line in lines], bool)
+        page.feed(html[at : at + CHUNK])
+    page.close()
+    page.flush()
+    lines, parent = page.lines, page.parent
+    free = np.array([not page.skipped[e] for _, _, e in lines], bool)
     if not free.any():
         return ""
-    bad = furniture(parser, free)
-    if bad:
-        free &= np.array([bad.isdisjoint(line[4]) for line in lines], bool)
     content = cluster(lines, free)
-    held: dict[int, float] = {}
+    if page.marks:
+        bad = furniture(page, content)
+        free &= np.array([not bad[e] for _, _, e in lines], bool)
+        content = cluster(lines, free)
+    held = [0] * len(parent)
     for i in np.flatnonzero(content):
-        for container in lines[i][3]:
-            held[container] = held.get(container, 0.0) + len(lines[i][0])
-    total = sum(len(lines[i][0]) for i in np.flatnonzero(content))
-    within = {c: v for c, v in held.items() if c in parser.articles}
-    if within and max(within.values()) >= 0.5 * total:
-        region = max(within, key=lambda c: (within[c], c))
-    else:
-        region = max((c for c, v in held.items() if v >= 0.8 * total), default=0)
-    keep = [i for i in range(len(lines)) if free[i] and region in lines[i][3]]
-    if region in parser.pages:
+        held[lines[i][2]] += len(lines[i][0])
+    for e in range(len(held) - 1, 0, -1):
+        held[parent[e]] += held[e]
+    region = max(page.articles, key=lambda e: (held[e], e), default=0)
+    if not region or held[region] < 0.5 * held[0]:
+        region = max(e for e in range(len(held)) if page.region[e] and held[e] >= 0.8 * held[0])
+    inside = [region == 0] * len(parent)
+    for e in range(1, len(inside)):
+        inside[e] = e == region or inside[parent[e]]
+    keep = [i for i in range(len(lines)) if free[i] and inside[lines[i][2]]]
+    if region in page.pages:
         first, last = np.flatnonzero(content)[[0, -1]]
         keep = [i for i in keep if first <= i <= last]
     return "\n\n".join(lines[i][0] for i in keep)

@@ -1,5 +1,7 @@
+import time
+
 import pytest
-from evalspark.llm.html_text import extract_pages, main_text
+from evalspark.llm.html_text import extract_pages, furniture_name, main_text
 
 BODY = "<p>The article's first paragraph is long enough to read &amp; has <b>bold</b> words.</p><p>Short.</p><p>Another   long\n paragraph of the article with many words in it.</p>"
 TEXT = "The article's first paragraph is long enough to read & has bold words.\n\nShort.\n\nAnother long paragraph of the article with many words in it."
@@ -37,6 +39,26 @@ def test_furniture_words_on_what_holds_the_article(page):
     assert main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("name", ["layout no-sidebar", "post comments-open", "hasSidebar", "category-social", "page share-price"])
+@pytest.mark.parametrize("where", ["<div class='{}'><article>{}</article></div>", "<article class='{}'>{}</article>", "<div class='{}'><div class=content>{}</div></div>"])
+def test_names_that_only_contain_a_furniture_word(name, where):
+    assert main_text(f"<body>{SIDE}{where.format(name, BODY)}{COMMENTS}<div class='siteFooter'>About us</div></body>") == TEXT
+
+
+def test_only_whole_names_speak():
+    assert all(map(furniture_name, ["sidebar", "site-footer", "cookie_notice", "navBar", "related-posts", "ad1"]))
+    assert not any(map(furniture_name, ["no-sidebar", "share-price", "comments-open", "content-sidebar-wrap", "header", "post", "", "x-widget"]))
+    page = f"<article>{BODY}<p class='share-price'>Up 3 percent</p><div class='share-buttons'>Post it</div></article>"
+    assert main_text(page) == TEXT + "\n\nUp 3 percent"
+
+
+@pytest.mark.parametrize("head", ["<div>", "<b>", "<div class=sidebar>", "<table><td><ul><div>", "<ul><li>"])
+def test_deep_nesting_costs_no_more_than_its_length(head):
+    start = time.process_time()
+    assert main_text(head * 50_000 + "<p>text here</p><td>x" * 2_000).startswith("text here\n\n")
+    assert time.process_time() - start < 20
+
+
 def test_short_lines_of_a_container_stay():
     long = "<p>" + "A long paragraph of the article with many words in it. " * 12 + "</p>"
     page = f"<body><ul><li><a href=a>A</a></ul><div class=content><h1>Head</h1><p><i>By</i> <b>me</b></p><p>1 May</p><p>Hm.</p><p>So.</p>{long * 3}<p>Yes.</p><p>No.</p><p>Ah.</p><p>Well.</p><p>The end.</p></div><p>Foot</p></body>"
