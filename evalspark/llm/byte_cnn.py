@@ -12,7 +12,7 @@ BLOCK = 256
 WIDTH = 5
 #: A short chunk's length is an input of the chunk's score, divided by this.
 LENGTH_SCALE = 8.0
-#: Share of label-1 texts of a step that are cut to a random span of less than SHORT bytes: short texts are rare.
+#: Share of the texts of a step, of either label, that are cut to a random span of less than SHORT bytes.
 CROPPED, SHORT = 0.08, 256
 #: Small samples are passed over more often, up to so many steps.
 LEAST_STEPS = 300
@@ -91,11 +91,11 @@ class ByteCnn:
         return 1 / (1 + np.exp(-np.clip(mean, -30, 30)))
 
 
-def fit(texts: list[bytes], labels: list[int], *, n_filters: int = 32, n_hidden: int = 16, epochs: int = 12, batch: int = 48, most_blocks: int = 8, rate: float = 0.01, seed: int = 7) -> ByteCnn:
-    """Train by Adam on the logistic loss, both classes weighted alike.
+def fit(texts: list[bytes], labels: list[int], *, n_filters: int = 32, n_hidden: int = 16, epochs: int = 6, batch: int = 48, rate: float = 0.01, seed: int = 7) -> ByteCnn:
+    """Train by Adam on the logistic loss, both classes weighted alike; a step takes ``batch`` whole texts.
 
-    A step takes ``batch`` texts and of each a random run of at most ``most_blocks`` blocks (whole texts are scored
-    later; only steps are bounded). With one class only, the model answers that class's share.
+    A share of the texts, whatever their label, is cut to a short span, so that shortness itself says nothing. With one
+    class only, the model answers that class.
     """
     model = ByteCnn.start(n_filters, n_hidden, seed)
     y = np.asarray(labels, np.float32)
@@ -112,7 +112,8 @@ def fit(texts: list[bytes], labels: list[int], *, n_filters: int = 32, n_hidden:
         order = r.permutation(len(y))
         for a in range(0, len(order), batch):
             step += 1
-            grads = _gradients(model, [texts[i] for i in order[a : a + batch]], y[order[a : a + batch]], weight[order[a : a + batch]], most_blocks, r)
+            part = order[a : a + batch]
+            grads = _gradients(model, [_spanned(texts[i], r) for i in part], y[part], weight[part])
             lr = rate * (1 - step / (steps_all + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for p, g, m, v in zip(model.params(), grads, first_moment, second, strict=True):
                 m += 0.1 * (g - m)
@@ -121,27 +122,41 @@ def fit(texts: list[bytes], labels: list[int], *, n_filters: int = 32, n_hidden:
     return model
 
 
-def _gradients(model: ByteCnn, texts: list[bytes], y: np.ndarray, weight: np.ndarray, most_blocks: int, r: np.random.Generator) -> list[np.ndarray]:
-    rows, sizes, counts = [], [], []
-    for t, label in zip(texts, y, strict=True):
-        if label == 1 and r.random() < CROPPED:
-            span = int(r.integers(0, SHORT))
-            at = int(r.integers(0, max(1, len(t) - span)))
-            t = t[at : at + span]
-        n = max(1, -(-len(t) // BLOCK))
-        at = int(r.integers(0, n - most_blocks + 1)) if n > most_blocks else 0
-        counts.append(min(n, most_blocks))
-        for k in range(at, at + counts[-1]):
-            row = np.zeros(BLOCK + WIDTH - 1, np.uint8)
-            piece = np.frombuffer(t[k * BLOCK : (k + 1) * BLOCK + WIDTH - 1], np.uint8)
-            row[: len(piece)] = piece
-            rows.append(row)
-            sizes.append(max(1, min(BLOCK, len(t) - k * BLOCK)))
-    block, size, count = np.stack(rows), np.array(sizes), np.array(counts)
-    act = model.convolve(block)
-    act[np.arange(BLOCK)[None, :] >= size[:, None]] = -np.inf
-    where = act.argmax(axis=1)  # (blocks, F)
-    raw = np.take_along_axis(act, where[:, None, :], 1)[:, 0, :] + model.bias
+def _spanned(text: bytes, r: np.random.Generator) -> bytes:
+    """The text, or with probability CROPPED a random span of it of less than SHORT bytes."""
+    if r.random() >= CROPPED:
+        return text
+    span = int(r.integers(0, SHORT))
+    at = int(r.integers(0, max(1, len(text) - span)))
+    return text[at : at + span]
+
+
+def _pooled(model: ByteCnn, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of all blocks of the texts: bytes, size, where each filter is largest and its value there; and blocks per text.
+
+    A few blocks at a time are convolved, so long texts need no more memory for it than short ones.
+    """
+    count = np.array([max(1, -(-len(t) // BLOCK)) for t in texts])
+    block = np.zeros((count.sum(), BLOCK + WIDTH - 1), np.uint8)
+    size = np.empty(len(block), np.int64)
+    at = 0
+    for t, n in zip(texts, count, strict=True):
+        flat = np.zeros(n * BLOCK + WIDTH - 1, np.uint8)
+        flat[: len(t)] = np.frombuffer(t, np.uint8)
+        block[at : at + n] = np.lib.stride_tricks.sliding_window_view(flat, BLOCK + WIDTH - 1)[::BLOCK]
+        size[at : at + n] = np.clip(len(t) - np.arange(n) * BLOCK, 1, BLOCK)
+        at += n
+    where, raw = np.empty((len(block), len(model.bias)), np.int64), np.empty((len(block), len(model.bias)), np.float32)
+    for a in range(0, len(block), 64):
+        act = model.convolve(block[a : a + 64])
+        act[np.arange(BLOCK)[None, :] >= size[a : a + 64, None]] = -np.inf
+        where[a : a + 64] = act.argmax(axis=1)
+        raw[a : a + 64] = np.take_along_axis(act, where[a : a + 64, None, :], 1)[:, 0, :] + model.bias
+    return block, size, where, raw, count
+
+
+def _gradients(model: ByteCnn, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    block, size, where, raw, count = _pooled(model, texts)
     pooled = np.maximum(raw, 0)
     first = np.concatenate([[0], np.cumsum(count)])
     left = np.delete(np.arange(first[-1]), (first[1:] - 1)[count > 1])

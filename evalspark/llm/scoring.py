@@ -11,28 +11,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.llm.arrow_text import strips, utf8
-from evalspark.llm.common import kept_columns
+from evalspark.llm.common import kept_columns, stored
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str, label_col: str, most_rows: int, most_bytes: int) -> tuple[list[bytes], list[int]]:
-    """At most ``most_rows`` labelled texts that are not held out, by ascending hash of their id, and their labels.
+def training_sample(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str, label_col: str, most_rows: int) -> DataFrame:
+    """``id``, ``label`` and whole ``text`` of at most ``most_rows`` labelled rows that are not held out.
 
-    Only the sampled ids are joined with the texts; a text longer than ``most_bytes`` trains by a slice from its
-    middle, so the driver holds a bounded number of bytes.
+    The rows with the smallest hashes of their ids are taken. One row per id: an id with two different labels is left
+    out, of repeated documents the smallest text counts. Null ids and labels other than 0 and 1 are left out, null
+    texts are empty. The sample is written to the shared folder; only its ids were joined with the texts.
     """
     picked = (
         labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out)
-        .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-        .orderBy(F.xxhash64("id"), "id", "label")
+        .groupBy(F.col(id_col).alias("id"))
+        .agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other"))
+        .filter("label = other")
+        .select("id", "label")
+        .orderBy(F.xxhash64("id"), "id")
         .limit(most_rows)
     )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n = F.length(text)
-    most = most_bytes // 4
-    middle = F.when(n <= most, text).otherwise(F.substring(text, F.floor((n - most) / 2).cast("int") + 1, F.lit(most)))
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     # the sample is bounded by most_rows, so this side always fits a broadcast
-    rows = docs.select(F.col(id_col).alias("id"), middle.alias("text")).join(F.broadcast(picked), "id").collect()
-    rows.sort(key=lambda r: (r["id"], r["label"], r["text"]))
+    found = docs.select(F.col(id_col).alias("id"), text).join(F.broadcast(picked), "id")
+    return stored(found.groupBy("id", "label").agg(F.min("text").alias("text")), "training")
+
+
+def collected(sample: DataFrame, most_bytes: int) -> tuple[list[bytes], list[int]]:
+    """Whole texts of a sample and their labels, in the order of the ids' hashes, as far as ``most_bytes`` go; a text
+    that no longer fits is passed over."""
+    sizes = sample.select("id", F.octet_length("text").alias("size"), F.xxhash64("id").alias("order")).collect()
+    chosen, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["order"], r["id"])):
+        if total + r["size"] <= most_bytes:
+            chosen.append(r["id"])
+            total += r["size"]
+    if len(chosen) < len(sizes):
+        kept = sample.sparkSession.createDataFrame([(i,) for i in chosen], f"id {sample.schema['id'].dataType.simpleString()}")
+        sample = sample.join(F.broadcast(kept), "id", "left_semi")
+    rows = sorted(sample.collect(), key=lambda r: r["id"])
     return [r["text"].encode() for r in rows], [r["label"] for r in rows]
 
 

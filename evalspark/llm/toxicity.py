@@ -9,16 +9,17 @@ from evalspark.llm.scoring import score_texts, training_sample
 
 #: Most labelled rows that the classifier is fitted on (a bounded sample, chosen by a hash of the id).
 MOST_ROWS = 6000
-#: Bytes of a labelled text that training reads at most; scoring always reads whole texts.
-MOST_BYTES = 1 << 16
 #: Bytes scored at a time.
 STRIP = 1 << 18
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> ngram_linear.NgramLinear:
-    """Fit on at most ``most_rows`` labelled rows for which ``held_out`` is false; null labels are left out."""
-    texts, marks = training_sample(docs, labels, held_out, id_col, text_col, label_col, most_rows, MOST_BYTES)
-    return ngram_linear.fit(texts, marks)
+    """Fit on at most ``most_rows`` labelled rows for which ``held_out`` is false.
+
+    Whole texts are learnt: tasks count their n-grams, the driver sees counts and bits only. Null labels and ids are
+    left out, as are ids with two labels; repeated ids count once.
+    """
+    return ngram_linear.fit(training_sample(docs, labels, held_out, id_col, text_col, label_col, most_rows))
 
 
 def score_toxicity(docs: DataFrame, model: ngram_linear.NgramLinear, text_col: str = "text", score_col: str = "score") -> DataFrame:
