@@ -1,6 +1,8 @@
 """The corpus pipeline: quality filter, line dedup, near-duplicate removal, mixing and packing of ``documents``.
 
-Each stage works on all its predecessor kept; all but the last return the columns of documents.
+Each stage works on all its predecessor kept; all but the last return the columns of documents. A stage's result is
+written and read again as the next one's documents. Null ids and texts, repeated rows and an empty table pass through
+every stage (see the operators); a text without words is a document like any other.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import table
+from evalspark.llm.common import stored, table
 from evalspark.llm.line_dedup import dedup_lines
 from evalspark.llm.mixing import mix
 from evalspark.llm.near_dup import keep_one
@@ -61,6 +63,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +17,17 @@ from evalspark.llm.components import components
 
 #: Words of a shingle; likeness from which documents are near-duplicates.
 WORDS, LEAST = 5, 0.8
-#: Sketches of a document, and how many must agree before a pair is aligned. A sketch is the two smallest
+#: Sketches of a document, and how many must agree before a pair is compared. A sketch is the two smallest
 #: occurrence-labelled shingles in text order: at likeness 0.8 two documents agree in it with probability 0.64, so a
 #: pair is missed with a probability of 2e-6.
 SKETCHES, AGREE = 16, 2
-STRIP = 1 << 20
+#: Bytes of text whose words are hashed at a time.
+STRIP = 1 << 18
 #: Most shingles that are put last in the order of prefixes for being common (a bounded list; it only saves work).
 COMMON = 1 << 16
-#: Nodes that share a prefix shingle up to which their pairs are joined, and rows of a block of a larger group.
-PAIRED, BLOCK = 32, 512
+#: Nodes that share a prefix shingle up to which their pairs are joined; rows and bytes of half a block of a larger
+#: group. Either way the same pairs are compared.
+PAIRED, BLOCK, BLOCK_BYTES = 32, 512, 1 << 20
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,16 +37,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    out = []
-    for base in (_BASE, inverse):
-        p = np.full(n + 1, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 class Sketcher:
     """Order MinHash sketches of many texts at once."""
 
@@ -51,26 +45,44 @@ class Sketcher:
         self.words = words
         self.multipliers = r.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salts = r.integers(1, 1 << 63, n, dtype=np.uint64)
-        self.powers = _powers(0)
+        letter = r.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        letter[65:91] = letter[97:123]
+        self.letter, self.power = letter, np.ones(1, np.uint64)
 
-    def words_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words (runs without ASCII white space, A to Z folded) and each text's first word."""
-        part = data[offsets[0] : offsets[-1]]
-        ends = offsets[1:] - offsets[0]
-        space = (part == 32) | ((part >= 9) & (part <= 13))
+    def word_hashes(self, part: np.ndarray, space: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the words of ``part``; a word also begins at each of the ascending ``edges``."""
         begins = ~space
-        begins[1:] &= space[:-1] | False
-        edge = ends[:-1]
-        edge = edge[edge < len(part)]
-        begins[edge] = ~space[edge]
+        begins[1:] &= space[:-1]
+        begins[edges] = ~space[edges]
         start = np.flatnonzero(begins)
-        stops = np.flatnonzero(np.append(space, True) | np.isin(np.arange(len(part) + 1), ends, assume_unique=True)) if len(start) else np.zeros(0, int)
-        stop = stops[np.searchsorted(stops, start, "right")] if len(start) else start
-        if len(self.powers[0]) <= len(part):
-            self.powers = _powers(len(part))
-        lower = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.uint64) + np.uint64(1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lower * self.powers[0][: len(part)], dtype=np.uint64)])
-        return mixed((sums[stop] - sums[start]) * self.powers[1][start]), np.searchsorted(start, offsets - offsets[0])
+        if not len(start):
+            return start, np.zeros(0, np.uint64)
+        place = np.arange(len(part)) - start[np.maximum(np.cumsum(begins) - 1, 0)]
+        longest = int(place[~space].max()) + 1
+        if len(self.power) < longest:
+            self.power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(longest, _BASE, np.uint64)]))
+        value = self.letter[part] * self.power[np.where(space, 0, place)]
+        value[space] = 0
+        return start, mixed(np.add.reduceat(value, start))
+
+    def words_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words (runs without ASCII white space, A to Z folded) and each text's first word.
+
+        Longer stretches are taken in pieces that end at white space.
+        """
+        part, ends = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        space = (part == 32) | ((part >= 9) & (part <= 13))
+        gaps = np.flatnonzero(space) if len(part) > STRIP else np.zeros(0, int)
+        starts, hashes, at = [np.zeros(0, int)], [np.zeros(0, np.uint64)], 0
+        while at < len(part):
+            gap = np.searchsorted(gaps, at + STRIP)
+            until = int(gaps[gap]) if gap < len(gaps) else len(part)
+            inner = ends[np.searchsorted(ends, at) : np.searchsorted(ends, until)] - at
+            start, h = self.word_hashes(part[at:until], space[at:until], inner)
+            starts.append(start + at)
+            hashes.append(h)
+            at = until
+        return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends)
 
     def shingles(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrence-labelled shingle hashes in text order, and each text's first one. A text of fewer words than a
@@ -123,7 +135,30 @@ class Sketcher:
 
 
 def banded_common(a: list, b: list, band: int) -> int:
-    """Length of the longest common subsequence of alignments that stay within ``band`` of the diagonal.
+    """Length of the longest common subsequence of ``a`` and ``b`` by matches within ``band`` of the diagonal.
+
+    Where items seldom repeat, matches are threaded in order of ``b`` (a longest rising run); else see banded_bits.
+    """
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    matches = [places.get(y, ()) for y in b]
+    if sum(map(len, matches)) > 4 * (len(a) + len(b)):
+        return banded_bits(a, b, band)
+    tails: list[int] = []
+    for j, found in enumerate(matches):
+        for i in reversed(found):
+            if abs(i - j) <= band:
+                at = bisect.bisect_left(tails, i)
+                if at == len(tails):
+                    tails.append(i)
+                else:
+                    tails[at] = i
+    return len(tails)
+
+
+def banded_bits(a: list, b: list, band: int) -> int:
+    """The same for items that repeat often.
 
     Bit-parallel: bit i of ``open_`` is 0 where place i of ``a`` ends a longer common subsequence; each item of ``b``
     updates only the bits of its band.
@@ -155,10 +190,13 @@ def shingle_list(text: bytes, words: int = WORDS) -> list:
 
 def aligned_likeness(a: bytes, b: bytes, least: float = LEAST) -> float:
     """Shingles that the best banded alignment has in common, over all shingles of both; 0 if it is under ``least``."""
-    x, y = shingle_list(a), shingle_list(b)
+    return list_likeness(shingle_list(a), shingle_list(b), least) if a != b else 1.0
+
+
+def list_likeness(x: list, y: list, least: float) -> float:
     total = len(x) + len(y)
     if not x or not y:
-        return 1.0 if a == b else 0.0
+        return float(x == y)
     needed = least * total / (1 + least)
     if min(len(x), len(y)) < needed - 1e-9:
         return 0.0
@@ -169,7 +207,11 @@ def aligned_likeness(a: bytes, b: bytes, least: float = LEAST) -> float:
     while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
         tail += 1
     band = int(total - 2 * needed + 1e-9) + 1
-    common = head + tail + banded_common(x[head : len(x) - tail], y[head : len(y) - tail], band)
+    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+    # what both hold at all bounds every alignment
+    if head + tail + (Counter(x) & Counter(y)).total() < needed - 1e-9:
+        return 0.0
+    common = head + tail + banded_common(x, y, band)
     return common / (total - common) if common >= needed - 1e-9 else 0.0
 
 
@@ -194,16 +236,25 @@ def overlaps(shingled: list[np.ndarray]) -> np.ndarray:
 def block_links(rows: DataFrame, least: float) -> DataFrame:
     """Links (``a``, ``b``) that join the classes of a block's nodes as far as likeness allows.
 
-    ``rows`` (block, node, label, text, left, right) lie together by block. Shared shingles of all pairs are counted
-    at once; only pairs that reach ``least`` thereby and whose classes are not joined yet are aligned.
+    ``rows`` (block, node, label, text, sketch, left, right) lie together by block. Shared shingles of all pairs are
+    counted at once; only pairs that reach ``least`` thereby, agree in AGREE sketches and whose classes are not joined
+    yet are aligned.
     """
 
-    def links(nodes: list[int], labels: list[int], texts: list[bytes], left: np.ndarray, right: np.ndarray, sketcher: Sketcher) -> list[tuple[int, int]]:
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        h, at = sketcher.shingles(np.frombuffer(b"".join(texts), np.uint8), offsets)
-        size = np.diff(at)
-        common = overlaps([h[at[i] : at[i + 1]] for i in range(len(texts))])
-        of = {x: x for x in labels}
+    def links(block: pa.Table, sketcher: Sketcher) -> tuple[list[int], list[int]]:
+        data, offsets = utf8(block.column("text").combine_chunks())
+        node, label, left, right = (block.column(c).to_numpy() for c in ("node", "label", "left", "right"))
+        sketch = block.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        parts, size = [], np.zeros(len(node), np.int64)
+        for a, b in strips(offsets, STRIP):
+            h, at = sketcher.shingles(data, offsets[a : b + 1])
+            parts.extend(h[at[i] : at[i + 1]] for i in range(b - a))
+            size[a:b] = np.diff(at)
+        good = np.triu(overlaps(parts) * (1 + least) >= least * (size[:, None] + size[None, :]) - 1e-3, 1)
+        good &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
+        good &= label[:, None] != label[None, :]
+        of = {x: x for x in label.tolist()}
+        shingled: dict[int, list] = {}
 
         def root(x: int) -> int:
             while of[x] != x:
@@ -211,30 +262,37 @@ def block_links(rows: DataFrame, least: float) -> DataFrame:
                 x = of[x]
             return x
 
-        good = np.triu(common * (1 + least) >= least * (size[:, None] + size[None, :]) - 1e-3, 1)
-        good &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
-        found = []
-        for i, j in zip(*np.nonzero(good), strict=True):
-            if root(labels[i]) != root(labels[j]) and aligned_likeness(texts[i], texts[j], least) >= least:
-                of[root(labels[i])] = root(labels[j])
-                found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-        return found
+        def items(i: int) -> list:
+            if i not in shingled:
+                shingled[i] = shingle_list(data[offsets[i] : offsets[i + 1]].tobytes())
+            return shingled[i]
+
+        one, two = [], []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(good)), strict=True):
+            x, y = root(int(label[i])), root(int(label[j]))
+            if x != y and np.count_nonzero(sketch[i] == sketch[j]) >= AGREE and list_likeness(items(i), items(j), least) >= least:
+                of[x] = y
+                one.append(int(node[i]))
+                two.append(int(node[j]))
+        return one, two
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher()
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
 
         def close() -> pa.RecordBatch:
-            flags = [np.array([r[c] for r in held], bool) for c in ("left", "right")]
-            found = links([r["node"] for r in held], [r["label"] for r in held], [r["text"].encode() for r in held], *flags, sketcher) if len(held) > 1 else []
+            one, two = links(pa.Table.from_batches(held), sketcher)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["block"] != row["block"]:
+            block = batch.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if held and hi > lo and held[0].column("block")[0].as_py() != block[lo]:
                     yield close()
-                held.append(row)
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
         if held:
             yield close()
 
@@ -243,16 +301,22 @@ def block_links(rows: DataFrame, least: float) -> DataFrame:
 
 def in_blocks(rows: DataFrame) -> DataFrame:
     """``rows`` (token, node, ...) of large groups, each in all blocks of its group's block pairs; together by block."""
-    size = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    need = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)
+    size = stored(rows.groupBy("token").agg(F.ceil(need).cast("int").alias("blocks")), "block_counts")
     mine = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int").alias("mine")
     each = rows.join(size, "token").select("*", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     block = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("block")
-    placed = each.select(block, "node", "label", "text", (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
+    placed = each.select(block, "node", "label", "text", "sketch", (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
     return placed.repartition("block").sortWithinPartitions("block", "node")
 
 
+def identity(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes by which texts are taken as equal."""
+    return F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """``id``, ``node`` (hash of the whole text), ``n`` (shingles) and ``sketch`` of each row of ``id``, ``text``."""
+    """``id``, ``h`` and ``g`` (see identity), ``n`` (shingles) and ``sketch`` of each row of ``id``, ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher()
@@ -263,10 +327,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 rows[a:b], sizes[a:b] = sketcher.sketch(data, offsets[a : b + 1])
             values = pa.array(rows.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * SKETCHES), values)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(sizes), lists], names=["id", "node", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h", "g")), pa.array(sizes), lists], names=["id", "h", "g", "n", "sketch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.withColumn("node", F.xxhash64("text")).mapInArrow(run, f"id {kind}, node long, n long, sketch array<long>")
+    return docs.mapInArrow(run, f"id {kind}, h long, g long, n long, sketch array<long>")
 
 
 def _tokens(batch: pa.RecordBatch, sketcher: Sketcher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -277,14 +341,14 @@ def _tokens(batch: pa.RecordBatch, sketcher: Sketcher) -> Iterator[tuple[int, in
 
 
 def common_shingles(texts: DataFrame, most: int = COMMON) -> list[tuple[int, int]]:
-    """Up to ``most`` (labelled shingle, count) that occur most, as far as batches of rows show them more than once."""
+    """Up to ``most`` (labelled shingle, count) that occur most, as far as strips of rows show them more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher()
         for batch in batches:
-            parts = [h for _, _, h, _ in _tokens(batch, sketcher)]
-            token, count = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token[count > 1]), pa.array(count[count > 1])], names=["token", "n"])
+            for _, _, h, _ in _tokens(batch, sketcher):
+                token, count = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token[count > 1]), pa.array(count[count > 1])], names=["token", "n"])
 
     counted = texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return [tuple(r) for r in counted.orderBy(F.col("n").desc(), "token").limit(most).collect()]
@@ -346,46 +410,54 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: float = LEAST) -> DataFrame:
-    """One row per input row: ``id``, ``node`` (its text), ``class_id`` (smallest id of its class) and ``kept``.
+    """One row per input row: ``id``, ``node`` (a number of its text), ``class_id`` (smallest id of its class), ``kept``.
 
     Rows are of one class when a chain of equal texts and of pairs with likeness of at least ``least`` joins them.
     Likeness: shingles of five words that a banded alignment has in common, over all shingles of both.
 
-    Equal texts are one node. Nodes that share a sketch meet in buckets. First every node is aligned with the bucket
-    centre it agrees with most. Then the nodes of buckets that still hold several classes are compared between
-    classes: an exact prefix filter groups them by rare shingles; pairs of small groups that agree in AGREE sketches
-    are aligned, larger groups are counted block by block and aligned only where counts reach ``least`` and classes
-    are still apart. So texts that merely share a passage make few pairs, a large group makes no pairs outside its
-    blocks, and no pair that could join two classes is left out.
+    Equal texts (by two hashes) are one node. Nodes that share a sketch meet in buckets. First every node is aligned
+    with the bucket centre it agrees with most. Then the nodes of buckets that still hold several classes are compared
+    between classes: an exact prefix filter groups them by rare shingles; in a group, small or large, the pairs that
+    agree in AGREE sketches and whose shared shingles allow ``least`` are aligned. Large groups go block by block. So
+    texts that merely share a passage make few pairs, a large group makes no pairs outside its blocks, and no pair that
+    could join two classes is left out. Tables that a hot key meets are stored first, so that a skewed side of the join
+    can be split.
 
     Null texts count as empty; empty texts are one class. Null ids never are a class's id unless it has no other (the
     class id is then null). ``kept`` is true for the row with the class's id (rows that repeat id and text: for each of
     them). Other columns are not carried.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return classes(docs, id_col, text_col, least).drop("h", "g")
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """near_duplicates with the hashes ``h`` and ``g`` of each row's text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), *identity(text))
     rows = stored(sketches(base), "sketches")
-    nodes = stored(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    keys = nodes.select("node", F.explode("sketch").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    nodes = rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keys = nodes.filter("n > 0").select("node", F.explode("sketch").alias("key"))
+    buckets = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     shared = stored(keys.join(buckets, "key"), "shared")
     # a bucket's centre is its node with the most company over all its buckets: the text that the others derive from
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
-    centres = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("most")).select("key", F.col("most.node").alias("a"))
+    centres = stored(shared.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("most")).select("key", F.col("most.node").alias("a")), "centres")
     members = stored(shared.join(centres, "key").select("key", "a", F.col("node").alias("b")), "members")
     stars = members.filter("a <> b").select("a", "b").distinct()
-    first = _likely(stars, nodes, least).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    wanted = members.select(F.col("b").alias("node")).distinct().join(nodes.select("node", "id"), "node")
-    with_node = base.withColumn("node", F.xxhash64("text"))
-    wanted = wanted.select(F.col("node").alias("__node"), F.col("id").alias("__id"))
-    one = with_node.join(wanted, (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__id")))
+    first = stored(_likely(stars, nodes, least).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "first")
+    wanted = members.select(F.col("b").alias("node")).distinct().join(nodes.select("node", "id", "h", "g"), "node")
+    wanted = wanted.select("node", F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("g").alias("__g"))
+    one = base.join(wanted, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g")) & F.col("id").eqNullSafe(F.col("__id")))
     texts = stored(one.groupBy("node").agg(F.first("text").alias("text")), "texts")
     found = stored(verified(first, texts, least), "links")
     label = components(found)
-    placed = members.select("key", F.col("b").alias("node")).join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    split = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    open_ = stored(placed.join(split, "key").select("node", "label").distinct().join(texts, "node"), "open")
+    placed = stored(members.select("key", F.col("b").alias("node")).join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
+    split = stored(placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "split")
+    open_ = placed.join(split, "key").select("node", "label").distinct().join(texts, "node")
+    open_ = stored(open_.join(nodes.select("node", "sketch"), "node"), "open")
     tokens = stored(prefixes(open_, common_shingles(open_), least), "prefixes")
-    mixed = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("token", "size")
+    mixed = stored(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("token", "size"), "mixed")
     sides = stored(tokens.join(mixed, "token"), "sides")
     side = lambda s: sides.filter(F.col("size") <= PAIRED).select("token", F.col("node").alias(s), F.col("label").alias(f"l{s}"))
     rest = side("a").join(side("b"), "token").filter("a < b and la <> lb").select("a", "b").distinct()
@@ -394,16 +466,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = sides.filter(F.col("size") > PAIRED).select("token", "node").join(open_, "node")
     more = pairs.unionByName(stored(block_links(in_blocks(large), least), "links"))
     label = components(found.unionByName(more))
-    classed = rows.select("id", "node").join(label, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label"))
+    named = nodes.join(label, "node", "left").select("h", "g", "node", F.coalesce("label", "node").alias("label"))
+    classed = stored(rows.select("id", "h", "g").join(named, ["h", "g"]).select("id", "h", "g", "node", "label"), "classed")
     first_row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("keeper")
-    of_class = classed.groupBy("label").agg(first_row)
+    of_class = stored(classed.groupBy("label").agg(first_row), "classes")
     kept = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("node") == F.col("keeper.node"))
-    return classed.join(of_class, "label").select("id", "node", F.col("keeper.id").alias("class_id"), kept.alias("kept"))
+    return classed.join(of_class, "label").select("id", "h", "g", "node", F.col("keeper.id").alias("class_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: float = LEAST) -> DataFrame:
-    """``docs`` with one row left of each class of near_duplicates: the one with the smallest id."""
-    keepers = near_duplicates(docs, id_col, text_col, least=least).filter("kept").select(F.col("id").alias("__id"), F.col("node").alias("__node")).distinct()
-    rows = docs.select(as_row(docs).alias("row"), F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__node"))
-    one = rows.join(keepers, rows["__id"].eqNullSafe(keepers["__id"]) & (rows["__node"] == keepers["__node"]), "left_semi")
-    return one.dropDuplicates(["__id", "__node"]).select("row.*")
+    """``docs`` with one row left of each class of near_duplicates: the one with the smallest id.
+
+    Of rows that repeat that id and text, one stays.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keepers = classes(docs, id_col, text_col, least).filter("kept").select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("g").alias("__g")).distinct()
+    h, g = identity(text)
+    rows = docs.select(as_row(docs).alias("row"), F.col(id_col).alias("__id"), h.alias("__h"), g.alias("__g"))
+    same = rows["__id"].eqNullSafe(keepers["__id"]) & (rows["__h"] == keepers["__h"]) & (rows["__g"] == keepers["__g"])
+    return rows.join(keepers, same, "left_semi").dropDuplicates(["__id", "__h", "__g"]).select("row.*")
