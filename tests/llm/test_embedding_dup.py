@@ -1,9 +1,9 @@
 import math
-import random
 
 import numpy as np
 import pytest
-from evalspark.llm.embedding_dup import encode, plan_bands, vector_links
+from evalspark.llm import embedding_dup
+from evalspark.llm.embedding_dup import encode, joined, plan_bands, rotations, vector_links, widths
 from evalspark.llm.queries import op10_rotated_code_links
 
 
@@ -52,19 +52,39 @@ def test_a_large_group_of_near_copies(spark, n):
     assert all(g[1] == n - 1 and g[2] == 0 for g in got)
 
 
-def test_estimates_are_unbiased():
-    r = random.Random(3)
-    g = np.random.default_rng(3)
-    x = g.normal(size=(4000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q = x[r.randrange(4000)]
-    _, code, factor, query = encode(x, 8, 8)
-    _, _, _, qq = encode(q[None, :], 8, 8)
-    signs = (2.0 * np.unpackbits(code, axis=1) - 1) / 8
-    estimate = signs @ (qq[0] / 127.0) / factor
-    assert abs((estimate - x @ q).mean()) < 0.02
+@pytest.mark.parametrize(("dims", "spread", "block"), [(2, 0.3, 64), (3, 0.25, 40), (16, 0.24, 1024), (64, 0.27, 50)])
+def test_several_blocks_with_pairs_on_both_sides_of_the_threshold(spark, monkeypatch, dims, spread, block):
+    monkeypatch.setattr(embedding_dup, "BLOCK", block)
+    r = np.random.default_rng(dims)
+    centres = r.normal(size=(3, dims))
+    x = (centres[r.integers(0, 3, 240)] / np.linalg.norm(centres, axis=1).mean() + spread / math.sqrt(dims) * r.normal(size=(240, dims))).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(tuple(v) for v in vector_links(df, miss=1e-7).select("id", "n_links", "component_id", "kept").collect())
+    assert got == brute(rows) and any(0 < g[1] < 70 for g in got)
+
+
+@pytest.mark.parametrize("dims", [2, 3, 16, 64, 256])
+def test_bounds_keep_pairs_at_the_threshold(dims):
+    r = np.random.default_rng(dims)
+    x, y = embedding_dup.units(r.normal(size=(2, 4000, dims)).reshape(8000, dims)).reshape(2, 4000, dims)
+    y = embedding_dup.units(y - (x * y).sum(1, keepdims=True) * x)
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * y
+    signs, factor = encode(x, 6, 4)
+    code = (2.0 * np.unpackbits(signs, axis=1, count=dims) - 1) / math.sqrt(dims)
+    estimate = (code * (y @ rotations(dims, 1)[0])).sum(1) / factor
+    assert (estimate >= 0.93 - widths(factor, dims, 0.93)).all()
+    assert dims < 16 or abs(estimate.mean() - 0.93) < 0.02
+
+
+def test_bands_grow_with_the_table():
     assert plan_bands(10**9, 0.93)[0] > plan_bands(10**4, 0.93)[0]
 
 
+def test_classes_of_a_block():
+    label = joined(np.arange(7), np.array([6, 5, 2, 0]), np.array([5, 2, 1, 3]))
+    assert label.tolist() == [0, 1, 1, 0, 4, 1, 1]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
