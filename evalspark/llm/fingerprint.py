@@ -9,8 +9,10 @@ from evalspark.llm.common import range_of
 
 #: Paragraphs of a section; most code points of a leaf.
 SECTION, LEAF = 4, 48
-#: A leaf's digest keeps its length in its lowest bits.
+#: A leaf's code keeps its length in its lowest bits.
 LENGTH_BITS = 6
+#: Ids sampled per bucket to find the buckets' edges.
+PER_BUCKET = 20
 #: A leaf ends at a sentence's end or is cut at LEAF code points; leaves cover every code point.
 LEAF_PATTERN = rf"(?s)[^.!?]{{0,{LEAF - 1}}}[.!?]|[^.!?]{{1,{LEAF}}}"
 
@@ -32,26 +34,36 @@ def numbered(leaves: Column) -> Column:
 
 
 def merkle(text: Column) -> Column:
-    """The tree of a text as a struct: ``root`` and, level by level, ``sections``, ``paragraphs`` and ``leaves``.
+    """The hash tree of a text as a struct: ``root``, ``size`` (code points under leaves) and ``sections``, each with its
+    ``digest``, the digests of its ``paragraphs`` and the codes of its ``leaves``.
 
-    Paragraphs are lines; a section is SECTION consecutive paragraphs. Sections and the root are SHA-256 digests of
-    what they stand over, so equal roots mean equal texts. Leaves are 64-bit digests of parts of paragraphs; those that
-    repeat are numbered (see numbered).
+    Leaves are parts of paragraphs, paragraphs are lines, a section is SECTION consecutive paragraphs. Every digest is
+    the SHA-256 of a letter for its level and of what stands below it: a leaf's of its text, the others' of their
+    children's digests. So equal roots mean equal texts. A leaf's code is a 64-bit hash that keeps its length.
     """
-
-    def tree(lines: Column) -> Column:
-        sections = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / SECTION).cast("int")),
-            lambda i: F.sha2(F.array_join(F.slice(lines, i * SECTION + 1, F.lit(SECTION)), "\n"), 256),
+    digest = lambda level, parts: F.sha2(F.concat(F.lit(level), F.array_join(parts, "")), 256)
+    code = lambda x: F.shiftleft(F.shiftright(F.xxhash64(x), LENGTH_BITS), LENGTH_BITS).bitwiseOR(F.length(x).cast("long"))
+    # a lambda's variable is computed once, where a repeated expression could be computed for every use
+    once = lambda x, use: F.element_at(F.transform(F.array(x), use), 1)
+
+    def paragraph(line: Column) -> Column:
+        return once(
+            F.regexp_extract_all(line, F.lit(LEAF_PATTERN), F.lit(0)),
+            lambda leaves: F.struct(digest("p", F.transform(leaves, lambda x: F.sha2(F.concat(F.lit("l"), x), 256))).alias("digest"), F.transform(leaves, code).alias("leaves")),
         )
-        leaf = lambda x: F.shiftleft(F.shiftright(F.xxhash64(x), LENGTH_BITS), LENGTH_BITS).bitwiseOR(F.length(x).cast("long"))
-        leaves = F.flatten(F.transform(lines, lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF_PATTERN), F.lit(0)), leaf)))
-        return F.struct(sections.alias("sections"), F.transform(lines, lambda p: F.xxhash64(p)).alias("paragraphs"), numbered(leaves).alias("leaves"))
 
-    # a lambda's variable is computed once, where a repeated expression could be computed for every section
-    levels = F.transform(F.array(F.split(text, "\n", -1)), tree)
-    rooted = F.transform(levels, lambda t: F.struct(F.sha2(F.array_join(t["sections"], ""), 256).alias("root"), t["sections"].alias("sections"), t["paragraphs"].alias("paragraphs"), t["leaves"].alias("leaves")))
-    return F.element_at(rooted, 1)
+    def section(paragraphs: Column) -> Column:
+        digests = F.transform(paragraphs, lambda p: p["digest"])
+        return F.struct(digest("s", digests).alias("digest"), digests.alias("paragraphs"), F.flatten(F.transform(paragraphs, lambda p: p["leaves"])).alias("leaves"))
+
+    def sections(paragraphs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(paragraphs) - 1) / SECTION).cast("int")), lambda i: section(F.slice(paragraphs, i * SECTION + 1, F.lit(SECTION))))
+
+    def tree(sections: Column) -> Column:
+        size = F.aggregate(sections, F.lit(0).cast("long"), lambda n, s: n + weight(s["leaves"]))
+        return F.struct(digest("r", F.transform(sections, lambda s: s["digest"])).alias("root"), size.alias("size"), sections.alias("sections"))
+
+    return once(once(F.transform(F.split(text, "\n", -1), paragraph), sections), tree)
 
 
 def weight(leaves: Column) -> Column:
@@ -60,30 +72,42 @@ def weight(leaves: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two trees' leaves, repeats and all, by code points: 1 for equal roots, 0 without a common leaf."""
-    both = weight(a["leaves"]) + weight(b["leaves"])
-    return F.when(a["root"] == b["root"], 1.0).when(both == 0, 0.0).otherwise(2.0 * weight(F.array_intersect(a["leaves"], b["leaves"])) / both)
+    """Dice coefficient of two trees' leaves, repeats and all, by code points: 1 for equal roots, 0 without a common leaf.
+
+    Found down the branches: sections at the same place with equal digests have all their leaves in common, and only the
+    leaves of the other sections are held against each other.
+    """
+    other = F.filter(F.zip_with(a["sections"], b["sections"], lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda s: ~s["x"]["digest"].eqNullSafe(s["y"]["digest"]))
+    rest = lambda side: F.flatten(F.transform(other, lambda s: F.coalesce(s[side]["leaves"], F.array().cast("array<long>"))))
+    both = a["size"] + b["size"]
+    same = lambda x, y: a["size"] - weight(x) + weight(F.array_intersect(numbered(x), numbered(y)))
+    sides = F.array(F.struct(rest("x").alias("x"), rest("y").alias("y")))
+    common = F.element_at(F.transform(sides, lambda s: same(s["x"], s["y"])), 1)
+    return F.when(a["root"] == b["root"], 1.0).when(both == 0, 0.0).otherwise(2.0 * common / both)
 
 
 def first_difference(a: Column, b: Column) -> Column:
     """Index of the first paragraph in which two trees differ, found down the first differing section; null if none."""
-    section = F.array_position(F.zip_with(a["sections"], b["sections"], lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int") - 1
-    part = lambda t: F.slice(t["paragraphs"], section * SECTION + 1, F.lit(SECTION))
-    inside = F.array_position(F.zip_with(part(a), part(b), lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int") - 1
-    return F.when(section >= 0, section * SECTION + inside)
+    unequal = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False)).cast("int") - 1
+    digests = lambda t: F.transform(t["sections"], lambda s: s["digest"])
+    section = unequal(digests(a), digests(b))
+    part = lambda t: F.coalesce(F.get(t["sections"], section)["paragraphs"], F.array().cast("array<string>"))
+    return F.when(section >= 0, section * SECTION + unequal(part(a), part(b)))
 
 
-def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rows_per_bucket: int = 2000, most_buckets: int = 4096) -> DataFrame:
+def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rows_per_bucket: int = 2000, most_buckets: int = 1 << 15) -> DataFrame:
     """``id``, ``text`` (null: empty) and ``bucket`` of every row, plus a copy (``ghost`` true) of each bucket's first
     row in the bucket before it (the very first in the last): then the next row is always in a row's own bucket.
+
+    Buckets are ranges of ids, of any type that sorts, between ids of a bounded sample (PER_BUCKET a bucket).
     """
-    d = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = d.count()
-    buckets = max(1, min(most_buckets, n // rows_per_bucket))
-    cuts: list[int] = []
+    d = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    buckets = max(1, min(most_buckets, d.count() // rows_per_bucket))
+    cuts: list = []
     if buckets > 1:
-        shares = [i / buckets for i in range(1, buckets)]
-        cuts = sorted(set(d.agg(F.percentile_approx("id", shares, max(10_000, 20 * buckets))).first()[0] or []))
+        sample = d.select("id").filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(PER_BUCKET * buckets).collect()
+        cuts = sorted({r["id"] for r in sample})
+        cuts = cuts[:: max(1, len(cuts) // buckets)][1:]
     d = d.withColumn("bucket", range_of(F.col("id"), cuts))
     heads = {r["bucket"]: r for r in d.groupBy("bucket").agg(F.min("id").alias("id"), F.bool_or(F.col("id").isNull()).alias("null")).collect()}
     order = sorted(heads)
@@ -103,7 +127,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Fingerprint every text and its edited form (its last quarter replaced by the next row's first code points).
 
     The next row is the one with the next id (nulls first; the first row follows the last; equal ids go by text).
-    Returns per row: ``id``, ``text``, ``edited``, ``tree``, ``edited_tree`` (see merkle), ``near_edited`` and
+    Ids may be of any type that sorts. Returns per row: ``id``, ``text``, ``edited``, ``tree``, ``edited_tree`` (see merkle), ``near_edited`` and
     ``near_next`` (see likeness) and ``first_edit`` (paragraph index, null if the edit changes nothing). Null texts
     count as empty; two empty texts are equal. Other columns are not carried. An empty table gives an empty result.
     """
