@@ -11,10 +11,11 @@ from evalspark.llm.common import as_row, cut, kept_columns, range_of, unpack
 
 #: The sort key has 40 bits of the text's hash above 23 bits of the row id's hash.
 KEY_BITS, ROW_BITS = 63, 23
-#: Bits of a histogram's first round and of each later one.
-FIRST_BITS, NEXT_BITS = 12, 8
+#: Bits of a histogram's first round, most bits of each later one, and most cells (as bits) that a round brings to the
+#: driver: many open splitters are refined in smaller steps.
+FIRST_BITS, NEXT_BITS, CELL_BITS = 12, 8, 20
 #: Bytes of a key range that one task sorts, and most ranges of all shards.
-RANGE_BYTES, MOST_RANGES = 32 << 20, 4096
+RANGE_BYTES, MOST_RANGES = 32 << 20, 1 << 16
 
 
 @dataclass
@@ -39,9 +40,9 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[
     still = {i: Open(t, s, 0, KEY_BITS, 0) for i, (t, s) in enumerate(targets)}
     while still:
         shift = next(iter(still.values())).shift
-        bits = min(shift, FIRST_BITS if shift == KEY_BITS else NEXT_BITS)
-        lower = shift - bits
         inside = sorted({o.prefix for o in still.values()})
+        bits = min(shift, FIRST_BITS if shift == KEY_BITS else max(1, min(NEXT_BITS, CELL_BITS - len(inside).bit_length())))
+        lower = shift - bits
         rows = (
             keys.filter(F.shiftright("key", shift).isin(inside) if shift < KEY_BITS else F.lit(True))
             .groupBy(F.shiftright("key", lower).alias("cell"))
