@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import as_row, stored
 from evalspark.llm.near_dup import mixed
 
-#: Lines of fewer characters must be equal to be repeats; from here on one edit is allowed.
+#: Lines of fewer characters must be equal to be repeats by default; from here on one edit is allowed.
 SHORT = 12
 #: Ratio of neighbouring length classes; parts of a line in the two blocking passes.
 RATIO, COARSE, FINE = 1.125, 2, 8
@@ -21,13 +21,14 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def normal(line: Column) -> Column:
     """What is compared: lower case, white space runs as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    # most lines hold single spaces only and match nowhere
+    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[^\S ]", " "))
 
 
 def length_classes(n: Column) -> Column:
     """Classes of n and n-1: lines whose lengths differ by one share at least one class."""
     of = lambda x: F.floor(F.log(x.cast("double")) / float(np.log(RATIO))).cast("int")
-    return F.array_distinct(F.array(of(n), of(n - 1)))
+    return F.array_compact(F.array_distinct(F.array(of(n), F.when(n > 1, of(n - 1)))))
 
 
 def block_keys(line: Column, parts: int) -> Column:
@@ -80,12 +81,27 @@ def deletion_variants(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, f"at {kind}, variant long, place int")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def with_lines(text: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the text's lines: as a lambda's variable they are split once, however often they are used."""
+    return F.element_at(F.transform(F.array(F.split(text, "\n", -1)), use), 1)
+
+
+def without(lines: Column, drop: Column) -> Column:
+    """``lines`` but those at the ascending places ``drop``: the slices between these places."""
+
+    def pieces(d: Column) -> Column:
+        start = lambda k: F.when(k == 0, 0).otherwise(F.get(d, k - 1) + 1)
+        return F.transform(F.sequence(F.lit(0), F.size(d)), lambda k: F.slice(lines, start(k) + 1, F.coalesce(F.get(d, k), F.size(lines)) - start(k)))
+
+    return F.flatten(F.element_at(F.transform(F.array(drop), pieces), 1))
+
+
+def repeated_lines(docs: DataFrame, short: int) -> DataFrame:
     """``id``, ``node`` and ``drop`` (ascending line numbers) of the rows of ``id``, ``node``, ``text`` with repeats."""
     each = docs.select("id", "node", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     each = each.select("id", "node", "pos", normal(F.col("raw")).alias("line")).filter("line <> ''")
     at = F.struct("id", "node", "pos").alias("at")
-    long = F.length("line") >= SHORT
+    long = F.length("line") >= short
     coarse = F.when(long, F.transform(block_keys(F.col("line"), COARSE), lambda k: k["key"])).alias("keys")
     seen = stored(each.select(at, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), coarse), "lines")
     distinct = stored(seen.groupBy("h", "g").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys")), "distinct_lines")
@@ -94,7 +110,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").count().filter("count > 1").select("key")
     near = keys.join(shared, "key").select("first").distinct()
     by_doc = near.groupBy("first.id", "first.node").agg(F.collect_list("first.pos").alias("places"))
-    wanted = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), x.alias("raw"))), lambda x: F.array_contains("places", x["pos"]))
+    wanted = with_lines(F.col("text"), lambda lines: F.transform("places", lambda i: F.struct(i.alias("pos"), F.get(lines, i).alias("raw"))))
     lines = docs.join(by_doc, docs["id"].eqNullSafe(by_doc["id"]) & (docs["node"] == by_doc["node"])).select(docs["id"], docs["node"], F.explode(wanted).alias("x"))
     lines = lines.select(F.struct("id", "node", F.col("x.pos").alias("pos")).alias("at"), normal(F.col("x.raw")).alias("line")).dropDuplicates(["at"])
     lines = stored(lines, "near_lines")
@@ -118,10 +134,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("at.id", "at.node").agg(F.array_sort(F.collect_set("at.pos")).alias("drop"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, short: int = SHORT) -> DataFrame:
     """``df`` with every line left out of its text that repeats an earlier line of any row, and ``lines_dropped``.
 
-    Lines are compared in normal form (see normal). A line goes if an equal line, or (from SHORT characters on) a line
+    Lines are compared in normal form (see normal). A line goes if an equal line, or (from ``short`` characters on) a line
     within one insertion, deletion or substitution, comes earlier: in ascending id, then text hash, then place. Blank
     lines stay. The order does not depend on what was dropped: a line goes also if the earlier one goes too.
 
@@ -136,10 +152,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text = F.col(text_col)
     node = F.xxhash64(F.coalesce(text, F.lit("")))
     docs = df.select(F.col(id_col).alias("id"), node.alias("node"), text.alias("text")).filter("text is not null")
-    drops = repeated_lines(docs).select(F.col("id").alias("__id"), F.col("node").alias("__node"), "drop")
+    drops = repeated_lines(docs, short).select(F.col("id").alias("__id"), F.col("node").alias("__node"), "drop")
     rows = df.select(as_row(df).alias("row"), F.col(id_col).alias("__id"), node.alias("__node"), text.alias("__text"))
     joined = rows.join(drops, rows["__id"].eqNullSafe(drops["__id"]) & (rows["__node"] == drops["__node"]), "left")
-    kept = F.array_join(F.filter(F.split("__text", "\n", -1), lambda x, i: ~F.array_contains("drop", i)), "\n")
+    kept = F.array_join(with_lines(F.col("__text"), lambda lines: without(lines, F.col("drop"))), "\n")
     new = F.when(F.col("drop").isNull(), F.col("__text")).otherwise(kept)
     columns = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns if c.lower() != "lines_dropped"]
     return joined.select(*columns, F.coalesce(F.size("drop"), F.lit(0)).alias("lines_dropped"))

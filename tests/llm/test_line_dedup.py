@@ -1,13 +1,15 @@
 import re
+import time
 
 import pytest
-from evalspark.llm.line_dedup import SHORT, dedup_lines
+from evalspark.llm.line_dedup import SHORT, dedup_lines, with_lines, without
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 
 def normal(s):
-    return re.sub(r"\s+", " ", re.sub(r"\d", "0", s.lower()), flags=re.A).strip(" ")
+    return re.sub(r"\s+", " ", s.lower(), flags=re.A).strip(" ")
 
 
 def within_one(a, b):
@@ -19,13 +21,13 @@ def within_one(a, b):
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else (a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :])
 
 
-def expected(rows):
+def expected(rows, short=SHORT):
     seen, out = [], {}
     for i, t in sorted(rows):
         keep = []
         for line in t.split("\n"):
             n = normal(line)
-            late = n and any(n == m or (min(len(n), len(m)) >= SHORT and within_one(n, m)) for m in seen)
+            late = n and any(n == m or (min(len(n), len(m)) >= short and within_one(n, m)) for m in seen)
             if n:
                 seen.append(n)
             if not late:
@@ -34,9 +36,9 @@ def expected(rows):
     return out
 
 
-def check(spark, rows):
-    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == expected(rows)
+def check(spark, rows, short=SHORT):
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), short=short).collect()}
+    assert got == expected(rows, short)
 
 
 def test_edits_of_each_kind(spark):
@@ -51,6 +53,35 @@ def test_against_brute_force(spark, docs):
     check(spark, [(i, "\n".join(d)) for i, d in enumerate(docs)])
 
 
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 300), st.lists(st.tuples(st.integers(0, 299), st.sampled_from(["", "x", "yz", " ", "é\t"])), max_size=2)), min_size=2, max_size=30), st.randoms(use_true_random=False))
+def test_long_lines_against_brute_force(spark, cuts, r):
+    base = "".join(r.choice("abcdefgh  ") for _ in range(300))
+    lines = []
+    for n, edits in cuts:
+        line = base[:n]
+        for at, new in edits:
+            line = line[:at] + new + line[at + 1 :]
+        lines.append(line)
+    check(spark, [(i, "\n".join(lines[i::5])) for i in range(5)])
+
+
+def test_short_lines_by_parameter(spark):
+    check(spark, [(0, "a\nb\nab\nabc"), (1, "xyz\nxz\nqqqq\nq"), (2, "Ab\tc\n\nzzzz"), (3, "same  words\nsame words\nsame\twords")], short=1)
+
+
+def test_very_many_lines_in_one_document(spark):
+    n = 100_000
+    text = "\n".join(f"line number {i} of a long list" if i % 3 else "one and the same line" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    assert df.select(F.size(with_lines(F.col("text"), lambda x: without(x, F.sequence(F.lit(1), F.lit(n - 1), F.lit(3))))).alias("n")).first().n == n - n // 3
+    assert time.time() - start < 30
+    same = spark.createDataFrame([(1, "\n".join(["one and the same line"] * n))], "doc_id long, text string")
+    row = dedup_lines(same).first()
+    assert row.text == "one and the same line" and row.lines_dropped == n - 1
+
+
 def test_lines_that_differ_in_several_digits_stay(spark):
     texts = ["12 March 1998: 340 of 512 votes", "30 March 2004: 918 of 777 votes", "Price: 19.90", "Price: 24.95", "12 March 1998: 340 of 513 votes", "10:15", "10:16"]
     got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
