@@ -28,21 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as a checkpoint in the shared folder, so that its lineage ends there."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialise ``df`` as a checkpoint in the shared folder, so that its lineage ends there (``rows`` as in stored)."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else in_files(df, rows)).checkpoint(eager=True)
 
 
 #: Spark's setting that removes a query's shuffle files when the query ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows for which a stored table or a checkpoint gets a file of its own, where the number of rows has a known bound.
+FILE_ROWS = 100_000
+
+
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most ``rows`` rows in no more partitions than its rows need, so that small tables make few files."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back (columns prune, blocks compress).
 
-    The table is complete when this returns, so the shuffle files of its making are removed with the write.
+    ``rows``: a bound on its rows, from which the number of files follows. The table is complete when this returns, so
+    the shuffle files of its making are removed with the write.
     """
+    df = df if rows is None else in_files(df, rows)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")

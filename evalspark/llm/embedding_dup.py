@@ -216,11 +216,12 @@ def vector_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     base = base.withColumns({"h": F.when(F.col("vector").isNotNull(), F.xxhash64("group", "vector")), "g": F.xxhash64(F.lit(1), "group", "vector")})
     nodes = base.filter("h is not null").groupBy("h", "g").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("id"), F.first("group").alias("group"), F.first("vector").alias("vector"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    n = nodes.count()
     most = nodes.groupBy("group").count().agg(F.max("count")).first()[0] or 0
     bits, bands = plan_bands(most, least, miss)
     codes = stored(encoded(nodes, bits, bands, kind), "codes")
     keyed = codes.select("node", "group", F.posexplode("keys").alias("band", "key")).select("node", "band", F.xxhash64("group", "band", "key").alias("bucket"))
-    sizes = stored(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    sizes = stored(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets", n * bands)
     placed = (
         keyed.join(sizes, "bucket")
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -231,9 +232,9 @@ def vector_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = placed.join(codes.select("node", "rows", "signs", "factor", "vector"), "node").repartition("block").sortWithinPartitions("block", "node")
     sums = stored(block_sums(rows, least, bits, bands, kind), "link_sums")
     ends = sums.groupBy("node").agg(F.sum("around").alias("around"))
-    label = components(sums.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "of")
-    named = stored(nodes.join(label, nodes["node"] == label["of"], "left").select("node", "h", "g", "id", "rows", F.coalesce("label", "node").alias("label")), "named")
-    least_id = stored(named.groupBy("label").agg(F.min("id").alias("component_id")), "least_ids")
+    label = components(sums.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), n).withColumnRenamed("node", "of")
+    named = stored(nodes.join(label, nodes["node"] == label["of"], "left").select("node", "h", "g", "id", "rows", F.coalesce("label", "node").alias("label")), "named", n)
+    least_id = stored(named.groupBy("label").agg(F.min("id").alias("component_id")), "least_ids", n)
     known = named.join(least_id, "label").join(ends, "node", "left").select("h", "g", "component_id", (F.coalesce("around", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     out = base.select("id", "h", "g").join(known, ["h", "g"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

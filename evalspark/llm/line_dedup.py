@@ -104,7 +104,8 @@ def repeated_lines(docs: DataFrame, short: int) -> DataFrame:
     long = F.length("line") >= short
     coarse = F.when(long, F.transform(block_keys(F.col("line"), COARSE), lambda k: k["key"])).alias("keys")
     seen = stored(each.select(at, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), coarse), "lines")
-    distinct = stored(seen.groupBy("h", "g").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys")), "distinct_lines")
+    n = seen.count()
+    distinct = stored(seen.groupBy("h", "g").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys")), "distinct_lines", n)
 
     keys = distinct.filter("keys is not null").select("first", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").count().filter("count > 1").select("key")
@@ -113,7 +114,7 @@ def repeated_lines(docs: DataFrame, short: int) -> DataFrame:
     wanted = with_lines(F.col("text"), lambda lines: F.transform("places", lambda i: F.struct(i.alias("pos"), F.get(lines, i).alias("raw"))))
     lines = docs.join(by_doc, docs["id"].eqNullSafe(by_doc["id"]) & (docs["node"] == by_doc["node"])).select(docs["id"], docs["node"], F.explode(wanted).alias("x"))
     lines = lines.select(F.struct("id", "node", F.col("x.pos").alias("pos")).alias("at"), normal(F.col("x.raw")).alias("line")).dropDuplicates(["at"])
-    lines = stored(lines, "near_lines")
+    lines = stored(lines, "near_lines", n)
 
     fine = lines.select("at", F.explode(block_keys(F.col("line"), FINE)).alias("k")).select("at", "k.*")
     shared = fine.groupBy("key").count().filter("count > 1").select("key")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.arrow_text import strips, utf8
-from evalspark.llm.common import as_row, stored
+from evalspark.llm.common import FILE_ROWS, as_row, stored
 from evalspark.llm.components import components
 
 #: Words of a shingle; likeness from which documents are near-duplicates.
@@ -27,7 +27,7 @@ STRIP = 1 << 18
 COMMON = 1 << 16
 #: Nodes that share a prefix shingle up to which their pairs are joined; rows and bytes of half a block of a larger
 #: group. Either way the same pairs are compared.
-PAIRED, BLOCK, BLOCK_BYTES = 32, 512, 1 << 20
+PAIRED, BLOCK, BLOCK_BYTES = 32, 256, 1 << 20
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -435,41 +435,45 @@ def classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFr
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), *identity(text))
     rows = stored(sketches(base), "sketches")
+    n = rows.count()
     nodes = rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", n)
     keys = nodes.filter("n > 0").select("node", F.explode("sketch").alias("key"))
-    buckets = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    shared = stored(keys.join(buckets, "key"), "shared")
+    buckets = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets", n * SKETCHES)
+    shared = stored(keys.join(buckets, "key"), "shared", n * SKETCHES)
     # a bucket's centre is its node with the most company over all its buckets: the text that the others derive from
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
-    centres = stored(shared.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("most")).select("key", F.col("most.node").alias("a")), "centres")
-    members = stored(shared.join(centres, "key").select("key", "a", F.col("node").alias("b")), "members")
+    centres = stored(shared.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("most")).select("key", F.col("most.node").alias("a")), "centres", n * SKETCHES)
+    members = stored(shared.join(centres, "key").select("key", "a", F.col("node").alias("b")), "members", n * SKETCHES)
     stars = members.filter("a <> b").select("a", "b").distinct()
-    first = stored(_likely(stars, nodes, least).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "first")
+    first = stored(_likely(stars, nodes, least).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "first", n)
     wanted = members.select(F.col("b").alias("node")).distinct().join(nodes.select("node", "id", "h", "g"), "node")
     wanted = wanted.select("node", F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("g").alias("__g"))
     one = base.join(wanted, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g")) & F.col("id").eqNullSafe(F.col("__id")))
     texts = stored(one.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    found = stored(verified(first, texts, least), "links")
-    label = components(found)
-    placed = stored(members.select("key", F.col("b").alias("node")).join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
-    split = stored(placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "split")
+    # few rows come out of much work: they are dealt out once more, into few files
+    few = lambda links: links.repartition(max(1, n // FILE_ROWS))
+    found = stored(few(verified(first, texts, least)), "links")
+    label = components(found, n)
+    placed = stored(members.select("key", F.col("b").alias("node")).join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed", n * SKETCHES)
+    split = stored(placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "split", n * SKETCHES)
     open_ = placed.join(split, "key").select("node", "label").distinct().join(texts, "node")
     open_ = stored(open_.join(nodes.select("node", "sketch"), "node"), "open")
     tokens = stored(prefixes(open_, common_shingles(open_), least), "prefixes")
-    mixed = stored(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("token", "size"), "mixed")
-    sides = stored(tokens.join(mixed, "token"), "sides")
+    m = tokens.count()
+    mixed = stored(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("token", "size"), "mixed", m)
+    sides = stored(tokens.join(mixed, "token"), "sides", m)
     side = lambda s: sides.filter(F.col("size") <= PAIRED).select("token", F.col("node").alias(s), F.col("label").alias(f"l{s}"))
     rest = side("a").join(side("b"), "token").filter("a < b and la <> lb").select("a", "b").distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(verified(_likely(rest.join(tried, ["a", "b"], "left_anti"), nodes, least), texts, least), "links")
+    pairs = stored(few(verified(_likely(rest.join(tried, ["a", "b"], "left_anti"), nodes, least), texts, least)), "links")
     large = sides.filter(F.col("size") > PAIRED).select("token", "node").join(open_, "node")
-    more = pairs.unionByName(stored(block_links(in_blocks(large), least), "links"))
-    label = components(found.unionByName(more))
+    more = pairs.unionByName(stored(few(block_links(in_blocks(large), least)), "links"))
+    label = components(found.unionByName(more), n)
     named = nodes.join(label, "node", "left").select("h", "g", "node", F.coalesce("label", "node").alias("label"))
-    classed = stored(rows.select("id", "h", "g").join(named, ["h", "g"]).select("id", "h", "g", "node", "label"), "classed")
+    classed = stored(rows.select("id", "h", "g").join(named, ["h", "g"]).select("id", "h", "g", "node", "label"), "classed", n)
     first_row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("keeper")
-    of_class = stored(classed.groupBy("label").agg(first_row), "classes")
+    of_class = stored(classed.groupBy("label").agg(first_row), "classes", n)
     kept = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("node") == F.col("keeper.node"))
     return classed.join(of_class, "label").select("id", "h", "g", "node", F.col("keeper.id").alias("class_id"), kept.alias("kept"))
 

@@ -33,7 +33,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, held_out: Column, id_col
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     # the sample is bounded by most_rows, so this side always fits a broadcast
     found = docs.select(F.col(id_col).alias("id"), text).join(F.broadcast(picked), "id")
-    return stored(found.groupBy("id", "label").agg(F.min("text").alias("text")), "training")
+    return stored(found.groupBy("id", "label").agg(F.min("text").alias("text")).coalesce(max(1, most_rows // 500)), "training")
 
 
 def collected(sample: DataFrame, most_bytes: int) -> tuple[list[bytes], list[int]]:
