@@ -98,13 +98,26 @@ def unquoted(c: Column) -> Column:
     return F.when(t.rlike('^(".*"|“.*”|\'.*\')$') & (F.length(t) >= 2), F.regexp_replace(t, r"(?s)^.(.*).$", "$1")).otherwise(t)
 
 
+def utc_time(c: Column) -> Column:
+    """An ISO time; one without a zone counts as UTC. Anything else is null."""
+    t = F.trim(c)
+    zoned = F.when(t.rlike(r"(Z|[+-]\d{2}:\d{2})$"), t).otherwise(F.concat(t, F.when(t.contains(":"), "Z").otherwise("T00:00:00Z")))
+    return F.try_to_timestamp(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), zoned))
+
+
 def first_time(*columns: Column) -> Column:
     """The first of several texts that is an ISO time."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c)) for c in columns])
+    return F.coalesce(*[utc_time(c) for c in columns])
 
 
 def utc_text(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A time as text in UTC, to the second; missing is ''."""
+    return F.coalesce(F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+
+
+def variant_label(model: Column, level: Column) -> Column:
+    """Base name and reasoning level as one label."""
+    return F.concat(base_model(clean(model)), F.lit("@reasoning="), F.coalesce(F.nullif(clean(level), F.lit("")), F.lit("default")))
 
 
 def is_control(flag: Column, technique: Column) -> Column:

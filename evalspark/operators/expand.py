@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import sample_id
+from evalspark.functions.text import sample_id, variant_label
 
 
 def matches(model: Column, pattern: str) -> Column:
@@ -59,7 +59,7 @@ def variants(models: DataFrame, rules: Mapping[str, str], default_provider: str,
             "model_provider": provider_of(F.col("model_id"), rules, default_provider),
         }
     )
-    v = v.withColumn("model_row", F.concat("model_name", F.lit("@reasoning="), "model_reasoning_level"))
+    v = v.withColumn("model_row", variant_label(F.col("model_name"), F.col("model_reasoning_level")))
     return v.withColumn("model_label", F.concat("model_org", F.lit("/"), "model_row"))
 
 
@@ -82,7 +82,8 @@ def first_of(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def known_settings(settings: DataFrame, models: DataFrame) -> DataFrame:
-    """Per-model settings (``pattern``) that apply to some selected model."""
-    m = models.select("model_id")
-    prefix = F.col("pattern").endswith("/*") & F.col("model_id").startswith(F.expr("left(pattern, length(pattern) - 1)"))
-    return settings.join(m, (F.col("pattern") == "*") | (F.col("pattern") == F.col("model_id")) | prefix, "left_semi")
+    """Per-model settings (``pattern``) that apply to some selected model: each model names the patterns that match it."""
+    parts = F.split("model_id", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/*")))
+    named = F.array_append(F.array_append(F.slice(above, 1, F.size(above) - 1), F.col("model_id")), F.lit("*"))
+    return settings.join(models.select(F.explode(named).alias("pattern")).distinct(), "pattern", "left_semi")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalspark.scratch import stored
 
 # The wording of rows that cannot be graded.
 SOURCE_ERROR = "Cannot grade response with source error: "
@@ -77,6 +79,22 @@ def call(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], made: str = "
     return rows.mapInPandas(run, T.StructType([*keep, T.StructField(made, T.StringType()), T.StructField("error", T.StringType())]))
 
 
+def graded(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], most: int) -> DataFrame:
+    """``rows`` with a judge's text (``raw``, see call) read by judged; rows whose text is empty or does not parse are
+    asked again, ``most`` times at most. ``asked`` is the number of the last time, from 0.
+
+    Every round's answers are stored, so no row is asked more often than that. What is empty at last scores 0.
+    """
+    columns, done = rows.columns, []
+    for again in range(most + 1):
+        answers = stored(judged(call(rows.withColumn("asked", F.lit(again)), fn, "raw").withColumnRenamed("error", "call_error")))
+        settled = (F.coalesce(F.trim("raw"), F.lit("")) != "") & (F.col("error") == "") if again < most else F.lit(True)
+        done.append(answers.filter(settled))
+        rows = answers.filter(~settled).select(*columns)
+    out = reduce(DataFrame.unionByName, done)
+    return out.withColumn("error", F.when(F.col("call_error") != "", F.col("call_error")).otherwise(F.col("error"))).drop("call_error")
+
+
 def first_object(text: str | None) -> str | None:
     """The first balanced JSON object in a text, quotes and escapes observed."""
     depth, start, quoted, skip = 0, -1, False, False

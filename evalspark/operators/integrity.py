@@ -34,6 +34,18 @@ def report(expected: DataFrame, actual: DataFrame, key: str = "sample_id") -> Da
     )
 
 
+def outside(rows: DataFrame, allowed: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Ids of ``rows`` that ``allowed`` lacks (blank ones apart); must be empty before a report is made."""
+    named = rows.select(key).filter(F.coalesce(F.trim(key), F.lit("")) != "").distinct()
+    return named.join(allowed.select(key), key, "left_anti")
+
+
+def other_judge(checkpoint: DataFrame, judge_model: str) -> DataFrame:
+    """Checkpoint rows that another judge has graded; must be empty before grading goes on."""
+    given = F.coalesce(F.trim("judge_model"), F.lit(""))
+    return checkpoint.filter((given != "") & (given != judge_model))
+
+
 def require_empty(df: DataFrame, message: str) -> None:
     """Fail with a few of the offending rows."""
     bad = df.limit(5).collect()
@@ -41,6 +53,11 @@ def require_empty(df: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {[r.asDict() for r in bad]}")
 
 
+def sources(rows: DataFrame, column: str) -> DataFrame:
+    """One row: how many values ``column`` has, and whether there is one at most."""
+    return rows.agg(F.count_distinct(column).alias("sources")).withColumn("single", F.col("sources") <= 1)
+
+
 def single_source(rows: DataFrame, column: str) -> None:
     """All rows must come from one responses file."""
-    require_empty(rows.select(column).distinct().agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"rows differ in {column}")
+    require_empty(sources(rows, column).filter("not single"), f"rows differ in {column}")

@@ -104,11 +104,13 @@ def bucket_mix(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def saturation(rows: DataFrame, top: int) -> DataFrame:
-    """Per question: how many of the ``top`` models were scored on it, how many reached bucket 2, and whether all did."""
+    """Per question: how many of the ``top`` models were scored on it, how many reached bucket 2, and whether all of the
+    top models did (one without a score has not)."""
     best = ranked(summarize(rows)).filter(F.col("rank") <= top).select("model")
+    every = best.agg(F.count(F.lit(1)).alias("every"))  # one row
     hit = count(bucket(F.col("c4")) == 2)
     g = rows.filter("c4 is not null and not is_control").join(F.broadcast(best), "model", "left_semi").groupBy("question_id").agg(F.count(F.lit(1)).alias("models"), hit.alias("solved"))
-    return g.withColumns({"solved_share": ratio(F.col("solved"), F.col("models")), "saturated": F.col("models") == F.col("solved")})
+    return g.join(F.broadcast(every)).withColumns({"solved_share": ratio(F.col("solved"), F.col("models")), "saturated": F.col("every") == F.col("solved")}).drop("every")
 
 
 def org_votes(rows: DataFrame) -> DataFrame:
@@ -135,6 +137,21 @@ def enriched(board: DataFrame, votes: DataFrame, launches: DataFrame, params: Da
     return out.withColumns({"org": F.coalesce("voted", org_of(F.col("model"))), "reasoning": level_of(F.col("model")), "model_age_days": age}).drop("voted")
 
 
+def csv_rows(board: DataFrame, votes: DataFrame) -> DataFrame:
+    """The leaderboard as it is exported: rank, names, average, and the shares of buckets 2 and 0 as green and red."""
+    b = board.join(votes.select("model", F.col("org").alias("voted")), "model", "left")
+    rates = (F.col("detection_rate_score_2").alias("green_rate"), F.col("full_engagement_rate_score_0").alias("red_rate"))
+    return b.select("rank", "model", F.coalesce("voted", org_of(F.col("model"))).alias("org"), level_of(F.col("model")).alias("reasoning"), "avg_score", *rates, "score_2", "score_1", "score_0", "nonsense_count", "error_count")
+
+
+def placed(rows: DataFrame, keys: tuple[str, ...], first: str = "model") -> DataFrame:
+    """Rows in their canonical order with their ``place`` among those of one ``first`` value: by ``keys``, missing
+    numbers as 0, missing texts as ''."""
+    kinds = dict(rows.dtypes)
+    by = [F.coalesce(F.col(k), F.lit("") if kinds[k] == "string" else F.lit(0)) for k in keys]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(first).orderBy(*by))).orderBy(first, "place")
+
+
 def compared(first: DataFrame, second: DataFrame) -> DataFrame:
     """Models of two leaderboards (of two benchmark versions): both averages and the change."""
     side = lambda df, n: df.select("model", F.col("avg_score").alias(n))

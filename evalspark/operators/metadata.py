@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import clean, iso_date, model_specific, url_domain
+from evalspark.functions.text import clean, iso_date, model_key, model_specific, url_domain
 from evalspark.operators.leaderboard import last_by
 
 # Evidence that counts, and the wording of the judge's findings.
@@ -26,6 +26,7 @@ NO_SNIPPET = "Missing supporting_snippet with key launch evidence."
 NOT_SPECIFIC = "Evidence not model-specific enough; include explicit model name in title/snippet/url."
 ACCEPTED = "Accepted: date and evidence pass strict checks."
 NOT_JUDGED = "No judged row available."
+NO_SOURCE = "No source row/evidence provided for this model yet."
 CONFIDENCE = {"accepted": "0.95", "rejected": "0.90", "needs_retry": "0.60", "unresolved": "0.75"}
 
 
@@ -136,6 +137,37 @@ def canonical(final: DataFrame) -> DataFrame:
     return final.filter(good).select("model_id", "org", F.col("proposed_launch_date").alias("launch_date"), "evidence_url", "evidence_title", "evidence_published_date", "evidence_type", "judge_status")
 
 
+def by_model(sources: DataFrame, order: str = "pos") -> DataFrame:
+    """The last source row of every model, whose ids are compared without reasoning part and level ending."""
+    named = sources.withColumn("model_id", model_key(F.col("model_id"))).filter("model_id <> ''")
+    return last_by(named, ("model_id",), order)
+
+
+def collected(models: DataFrame, sources: DataFrame, attempt: int, collected_at: str, order: str = "pos") -> DataFrame:
+    """Every model (model_id, org, collector_agent) with its source row (see by_model) as far as there is one: missing
+    texts are blank, a blank domain is the url's, and collector and time have defaults."""
+    have = lambda c: clean(F.col(f"s.{c}")) if c in sources.columns else F.lit("")
+    j = models.alias("m").join(by_model(sources, order).alias("s"), F.col("m.model_id") == F.col("s.model_id"), "left")
+    url, domain, notes = have("evidence_url"), F.lower(have("evidence_domain")), have("notes")
+    filled = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), default)
+    return j.select(
+        "m.model_id",
+        "m.org",
+        *[have(c).alias(c) for c in ("proposed_launch_date", "evidence_url", "evidence_title", "evidence_published_date", "evidence_type", "supporting_snippet")],
+        F.when((domain == "") & (url != ""), url_domain(url)).otherwise(domain).alias("evidence_domain"),
+        F.when((notes == "") & (url == ""), NO_SOURCE).otherwise(notes).alias("notes"),
+        filled(have("collector_agent"), F.col("m.collector_agent")).alias("collector_agent"),
+        filled(have("collected_at_utc"), F.lit(collected_at)).alias("collected_at_utc"),
+        F.lit(attempt).alias("attempt_count"),
+    )
+
+
+def status_totals(final: DataFrame) -> DataFrame:
+    """One row: accepted, unresolved and all models."""
+    of = lambda name: F.count_if(F.col("judge_status") == name).alias(name)
+    return final.agg(of("accepted"), of("unresolved"), F.count(F.lit(1)).alias("total"))
+
+
 def sources_template(models: DataFrame) -> DataFrame:
     """A blank evidence row per model, with its collector."""
     blank = ("proposed_launch_date", "evidence_url", "evidence_domain", "evidence_title", "evidence_published_date", "evidence_type", "supporting_snippet", "notes")

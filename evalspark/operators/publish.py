@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from pyspark.sql import types as T
 from evalspark.functions.text import base_model, redacted
 
 
+#: Ending of the names of columns and fields that hold grade folders.
+GRADE_DIR = "_grade_dir"
+
+
 def merge(existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """``existing`` with ``incoming`` merged in by key: the incoming row replaces, equal keys keep their last row (by
     ``order``), rows with a blank key are all kept. ``side``: 0 existing, 1 incoming."""
@@ -40,19 +45,25 @@ def publish(existing: DataFrame | None, incoming: DataFrame, key: str, order: Se
     return merge(existing, incoming, key, order).drop("side")
 
 
+def _redacted(c: Column, kind: T.DataType) -> Column:
+    """A value of any type with local paths blanked in all its texts, and without fields and keys that name grade
+    folders. Keys of maps stay as they are."""
+    if isinstance(kind, T.StringType):
+        return redacted(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _redacted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        held = F.map_filter(c, lambda k, v: ~k.endswith(GRADE_DIR)) if isinstance(kind.keyType, T.StringType) else c
+        return F.transform_values(held, lambda k, v: _redacted(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        kept = [f for f in kind if not f.name.endswith(GRADE_DIR)]
+        return F.when(c.isNotNull(), F.struct(*[_redacted(c.getField(f.name), f.dataType).alias(f.name) for f in kept]) if kept else F.lit(None))
+    return c
+
+
 def redact(df: DataFrame) -> DataFrame:
-    """Local paths blanked in every text (and array of texts); columns that name grade folders dropped."""
-    out = []
-    for f in df.schema:
-        if f.name.endswith("_grade_dir"):
-            continue
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.StringType):
-            c = redacted(c)
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
-            c = F.transform(c, redacted)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    """Local paths blanked in every text, however deep it lies; columns and fields that name grade folders dropped."""
+    return df.select(*[_redacted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema if not f.name.endswith(GRADE_DIR)])
 
 
 def slim(df: DataFrame, raw: str = "response_raw", drop: Sequence[str] = ("request_messages",)) -> DataFrame:
@@ -89,7 +100,33 @@ def recent_additions(rows: DataFrame, saved: DataFrame, as_of: str, days: int =
     return joined.select("kind", "name", first.alias("first_seen"), F.coalesce(first >= start, F.lit(False)).alias("recent"))
 
 
-def accumulated(previous: DataFrame, incoming: DataFrame, sums: Sequence[str], most: Sequence[str]) -> DataFrame:
-    """Counters of a merged publish: summed or the largest of the previous and the incoming row."""
-    both = previous.unionByName(incoming)
-    return both.agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in most])
+def model_sets(rows: DataFrame) -> DataFrame:
+    """Models and base models in the data (``kind``, ``name``), each once."""
+    both = F.array(F.struct(F.lit("model").alias("kind"), F.col("model").alias("name")), F.struct(F.lit("base").alias("kind"), base_model(F.col("model")).alias("name")))
+    return rows.select(F.explode(both).alias("k")).select("k.*").filter("name <> ''").distinct()
+
+
+def manifest(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of every published table and how far its columns are filled: ``table``, ``column``, ``rows``, ``filled``."""
+    parts = [coverage(df).select(F.lit(name).alias("table"), "column", "rows", "filled") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Counters of a collection that add up over merged publishes.
+ADDED = ("attempt_count", "rate_limit_requeue_count", "final_rate_limit_error_count")
+
+
+def accumulated(previous: DataFrame, incoming: DataFrame, responses: DataFrame, added_rows: int, mode: str = "merge") -> DataFrame:
+    """One row: a publish's collection counters from the rows (one each) of the previous and the incoming collection.
+
+    ``replace`` takes the incoming ones; a merge that adds responses adds them up; one that adds none keeps the previous
+    ones. Totals are counted from the merged ``responses``; the largest attempt is theirs, or else the larger known one.
+    """
+    zero = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.lit(0)).cast("long")
+    both = previous.alias("old").join(incoming.alias("new"))  # one row each
+    of = {"replace": lambda c: zero("new", c)}.get(mode, (lambda c: zero("old", c) + zero("new", c)) if added_rows > 0 else lambda c: zero("old", c))
+    counters = both.select(*[of(c).alias(c) for c in ADDED], F.greatest(zero("old", "max_attempt_observed"), zero("new", "max_attempt_observed")).alias("__known"))
+    failed = F.coalesce(F.col("error"), F.lit("")) != ""
+    totals = responses.agg(F.count(F.lit(1)).alias("total_records"), F.count_if(failed).alias("error_count"), F.count_if(~failed).alias("success_count"), F.max("collect_attempt").cast("long").alias("__seen"))
+    made = counters.join(totals)  # one row each
+    return made.withColumns({"max_attempt_observed": F.coalesce("__seen", "__known"), "new_rows_processed": F.lit(added_rows).cast("long")}).drop("__seen", "__known")

@@ -25,10 +25,17 @@ def daily(events: DataFrame) -> DataFrame:
 
 
 def milestones(events: DataFrame, numbers: Sequence[int]) -> DataFrame:
-    """The n-th event by time for each of ``numbers`` that is reached: its day is found from daily counts, so only the
-    events of such days are put in order."""
+    """The n-th event by time for each of ``numbers`` that is reached.
+
+    Its day is found from daily counts and its second from that day's counts per second, so only the events of such
+    seconds are put in order, and a day with most of the events meets in no task.
+    """
     wanted = F.explode(F.array(*[F.lit(n).cast("long") for n in numbers])).alias("milestone")
     days = daily(events).select("day", "n", "total", wanted).filter("milestone > total - n and milestone <= total")
-    that_day = events.withColumn("day", F.to_date("ts")).join(days.select("day").distinct(), "day")
-    nth = that_day.withColumn("nth", F.row_number().over(Window.partitionBy("day").orderBy("ts", "pos")))
-    return days.withColumn("nth", F.col("milestone") - (F.col("total") - F.col("n"))).join(nth, ["day", "nth"]).select("milestone", "pos", "ts")
+    days = days.select("day", "milestone", (F.col("milestone") - F.col("total") + F.col("n")).alias("left"))
+    timed = events.select("pos", "ts", F.to_date("ts").alias("day"), F.date_trunc("second", "ts").alias("second"))
+    seconds = timed.join(days.select("day").distinct(), "day", "left_semi").groupBy("day", "second").agg(F.count(F.lit(1)).alias("n"))
+    seconds = seconds.withColumn("total", F.sum("n").over(Window.partitionBy("day").orderBy("second")))
+    found = seconds.join(days, "day").filter("left > total - n and left <= total").select("second", "milestone", (F.col("left") - F.col("total") + F.col("n")).alias("nth"))
+    nth = timed.join(found.select("second").distinct(), "second", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("second").orderBy("ts", "pos")))
+    return found.join(nth, ["second", "nth"]).select("milestone", "pos", "ts")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.exact import half_up, ratio, whole
@@ -39,6 +39,8 @@ def with_metrics(rows: DataFrame, json: str = "response_usage") -> DataFrame:
     }
     latency = F.col("response_latency_ms")
     out = parsed.withColumns(m).drop("__u")
+    if "response_text" in rows.columns:
+        out = out.withColumn("char_count", F.length(F.coalesce("response_text", F.lit(""))).cast("long"))
     return out.withColumn("tokens_per_second", F.when(latency > 0, ratio(1000 * F.col("total_tokens"), latency)))
 
 
@@ -57,33 +59,52 @@ def _sum(c: str) -> Column:
     return F.coalesce(F.sum(whole(c)), F.lit(0)).cast("long")
 
 
+#: What the summary adds up: tokens and characters as whole numbers, money to 8 decimals.
+TOKENS = ("prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens", "cached_prompt_tokens", "cache_write_tokens", "char_count")
+MONEY = ("cost_usd", "upstream_cost_usd", "upstream_prompt_cost_usd", "upstream_completions_cost_usd")
+
+
 def usage_summary(rows: DataFrame) -> DataFrame:
-    """Counters, sums and averages per model and over all rows (model null), in one pass. Averages are over the rows
-    that have the metric; sums of money and rates are exact."""
+    """Counters, sums and averages per model and over all rows (model null). Averages are over the rows that have the
+    metric; sums of money and rates are exact. Rows are added up per model once and models then rolled up."""
+    if "char_count" not in rows.columns:
+        rows = rows.withColumn("char_count", F.lit(None).cast("long"))
     tps4 = F.round(F.col("tokens_per_second") * 10000).cast("long")
-    g = rows.withColumns({"tps4": tps4, "cost8": F.col("cost_usd").cast("decimal(28,8)")}).groupingSets([["model"], []], "model").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("error") != "").alias("error_rows"),
-        F.count_if(F.col("error") == "").alias("success_rows"),
-        F.count_if("has_usage").alias("rows_with_usage"),
-        F.count("total_tokens").alias("rows_with_total_tokens"),
-        F.count("cost_usd").alias("rows_with_cost"),
-        F.count("response_latency_ms").alias("rows_with_latency"),
-        F.count("tokens_per_second").alias("rows_with_tokens_per_second"),
-        *[_sum(c).alias(f"{c}_total") for c in ("prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens", "cached_prompt_tokens")],
-        F.coalesce(F.sum("cost8"), F.lit(0)).cast("double").alias("cost_usd_total"),
-        _sum("response_latency_ms").alias("latency_ms_total"),
-        _sum("tps4").alias("tps4_total"),
-    )
+    counts = {
+        "rows": F.count(F.lit(1)),
+        "error_rows": F.count_if(F.col("error") != ""),
+        "success_rows": F.count_if(F.col("error") == ""),
+        "rows_with_usage": F.count_if("has_usage"),
+        "rows_with_total_tokens": F.count("total_tokens"),
+        "rows_with_cost": F.count("cost_usd"),
+        "rows_with_latency": F.count("response_latency_ms"),
+        "rows_with_tokens_per_second": F.count("tokens_per_second"),
+        "rows_with_byok_true": F.count_if("is_byok"),
+    }
+    sums = {f"{c}_total": _sum(c) for c in TOKENS}
+    money = {f"{c}_total": F.sum(F.col(c).cast("decimal(28,8)")) for c in MONEY}
+    rest = {"latency_ms_total": _sum("response_latency_ms"), "tps4_total": F.coalesce(F.sum(tps4), F.lit(0)).cast("long")}
+    per = rows.groupBy("model").agg(*[c.alias(n) for n, c in (counts | sums | money | rest).items()])
+    again = [F.sum(c).alias(c) for c in per.columns if c != "model"]
+    g = per.groupingSets([["model"], []], "model").agg(*again)
+    whole_totals = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in (*counts, *sums, "latency_ms_total")]
     return g.select(
         F.coalesce("model", F.lit("ALL")).alias("model"),
-        *[c for c in g.columns if c not in ("model", "tps4_total")],
+        *whole_totals,
+        *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in money],
+        (F.coalesce(F.col("tps4_total"), F.lit(0)) / F.lit(10000.0)).alias("tokens_per_second_total"),
         ratio(F.col("total_tokens_total"), F.col("rows_with_total_tokens")).alias("avg_total_tokens"),
         ratio(F.col("latency_ms_total"), F.col("rows_with_latency"), 2).alias("avg_latency_ms"),
         (half_up(F.col("tps4_total"), F.col("rows_with_tokens_per_second")) / F.lit(10000.0)).alias("avg_tokens_per_second"),
     )
 
 
+def ordered(summary: DataFrame) -> DataFrame:
+    """Models by falling total tokens, then name, with their ``place``; the row over all comes first. One row a model."""
+    all_first = F.when(F.col("model") == "ALL", 0).otherwise(1)
+    return summary.withColumn("place", F.row_number().over(Window.orderBy(all_first, F.col("total_tokens_total").desc(), "model"))).orderBy("place")
+
+
 def collection_stats(responses: DataFrame, events: DataFrame) -> DataFrame:
     """One row: outcome of the responses and attempts and requeues in the event log."""
     limited = is_rate_limit(F.lit(None).cast("string"), F.lit(None).cast("int"), F.col("error"))

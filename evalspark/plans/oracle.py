@@ -127,10 +127,10 @@ SQL["run_stddev"] = f"{scored()} select model, count(*) as runs, case when count
 SQL["domain_mix"] = f"""{scored()} select model, domain, n, {ratio("b2", "n")} as green, {ratio("b1", "n")} as amber, {ratio("b0", "n")} as red
     from (select model, domain, count(*) as n, count(*) filter (where bucket = 2) as b2, count(*) filter (where bucket = 1) as b1, count(*) filter (where bucket = 0) as b0
         from agg where c4 is not null and not is_control group by all)"""
-SQL["question_saturation"] = f"""{scored()}, {BOARD} select *, {ratio("solved", "models")} as solved_share, models = solved as saturated
+SQL["question_saturation"] = f"""{scored()}, {BOARD} select *, {ratio("solved", "models")} as solved_share, solved = (select count(*) from board where rank <= 5) as saturated
     from (select question_id, count(*) as models, count(*) filter (where bucket = 2) as solved from agg
         where c4 is not null and not is_control and model in (select model from board where rank <= 5) group by all)"""
-SQL["judge_pair_agreement"] = f"""with {PANEL} select judge_a, judge_b, count(*) as compared, count(*) filter (where a = b) as agreed, {ratio("count(*) filter (where a = b)", "count(*)")} as agreement_rate
+SQL["judge_pair_agreement"] = f"""with {PANEL} select judge_a, judge_b, count(*) as compared, count(*) filter (where a = b) as agreed, {ratio("count(*) filter (where a = b)", "count(*)", 6)} as agreement_rate
     from (select unnest([1, 1, 2])::int as judge_a, unnest([2, 3, 3])::int as judge_b, unnest([s1, s1, s2]) as a, unnest([s2, s3, s3]) as b from panel) where a is not null and b is not null group by all"""
 SQL["krippendorff_alpha"] = f"""with {PANEL},
     units as (select sample_id, list_filter([s1, s2, s3], lambda x: x is not null) as u from panel),
@@ -163,14 +163,16 @@ USAGE = f"""with u as (
     select o_orderkey as sample_id, o_orderpriority as model, 10 + o_orderkey % 2000 as prompt_tokens, o_custkey % 700 as completion_tokens, prompt_tokens + completion_tokens as total_tokens,
         case when o_orderstatus <> 'O' then o_orderkey % 300 end as reasoning_tokens, prompt_tokens % 7 as cached_prompt_tokens,
         case when o_orderkey % 5 <> 0 then round(o_totalprice * 100)::bigint end as cents, cents / 100000.0::double as cost_usd, o_orderkey % 5000 as latency,
-        case when o_orderkey % 31 = 0 then 'HTTP 500' else '' end as error,
+        case when o_orderkey % 31 = 0 then 'HTTP 500' else '' end as error, completion_tokens % 5 as cache_write_tokens, length('answer ' || o_orderkey) as char_count,
+        case o_orderkey % 4 when 0 then true when 1 then false end as is_byok,
         case when latency > 0 then {ratio("1000 * (10 + o_orderkey % 2000 + o_custkey % 700)", "o_orderkey % 5000")} end as tokens_per_second
     from orders)"""
-SQL["usage_metrics"] = f"{USAGE} select sample_id, model, prompt_tokens, completion_tokens, total_tokens, reasoning_tokens, cached_prompt_tokens, cost_usd, tokens_per_second from u"
-_SUMS = ", ".join(f"coalesce(sum({c}), 0)::bigint as {c}_total" for c in ("prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens", "cached_prompt_tokens"))
+SQL["usage_metrics"] = f"{USAGE} select sample_id, model, prompt_tokens, completion_tokens, total_tokens, reasoning_tokens, cached_prompt_tokens, cache_write_tokens, cost_usd, cost_usd as upstream_cost_usd, is_byok, char_count, tokens_per_second from u"
+_SUMS = ", ".join(f"coalesce(sum({c}), 0)::bigint as {c}_total" for c in ("prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens", "cached_prompt_tokens", "cache_write_tokens", "char_count"))
 SQL["usage_summary"] = f"""{USAGE} select coalesce(model, 'ALL') as model, count(*) as rows, count(*) filter (where error <> '') as error_rows, count(*) filter (where error = '') as success_rows,
     count(*) as rows_with_usage, count(total_tokens) as rows_with_total_tokens, count(cents) as rows_with_cost, count(latency) as rows_with_latency, count(tokens_per_second) as rows_with_tokens_per_second,
-    {_SUMS}, coalesce(sum(cents), 0)::bigint / 100000.0::double as cost_usd_total, sum(latency)::bigint as latency_ms_total, {ratio("sum(total_tokens)", "count(total_tokens)")} as avg_total_tokens,
+    count(*) filter (where is_byok) as rows_with_byok_true, {_SUMS}, coalesce(sum(cents), 0)::bigint / 100000.0::double as cost_usd_total, cost_usd_total as upstream_cost_usd_total,
+    0.0::double as upstream_prompt_cost_usd_total, 0.0::double as upstream_completions_cost_usd_total, sum(round(tokens_per_second * 10000)::bigint)::bigint / 10000.0::double as tokens_per_second_total, sum(latency)::bigint as latency_ms_total, {ratio("sum(total_tokens)", "count(total_tokens)")} as avg_total_tokens,
     {ratio("sum(latency)", "count(latency)", 2)} as avg_latency_ms,
     ((2 * sum(round(tokens_per_second * 10000)::bigint)::bigint + count(tokens_per_second)) // nullif(2 * count(tokens_per_second), 0)) / 10000.0::double as avg_tokens_per_second
     from u group by grouping sets ((model), ())"""
@@ -246,10 +248,9 @@ _COLUMNS = ("pos", "sample_id", "model", "model_id", "model_org", "model_reasoni
 _TEXTS = set(_COLUMNS) - {"pos", "run_index", "is_control", "n_chars"}
 SQL["column_coverage"] = f"with {RESPONSES} " + " union all ".join(f"""select '{c}' as "column", count(*) as rows, count(*) filter (where {c} is not null {f"and trim({c}) <> ''" if c in _TEXTS else ""}) as filled from responses""" for c in _COLUMNS)
 _TIME = "'%Y-%m-%d %H:%M:%S.%f'"
-SQL["recent_additions"] = f"""with {EVENTS}, late as (select *, model || '@reasoning=' || status as full_name from e
-        where (ts >= timestamp '2024-01-20' or sample_id % 10 < 5) and (sample_id % 3 <> 0 or ts >= timestamp '2024-01-26')),
-    now as (select 'model' as kind, full_name as name, min(ts) as seen from late group by all union all select 'base', model, min(ts) from late group by all),
-    saved as (select 'base' as kind, model as name, min(ts) as seen from e where sample_id % 10 = 3 group by all),
+SQL["recent_additions"] = f"""with {EVENTS},
+    now as (select 'model' as kind, model || '@reasoning=' || event as name, min(ts) as seen from e where status = 'ok' group by all union all select 'base', model, min(ts) from e where status = 'ok' group by all),
+    saved as (select 'base' as kind, model as name, min(ts) as seen from e where status <> 'ok' group by all),
     f as (select n.kind, n.name, least(n.seen, coalesce(s.seen, n.seen)) as first_seen from now n left join saved s using (kind, name))
     select kind, name, strftime(first_seen, {_TIME}) as first_seen, first_seen >= timestamp '2024-01-31' - interval 7 days as recent from f"""
 SQL["attempt_numbers"] = f"with {EVENTS} select pos, sample_id, row_number() over (partition by sample_id order by ts, pos)::int as attempt from e where {_TRIES}"
@@ -325,11 +326,11 @@ SQL["pairwise_summary"] = f"{PAIRS} select (select count(distinct question_id) f
 SQL["jsonl_lenient"] = "select doc_id, lang, md5(text) as text_md5 from documents where doc_id % 7 <> 3"
 SQL["salvage_json"] = "select 0::bigint as place, doc_id, null as lang, md5(text) as text_md5 from documents union all select 1, doc_id, lang, null from documents"
 SQL["markdown_bank"] = """with d as (select doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '[*#:"'']', '', 'g')) as f from documents),
-    x as (select doc_id, substring(f, 1, 60) as a, substring(f, 61, 60) as b from d)
+    x as (select doc_id, substring(f, 1, length(f) // 2) as a, substring(f, length(f) // 2 + 1) as b from d)
     select 'D' || (doc_id % 3) as domain_group, 'tech' || (doc_id % 4) as technique, 'q' || doc_id as id, 'x' || a || 'y' as question,
         rtrim('w' || a) || ' continued ' || b || 'e' as nonsensical_element, (doc_id % 5)::varchar as domain from x"""
 SQL["stream_progress"] = f"""with {EVENTS} select strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') as start, model, status, count(*) as n from e where event = 'task_complete' group by all"""
 SQL["stream_requeues"] = SQL["requeue_stats"]
 SQL["stream_first_seen"] = f"with {EVENTS} select model, strftime(min(ts), {_TIME}) as first_seen from e group by model"
 SQL["stream_dedup"] = f"with {EVENTS} select sample_id, 1::bigint as completed from e where event = 'task_complete' group by sample_id"
-SQL["stream_publish"] = """select o_orderkey::varchar as key, case when o_orderkey % 3 = 0 then o_custkey else -o_custkey end as cust, o_orderstatus from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0"""
+SQL["stream_publish"] = """select o_orderkey::varchar as key, case when o_orderkey % 2 = 0 and o_orderkey % 3 <> 0 then -o_custkey else o_custkey end as cust, o_orderstatus from orders"""

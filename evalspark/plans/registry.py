@@ -171,7 +171,7 @@ def report_errors(spark, sf_dir):
 
 @query
 def usage_metrics(spark, sf_dir):
-    return usage.with_metrics(v.usage(spark, sf_dir)).select("sample_id", "model", "prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens", "cached_prompt_tokens", "cost_usd", "tokens_per_second")
+    return usage.with_metrics(v.usage(spark, sf_dir)).select("sample_id", "model", "prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens", "cached_prompt_tokens", "cache_write_tokens", "cost_usd", "upstream_cost_usd", "is_byok", "char_count", "tokens_per_second")
 
 
 @query
@@ -348,9 +348,8 @@ def column_coverage(spark, sf_dir):
 @query
 def recent_additions(spark, sf_dir):
     e = v.events(spark, sf_dir)
-    late = e.filter((F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")) | (F.col("sample_id") % 10 < 5)).filter("sample_id % 3 <> 0 or ts >= timestamp_ntz'2024-01-26'")
-    named = late.withColumn("model", F.concat("model", F.lit("@reasoning="), "status"))
-    saved = e.filter("sample_id % 10 = 3").select(F.lit("base").alias("kind"), F.col("model").alias("name"), "ts")
+    named = e.filter("status = 'ok'").withColumn("model", F.concat("model", F.lit("@reasoning="), "event"))
+    saved = e.filter("status <> 'ok'").select(F.lit("base").alias("kind"), F.col("model").alias("name"), "ts")
     return publish.recent_additions(named, saved, v.EVENTS_AS_OF).withColumn("first_seen", time_text("first_seen"))
 
 
@@ -493,7 +492,8 @@ def salvage_json(spark, sf_dir):
 def markdown_bank(spark, sf_dir):
     """Drafts of ten questions a file, written from the documents' first lines."""
     first = F.trim(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "[*#:\"']", ""))
-    q = v.read(spark, sf_dir, "documents").select("doc_id", F.substring(first, 1, 60).alias("a"), F.substring(first, 61, 60).alias("b"))
+    half = F.floor(F.length(first) / 2).cast("int")
+    q = v.read(spark, sf_dir, "documents").select("doc_id", F.substring(first, F.lit(1), half).alias("a"), F.substring(first, half + 1, F.length(first)).alias("b"))
     block = F.concat(
         F.lit("## D"), (F.col("doc_id") % 3).cast("string"), F.lit("\n### tech"), (F.col("doc_id") % 4).cast("string"), F.lit("\n\n**q"), F.col("doc_id").cast("string"),
         F.lit("**\nQuestion: \"x"), F.col("a"), F.lit("y\"\nWhat's wrong: w"), F.col("a"), F.lit("\ncontinued "), F.col("b"), F.lit("e\nDomain: "), (F.col("doc_id") % 5).cast("string"), F.lit("\n"),
@@ -530,10 +530,10 @@ def stream_dedup(spark, sf_dir):
 
 @query
 def stream_publish(spark, sf_dir):
-    """Orders merged into a published half of them, file by file."""
+    """All odd orders and a third of the even ones, merged into the published even ones file by file."""
     path = f"{sf_dir}/orders.parquet"
     raw = spark.read.parquet(path)
     shaped = lambda d: d.select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_custkey").alias("cust"), "o_orderstatus")
     old = shaped(raw.filter("o_orderkey % 2 = 0")).withColumn("cust", -F.col("cust"))
-    new = streams.parquet_stream(spark, path, raw.schema).filter("o_orderkey % 3 = 0")
+    new = streams.parquet_stream(spark, path, raw.schema).filter("o_orderkey % 2 <> 0 or o_orderkey % 3 = 0")
     return streams.published(shaped(new), "key", ("cust", "o_orderstatus"), old)

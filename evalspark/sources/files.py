@@ -162,15 +162,39 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     df.select(*[cell(c).alias(c) for c in columns]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def review_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows of a review export: the columns, warnings joined, and a status from the error."""
-    out = {c: F.array_join(c, "; ") if isinstance(df.schema[c].dataType, T.ArrayType) else F.col(c) for c in columns}
-    return df.select(*[v.alias(k) for k, v in out.items()], F.when(F.coalesce(F.trim("error"), F.lit("")) != "", "error").otherwise("ok").alias("status"))
-
-
-def write_dataset(tables: dict[str, DataFrame], path: str) -> None:
-    """Every table in a folder of its own."""
-    for name, df in tables.items():
+# The columns of the two review exports.
+_REVIEWED = "status error sample_id model model_id model_org model_name model_provider model_reasoning_level model_row response_reasoning_effort run_index question_id technique is_control".split()
+COLLECT_REVIEW = [
+    *_REVIEWED,
+    *"response_latency_ms response_prompt_tokens response_completion_tokens response_total_tokens response_reasoning_tokens response_cached_prompt_tokens response_cache_write_tokens".split(),
+    *"response_cost_usd response_upstream_inference_cost_usd response_upstream_inference_prompt_cost_usd response_upstream_inference_completions_cost_usd response_usage_is_byok".split(),
+    *"response_char_count response_tokens_per_second error_kind error_http_status error_retryable error_retry_after_seconds response_finish_reason warnings response_text".split(),
+]
+GRADE_REVIEW = [*_REVIEWED, *"judge_model judge_provider judge_score judge_justification source_response_error response_text".split()]
+
+
+def review_columns(df: DataFrame, columns: Sequence[str] = COLLECT_REVIEW) -> DataFrame:
+    """Rows of a review export as texts: the columns (missing ones and values blank), warnings joined, and a status
+    from the error."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    failed = F.coalesce(F.trim("error"), F.lit("")) != "" if "error" in kinds else F.lit(False)
+
+    def cell(c: str) -> Column:
+        if c == "status":
+            return F.when(failed, "error").otherwise("ok")
+        if c not in kinds:
+            return F.lit("")
+        value = F.array_join(c, "; ") if isinstance(kinds[c], T.ArrayType) else F.col(c).cast("string")
+        return F.coalesce(value, F.lit(""))
+
+    return df.select(*[cell(c).alias(c) for c in columns])
+
+
+def write_dataset(tables: dict[str, DataFrame], path: str, dimensions: dict[str, T.StructType] | None = None, spark: SparkSession | None = None) -> None:
+    """Every table in a folder of its own; a dimension that is absent is written empty, with its columns."""
+    spark = spark or next(iter(tables.values())).sparkSession
+    absent = {n: spark.createDataFrame([], schema) for n, schema in (dimensions or {}).items() if n not in tables}
+    for name, df in {**tables, **absent}.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 

@@ -36,29 +36,32 @@ def first_seen(events: DataFrame) -> DataFrame:
     return events.groupBy("model").agg(F.min("ts").alias("first_seen"))
 
 
-def _drain(df: DataFrame, mode: str, each: Callable[[DataFrame, int], None]) -> None:
-    """Run the stream over what is there, batch by batch."""
-    q = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", scratch_dir(df.sparkSession)).foreachBatch(each).start()
+def _drain(df: DataFrame, mode: str, folder: str, each: Callable[[DataFrame, int], None]) -> None:
+    """Run the stream over what is there, batch by batch; what it has read is kept under ``folder``."""
+    q = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(each).start()
     q.awaitTermination()
 
 
-def latest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def latest(df: DataFrame, keys: Sequence[str], folder: str | None = None) -> DataFrame:
     """Run an aggregating stream over what is there; the last update of every key.
 
     Updates are written batch by batch (a batch that is run again writes its folder again), then the newest is taken.
+    With a ``folder`` of an earlier run the stream goes on where that run ended.
     """
-    path, schema = scratch_dir(df.sparkSession), df.schema
-    _drain(df, "update", lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{path}/b={i}"))
+    folder = folder or scratch_dir(df.sparkSession)
+    path, schema = f"{folder}/rows", df.schema
+    _drain(df, "update", folder, lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{path}/b={i}"))
     spark = df.sparkSession
     rest = [f.name for f in schema if f.name not in keys]
     rows = spark.read.schema(T.StructType([*schema, T.StructField("batch", T.IntegerType())])).parquet(f"{path}/*")
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
-def appended(df: DataFrame) -> DataFrame:
-    """Run a stream of new rows over what is there; all its rows."""
-    path, schema = scratch_dir(df.sparkSession), df.schema
-    _drain(df, "append", lambda b, i: b.write.mode("overwrite").parquet(f"{path}/b={i}"))
+def appended(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run a stream of new rows over what is there; all its rows (``folder`` as in latest)."""
+    folder = folder or scratch_dir(df.sparkSession)
+    path, schema = f"{folder}/rows", df.schema
+    _drain(df, "append", folder, lambda b, i: b.write.mode("overwrite").parquet(f"{path}/b={i}"))
     return df.sparkSession.read.schema(schema).parquet(f"{path}/*")
 
 
@@ -75,5 +78,5 @@ def published(stream: DataFrame, key: str, order: Sequence[str], existing: DataF
         publish(before, batch, key, order, "merge").select(*schema.names).write.mode("overwrite").parquet(f"{path}/v{i}")
         last[0] = i
 
-    _drain(stream, "append", each)
+    _drain(stream, "append", path, each)
     return spark.read.schema(schema).parquet(f"{path}/v{last[0]}")

@@ -87,12 +87,13 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"'), name("prompt_tokens", "input_tokens"), F.lit('": '), text(prompt),
         F.lit(', "'), name("completion_tokens", "output_tokens"), F.lit('": '), text(completion),
         F.lit(', "total_tokens": '), text(prompt + completion),
-        F.lit(', "'), name("prompt_tokens_details", "input_tokens_details"), F.lit('": {"cached_tokens": '), text(prompt % 7),
+        F.lit(', "'), name("prompt_tokens_details", "input_tokens_details"), F.lit('": {"cached_tokens": '), text(prompt % 7), F.lit(', "cache_write_tokens": '), text(completion % 5),
         F.lit('}, "'), name("completion_tokens_details", "output_tokens_details"), F.lit('": {"reasoning_tokens": '), text(reasoning),
-        F.lit('}, "cost": '), text(cost), F.lit("}"),
+        F.lit('}, "cost": '), text(cost), F.lit(', "is_byok": '), F.when(k % 4 == 0, "true").when(k % 4 == 1, '"False"').otherwise("null"),
+        F.lit(', "cost_details": {"upstream_inference_cost": '), text(cost), F.lit("}}"),
     )
     return read(spark, sf_dir, "orders").select(
-        k.alias("sample_id"), F.col("o_orderpriority").alias("model"), json.alias("response_usage"), (k % 5000).alias("response_latency_ms"), F.when(k % 31 == 0, "HTTP 500").otherwise("").alias("error")
+        k.alias("sample_id"), F.col("o_orderpriority").alias("model"), json.alias("response_usage"), (k % 5000).alias("response_latency_ms"), F.concat(F.lit("answer "), k.cast("string")).alias("response_text"), F.when(k % 31 == 0, "HTTP 500").otherwise("").alias("error")
     )
 
 

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from evalspark.plans import records, records_sql  # noqa: F401
 from evalspark.plans.oracle import SQL
 from evalspark.plans.registry import QUERIES
 
