@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import os
 from collections.abc import Iterator
 
@@ -27,12 +28,25 @@ MERGED = 64
 PIECES = "id {0}, start long, length long, ids binary, doc_tokens long, sequence long, offset long, closed boolean"
 
 
+def of_words(tokenizer: dict) -> bool:
+    """Whether a tokenizer's definition is of the kind that WordIds takes apart: case folded, words split off by a pattern
+    that drops white space, ends of words marked, nothing added around a text."""
+    normal, split = tokenizer.get("normalizer") or {}, tokenizer.get("pre_tokenizer") or {}
+    steps = [x.get("type") for x in normal.get("normalizers", [normal])]
+    first = split.get("pretokenizers", [split])[0]
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    by_words = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and r"[^\s" in pattern
+    ends = tokenizer["model"].get("end_of_word_suffix") == END and not tokenizer.get("truncation") and not tokenizer.get("post_processor")
+    return "Lowercase" in steps and set(steps) <= {"NFC", "Replace", "Lowercase"} and by_words and ends
+
+
 class WordIds:
     """Ids of whole texts as little-endian 32-bit bytes, word by word.
 
     For tokenizers that treat white space as a mere separator, fold case, keep letters and punctuation apart and mark
     the end of a run (see END): a text's ids are its words' ids in turn. Unknown words of letters are encoded many at
-    a time and parted at the marks. Texts with a mark that could begin a special token are encoded whole.
+    a time and parted at the marks. Texts with a mark that could begin a special token are encoded whole, and with any
+    other kind of tokenizer all texts are.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,6 +54,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = of_words(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
@@ -68,6 +83,8 @@ class WordIds:
         self.known.update((w, get(c) + get(w[len(c) :])) for w, c in cores.items() if w not in self.known)
 
     def texts(self, raw: list[bytes]) -> list[bytes]:
+        if not self.by_words:
+            return self.encode([t.decode("utf-8", "replace") for t in raw])
         words = [None if b"<|" in t else t.lower().split() for t in raw]
         every = set().union(*(ws for ws in words if ws))
         unknown = every - self.known.keys()

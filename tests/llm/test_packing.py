@@ -51,3 +51,14 @@ def test_word_ids_equal_the_tokenizer():
     for _ in range(2):
         got = words.texts([t.encode() for t in texts])
         assert [g + b"\x02\0\0\0" for g in got] == [ids_of(t).tobytes() for t in texts]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    assert WordIds(tokenizer_path()).by_words
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    words, plain = WordIds(other), Tokenizer.from_file(other)
+    texts = ["Two  Words, and\tone\n", "", "Ünï 12 don't"]
+    assert not words.by_words
+    assert words.texts([t.encode() for t in texts]) == [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]

@@ -1,7 +1,8 @@
+import random
 from collections import Counter, defaultdict
 
 from evalspark.llm.common import range_of
-from evalspark.llm.sharding import histogram_shards
+from evalspark.llm.sharding import find_splitters, histogram_shards
 from pyspark.sql import functions as F
 
 
@@ -46,3 +47,19 @@ def test_range_of_counts_splitters(spark):
         cuts = [3 * i for i in range(n)]
         got = spark.range(-2, 1000).select("id", range_of(F.col("id"), cuts).alias("r")).collect()
         assert all(r.r == sum(c <= r.id for c in cuts) for r in got)
+
+
+def test_splitters_equal_sorted_prefix_sums(spark):
+    r = random.Random(2)
+    rows = [(r.randrange(1 << 63), r.randrange(1, 500)) for _ in range(3000)] + [(123 << 40, 50)] * 900 + [((123 << 40) + i, 7) for i in range(300)]
+    total = sum(s for _, s in rows)
+    targets = [(total * j / 40, total / 40 * (0.005 if j % 5 == 0 else 0.5)) for j in range(1, 40)]
+    got = find_splitters(spark.createDataFrame(rows, "key long, size long"), targets)
+    edges, below = [0], 0
+    for key in sorted({k for k, _ in rows}):
+        below += sum(s for k, s in rows if k == key)
+        edges.append(below)
+    assert got == sorted(got)
+    for s, (target, slack) in zip(got, targets, strict=True):
+        best = min(abs(e - target) for e in edges)
+        assert abs(sum(z for k, z in rows if k < s) - target) <= max(slack, best) + 1e-6
