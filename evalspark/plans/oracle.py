@@ -146,9 +146,9 @@ SQL["disagreement_samples"] = f"with {PANEL} select sample_id, model, question_i
 SQL["panel_disagreement_rate"] = f"with {PANEL} select count(*) as rows, count(*) filter (where {_DIFFER}) as disagreements, {ratio(f'count(*) filter (where {_DIFFER})', 'count(*)')} as rate from panel"
 SQL["publish_disagreement"] = f"with {PANEL} select count(*) as rows, count(*) filter (where s1 <> s2) as disagreements, {ratio('count(*) filter (where s1 <> s2)', 'count(*)')} as rate from panel"
 SQL["synthetic_tiebreak"] = f"""with {PANEL} select *, case when judge_error <> '' then 'error' else 'ok' end as status from (
-    select sample_id, model, question_id, pos % 5 <> 0 as synthetic,
-        case when pos % 5 = 0 then s3 when s1 is not null and s2 is not null then case when s1 = s2 then s1 end else coalesce(s1, s2) end as judge_score,
-        case when pos % 5 = 0 then e3 when s1 <> s2 then 'Synthetic tiebreaker row missing while primary judges disagreed.'
+    select sample_id, model, question_id, run_index <> 1 as synthetic,
+        case when run_index = 1 then s3 when s1 is not null and s2 is not null then case when s1 = s2 then s1 end else coalesce(s1, s2) end as judge_score,
+        case when run_index = 1 then e3 when s1 <> s2 then 'Synthetic tiebreaker row missing while primary judges disagreed.'
             when s1 is null and s2 is null then 'Synthetic tiebreaker row could not assign score because primary judges had no valid score.' else '' end as judge_error
     from panel)"""
 SQL["report_rows"] = f"""{scored()} select a.sample_id, a.model, a.question_id, r.error as response_error, c4, consensus_error,
@@ -209,8 +209,8 @@ SQL["override_cascade"] = f"""{MODELS}, r as (select * from (values
     select model_id, path, value from held x where not exists (select 1 from held y where y.model_id = x.model_id and y.rank > x.rank
         and (y.path = x.path or starts_with(y.path, x.path || '.') or starts_with(x.path, y.path || '.')))"""
 
-TASKS = f"""with {RESPONSES}, tasks as (select sample_id from responses union all select 'x' || pos from responses where pos < 5),
-    ckpt as (select sample_id from responses where pos % 4 = 0 union all select 'old' from responses where pos = 0 union all select sample_id from responses where pos = 4)"""
+TASKS = f"""with {RESPONSES}, tasks as (select sample_id from responses union all select 'x' || pos from responses where is_control),
+    ckpt as (select sample_id from responses where run_index = 1 union all select 'old' || pos from responses where error <> '' union all select sample_id from responses where run_index = 1 and is_control)"""
 SQL["resume_antijoin"] = f"{TASKS} select sample_id from tasks where sample_id not in (select sample_id from ckpt)"
 SQL["stale_checkpoint"] = f"{TASKS} select distinct 'stale' as kind, sample_id from ckpt where sample_id not in (select sample_id from tasks) union all select 'duplicate', sample_id from ckpt group by sample_id having count(*) > 1"
 SQL["integrity_report"] = f"""{TASKS}, b as (select w.n as want, h.n as have from (select sample_id, count(*) as n from tasks group by all) w full join (select sample_id, count(*) as n from ckpt group by all) h using (sample_id))
@@ -263,7 +263,7 @@ VOTES = """votes as (select model, arg_max(org, (votes, -first)) as org, max(vot
 SQL["org_vote"] = f"with {RESPONSES}, {VOTES} select * from votes"
 ENRICHED = f"""{scored()}, {BOARD}, {VOTES},
     dims as (select 'org' || (p_partkey % 20 % 5) || '/m' || (p_partkey % 20) as model_id, arg_max(date '2024-01-01' + p_size, p_partkey) as launch_date,
-        arg_max((case when p_partkey % 3 <> 0 then p_retailprice else -1 end), p_partkey) as size from part where p_partkey < 22 group by all),
+        arg_max((case when p_partkey % 3 <> 0 then p_retailprice else -1 end), p_partkey) as size from part group by all),
     enriched as (select b.*, regexp_replace(model, '@reasoning=[^@]+$', '') as model_id, v.org, case when model like '%@%' then split_part(model, '=', 2) else 'default' end as reasoning,
         d.launch_date, case when d.launch_date <= date '2024-06-30' then (date '2024-06-30' - d.launch_date)::int end as model_age_days, case when size >= 0 then size end as total_params_b
         from board b left join votes v using (model) left join dims d on d.model_id = regexp_replace(b.model, '@reasoning=[^@]+$', ''))"""

@@ -141,7 +141,7 @@ def publish_disagreement(spark, sf_dir):
 @query
 def synthetic_tiebreak(spark, sf_dir):
     g = v.grades(spark, sf_dir)
-    rejudged = g.filter((F.col("judge_idx") == 3) & (F.col("pos") % 5 == 0))
+    rejudged = g.filter("judge_idx = 3 and run_index = 1")
     source = v.responses(spark, sf_dir).select("sample_id", "model", "question_id")
     two = panel.align(g.filter("judge_idx <= 2"), 2, v.IDENTITY)
     return panel.synthetic_tiebreaks(source, two, rejudged)
@@ -222,10 +222,12 @@ def override_cascade(spark, sf_dir):
 
 
 def _tasks_and_checkpoint(spark, sf_dir):
-    r = v.responses(spark, sf_dir).select("sample_id", "pos")
-    extra = r.filter("pos < 5").select(F.concat(F.lit("x"), F.col("pos").cast("string")).alias("sample_id"))
-    stale = r.filter("pos = 0").select(F.lit("old").alias("sample_id"))
-    return r.select("sample_id").union(extra), r.filter("pos % 4 = 0").select("sample_id").union(stale).union(r.filter("pos = 4").select("sample_id"))
+    """All responses and a task for each control besides; the first runs as checkpoint, with stale and repeated rows."""
+    r = v.responses(spark, sf_dir)
+    named = lambda prefix: F.concat(F.lit(prefix), F.col("pos").cast("string")).alias("sample_id")
+    done = r.filter("run_index = 1")
+    tasks = r.select("sample_id").union(r.filter("is_control").select(named("x")))
+    return tasks, done.select("sample_id").union(r.filter("error <> ''").select(named("old"))).union(done.filter("is_control").select("sample_id"))
 
 
 @query
