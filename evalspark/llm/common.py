@@ -65,6 +65,11 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_share(column: Column, share: float) -> Column:
+    """Whether a value is in the ``share`` of all values with the smallest hashes: equal values are in or out together."""
+    return F.shiftrightunsigned(F.xxhash64(column), 24) < F.lit(min(1 << 40, int(share * (1 << 40))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import range_of
+from evalspark.llm.common import hash_share, range_of
 
 #: Paragraphs of a section; most code points of a leaf.
 SECTION, LEAF = 4, 48
@@ -99,14 +99,15 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """``id``, ``text`` (null: empty) and ``bucket`` of every row, plus a copy (``ghost`` true) of each bucket's first
     row in the bucket before it (the very first in the last): then the next row is always in a row's own bucket.
 
-    Buckets are ranges of ids, of any type that sorts, between ids of a bounded sample (PER_BUCKET a bucket).
+    Buckets are ranges of ids, of any type that sorts, between ids of a bounded sample (about PER_BUCKET a bucket).
     """
     d = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = max(1, min(most_buckets, d.count() // rows_per_bucket))
+    n = d.count()
+    buckets = max(1, min(most_buckets, n // rows_per_bucket))
     cuts: list = []
     if buckets > 1:
-        sample = d.select("id").filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(PER_BUCKET * buckets).collect()
-        cuts = sorted({r["id"] for r in sample})
+        sample = d.select("id").filter(F.col("id").isNotNull() & hash_share(F.col("id"), PER_BUCKET * buckets / n)).distinct()
+        cuts = sorted(r["id"] for r in sample.collect())
         cuts = cuts[:: max(1, len(cuts) // buckets)][1:]
     d = d.withColumn("bucket", range_of(F.col("id"), cuts))
     heads = {r["bucket"]: r for r in d.groupBy("bucket").agg(F.min("id").alias("id"), F.bool_or(F.col("id").isNull()).alias("null")).collect()}

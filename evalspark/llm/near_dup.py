@@ -350,8 +350,16 @@ def common_shingles(texts: DataFrame, most: int = COMMON) -> list[tuple[int, int
                 token, count = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(token[count > 1]), pa.array(count[count > 1])], names=["token", "n"])
 
-    counted = texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return [tuple(r) for r in counted.orderBy(F.col("n").desc(), "token").limit(most).collect()]
+    counted = stored(texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "shingle_counts")
+    # eight steps to a doubling; the steps that together hold at most ``most`` shingles are taken whole
+    step = F.floor(8 * F.log2(F.col("n").cast("double")))
+    taken, least = 0, None
+    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["step"]
+    return [tuple(r) for r in counted.filter(step >= least).collect()] if least is not None else []
 
 
 def prefixes(texts: DataFrame, common: list[tuple[int, int]], least: float) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.llm.arrow_text import strips, utf8
-from evalspark.llm.common import kept_columns, stored
+from evalspark.llm.common import hash_share, kept_columns, stored
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str, label_col: str, most_rows: int) -> DataFrame:
@@ -21,13 +21,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, held_out: Column, id_col
     out, of repeated documents the smallest text counts. Null ids and labels other than 0 and 1 are left out, null
     texts are empty. The sample is written to the shared folder; only its ids were joined with the texts.
     """
+    usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out)
+    n = usable.count()
+    # of many labels, those with the smallest hashes are enough to take the smallest from
+    near = usable.filter(hash_share(F.col(id_col), 2 * most_rows / n)) if n > 4 * most_rows else usable
     picked = (
-        labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out)
-        .groupBy(F.col(id_col).alias("id"))
+        near.groupBy(F.col(id_col).alias("id"))
         .agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other"))
         .filter("label = other")
         .select("id", "label")
-        .orderBy(F.xxhash64("id"), "id")
+        .orderBy(F.shiftrightunsigned(F.xxhash64("id"), 24), "id")
         .limit(most_rows)
     )
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
