@@ -38,13 +38,18 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: Rows for which a stored table or a checkpoint gets a file of its own, where the number of rows has a known bound.
-FILE_ROWS = 100_000
+#: Rows for which a stored table or a checkpoint gets a file of its own, where the number of rows has a known bound, and
+#: files of a small one (no fewer, so that no single task makes it).
+FILE_ROWS, LEAST_FILES = 100_000, 12
+
+
+def files_for(rows: int) -> int:
+    return max(LEAST_FILES, -(-rows // FILE_ROWS))
 
 
 def in_files(df: DataFrame, rows: int) -> DataFrame:
     """``df`` of at most ``rows`` rows in no more partitions than its rows need, so that small tables make few files."""
-    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    return df.coalesce(files_for(rows))
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:

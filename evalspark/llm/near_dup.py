@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.arrow_text import strips, utf8
-from evalspark.llm.common import FILE_ROWS, as_row, stored
+from evalspark.llm.common import as_row, files_for, stored
 from evalspark.llm.components import components
 
 #: Words of a shingle; likeness from which documents are near-duplicates.
@@ -460,7 +460,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFr
     one = base.join(wanted, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g")) & F.col("id").eqNullSafe(F.col("__id")))
     texts = stored(one.groupBy("node").agg(F.first("text").alias("text")), "texts")
     # few rows come out of much work: they are dealt out once more, into few files
-    few = lambda links: links.repartition(max(1, n // FILE_ROWS))
+    few = lambda links: links.repartition(files_for(n))
     found = stored(few(verified(first, texts, least)), "links")
     label = components(found, n)
     placed = stored(members.select("key", F.col("b").alias("node")).join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed", n * SKETCHES)
