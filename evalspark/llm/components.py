@@ -15,7 +15,7 @@ def components(edges: DataFrame, nodes: int) -> DataFrame:
     around every node, then that label's own label, until nothing changes: star and chain shapes both end in a few
     rounds. Nothing but the count of changes comes to the driver.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b")
+    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), nodes)
     while True:
         around = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
