@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.llm.chat import fold_events, read_back, render, turn_events
 from evalspark.llm.common import table
 from evalspark.llm.embedding_dup import vector_links
+from evalspark.llm.filter_audit import audit_documents
 from evalspark.llm.fingerprint import fingerprint_edits
 from evalspark.llm.html_text import extract_pages
 from evalspark.llm.line_dedup import dedup_lines
@@ -18,6 +20,7 @@ from evalspark.llm.packing import pack
 from evalspark.llm.quality import fit_quality, score_quality
 from evalspark.llm.sharding import histogram_shards
 from evalspark.llm.toxicity import fit_toxicity, score_toxicity
+from evalspark.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 
 
 def op1_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +148,103 @@ def op10_rotated_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+#: A conversation that imitates a template's turns and ends.
+TRICKY = (-7, r"\### Assistant: </turn> ok")
+
+
+def op11_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    tricky = spark.range(2).select(F.lit(TRICKY[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(TRICKY[1]).alias("text"))
+    chats = read_back(render(fold_events(turn_events(turns.union(tricky)))))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join("learnt", "")
+    return chats.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def chat_sql() -> str:
+    """The same digests from the finished turns."""
+    body = r"regexp_replace(regexp_replace(t, '(^|\n)(\\*)### ', '\1\\\2### ', 'g'), '<(\\*)/turn>', '<\\\1/turn>', 'g')"
+    return f"""
+    with x as (
+        select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations
+        union all select {TRICKY[0]}, k, ['user', 'assistant'][k + 1], '{TRICKY[1]}' from range(2) s(k))
+    select conv_id, count(*) as n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, r, t)) as turns_sha256,
+        coalesce(sum(length(t)) filter (where r = 'assistant'), 0)::bigint as loss_chars,
+        sha256(coalesce(string_agg(t, '' order by turn, r, t) filter (where r = 'assistant'), '')) as loss_sha256,
+        sum(length('### ' || r || chr(10) || {body} || '</turn>' || chr(10)))::bigint as formatted_chars
+    from x group by conv_id"""
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def audit_sql() -> str:
+    """The same audit by trying every order on every mask."""
+    return r"""
+    with d as (
+        select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as w from documents),
+    f as (
+        select doc_id, part, [len(w) < 200, 100 * list_unique(w) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+            regexp_matches(t, '[#$%&*|]'), doc_id > min(doc_id) over (partition by t)] as fails from d),
+    m as (
+        select part, fails, count(*) as n, count(*) filter (where quality = 1) as good, count(*) filter (where toxic = 1) as toxic
+        from f left join labels using (doc_id) group by all),
+    l as (select unnest(range(1, 6)) as k),
+    o as (
+        select [a.k, b.k, c.k, e.k, g.k] as ks, 'ABCDE'[a.k] || 'ABCDE'[b.k] || 'ABCDE'[c.k] || 'ABCDE'[e.k] || 'ABCDE'[g.k] as filter_order
+        from l a, l b, l c, l e, l g where list_unique([a.k, b.k, c.k, e.k, g.k]) = 5),
+    s as (
+        select part, filter_order, step.k as step, ks[step.k] as f, n, good, toxic, fails[ks[step.k]] as fails_here,
+            len(list_filter(ks[1:step.k - 1], lambda x: fails[x])) as before, len(list_filter(fails, lambda x: x)) as failing
+        from m, o, l step),
+    r as (
+        select part, filter_order, step::int as step, f, sum(case when before = 0 and not fails_here then n else 0 end)::bigint as kept,
+            sum(case when before = 0 and fails_here then n else 0 end)::bigint as removed, sum(case when before > 0 and fails_here then n else 0 end)::bigint as redundant,
+            sum(case when failing = 1 and fails_here then n else 0 end)::bigint as unique_fails, sum(case when before = 0 and fails_here then good else 0 end)::bigint as good_lost,
+            sum(case when before = 0 and fails_here then toxic else 0 end)::bigint as toxic_lost
+        from s group by all)
+    select * exclude (f), sum(removed) over (partition by part, f)::bigint as shapley from r"""
+
+
+def op13_limb_split_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("label").withColumnRenamed("id", "vec_id")
+
+
+def codes_sql() -> str:
+    """The same codes with every round as two common table expressions."""
+    parts = []
+    for k in range(ROUNDS + 1):
+        parts.append(f"""
+        d{k} as (select x.vec_id, x.part, b.entry, sum((x.x - b.x) * (x.x - b.x))::bigint as far from x join b{k} b using (part, place) group by all),
+        a{k} as (select vec_id, part, arg_min(entry, far * {ENTRIES} + entry) as entry, min(far) as far from d{k} group by all)""")
+        if k < ROUNDS:
+            parts.append(f"""
+        s{k} as (select x.part, a.entry, x.place, sum(x.x)::hugeint as total, count(*) as n from x join a{k} a using (vec_id, part) group by all),
+        b{k + 1} as (select b.part, b.entry, b.place, case when s.n is null then b.x else ((s.total - ((s.total % s.n) + s.n) % s.n) // s.n)::bigint end as x from b{k} b left join s{k} s using (part, entry, place))""")
+    return f"""
+    with v as (
+        select vec_id, label, embedding from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+        w as (select greatest(1, ceil(max(len(embedding)) / {PARTS}.0)::int) as width from v),
+        x as (
+            select vec_id, i // width as part, i % width as place, coalesce(floor({SCALE} * embedding[i + 1]::double)::bigint, 0) as x
+            from v, w, range(0, (select {PARTS} * width from w)) r(i)),
+        b0 as (select part, n - 1 as entry, place, x from x join (select vec_id, row_number() over (order by vec_id) as n from v qualify n <= {ENTRIES}) using (vec_id)),
+        {",".join(parts).lstrip()},
+        c as (select vec_id, string_agg(printf('%02x', entry), '' order by part) as code, sum(far)::bigint as error from a{ROUNDS} group by all),
+        h as (select sha256(string_agg(x::varchar, ',' order by part, entry, place)) as codebooks_sha256 from b{ROUNDS})
+    select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from v join c using (vec_id), h"""
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -175,8 +275,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_order_minhash_near_dup": op8_order_minhash_near_dup,
         "op9_bounded_space_packing": op9_bounded_space_packing,
         "op10_rotated_code_links": op10_rotated_code_links,
+        "op11_event_sourced_chat": op11_event_sourced_chat,
+        "op12_filter_interaction_audit": op12_filter_interaction_audit,
+        "op13_limb_split_codes": op13_limb_split_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_hierarchical_mix": mix_sql()}
+    return {"op6_hierarchical_mix": mix_sql(), "op11_event_sourced_chat": chat_sql(), "op12_filter_interaction_audit": audit_sql(), "op13_limb_split_codes": codes_sql()}
