@@ -329,8 +329,13 @@ SQL["markdown_bank"] = """with d as (select doc_id, trim(regexp_replace(split_pa
     x as (select doc_id, substring(f, 1, length(f) // 2) as a, substring(f, length(f) // 2 + 1) as b from d)
     select 'D' || (doc_id % 3) as domain_group, 'tech' || (doc_id % 4) as technique, 'q' || doc_id as id, 'x' || a || 'y' as question,
         rtrim('w' || a) || ' continued ' || b || 'e' as nonsensical_element, (doc_id % 5)::varchar as domain from x"""
-SQL["stream_progress"] = f"""with {EVENTS} select strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') as start, model, status, count(*) as n from e where event = 'task_complete' group by all"""
+# a table of one file is one batch, whose newest time closes windows and ends what is recent
+SQL["stream_progress"] = f"""with {EVENTS}, d as (select date_trunc('minute', ts) as s, model, status from e where event = 'task_complete'),
+    w as (select date_trunc('millisecond', max(ts)) - interval 1 hour as w from e where event = 'task_complete')
+    select strftime(s, '%Y-%m-%d %H:%M:%S') as start, model, status, count(*) as n, case when s + interval 1 minute <= w then 'closed' else 'open' end as state from d, w group by all"""
 SQL["stream_requeues"] = SQL["requeue_stats"]
-SQL["stream_first_seen"] = f"with {EVENTS} select model, strftime(min(ts), {_TIME}) as first_seen from e group by model"
-SQL["stream_dedup"] = f"with {EVENTS} select sample_id, 1::bigint as completed from e where event = 'task_complete' group by sample_id"
+SQL["stream_first_seen"] = f"""with {EVENTS}, n as (select model || '/' || day(ts) as name, ts from e union all select model || '/' || day(ts), ts - interval 2 days from e where status = 'error'),
+    w as (select date_trunc('millisecond', max(ts)) as w from e)
+    select name, strftime(min(ts), {_TIME}) as first_seen, min(ts) + interval 7 days > any_value(w) as recent from n, w group by name"""
+SQL["stream_dedup"] = f"with {EVENTS} select sample_id, 1::bigint as completed, 'first' as state from e where event = 'task_complete' group by sample_id"
 SQL["stream_publish"] = """select o_orderkey::varchar as key, case when o_orderkey % 2 = 0 and o_orderkey % 3 <> 0 then -o_custkey else o_custkey end as cust, o_orderstatus from orders"""

@@ -509,10 +509,18 @@ def _stream(spark, sf_dir):
     return v.shaped_events(streams.parquet_stream(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp")))
 
 
+#: Seconds by which an event may come after newer ones: in the progress report, and for one completion per sample.
+LATE, LATE_SAMPLES = 3600, 40 * 86400
+
+
 @query
 def stream_progress(spark, sf_dir):
-    out = streams.latest(streams.progress(_stream(spark, sf_dir)), ("start", "model", "status"))
-    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    """Windows that are closed, those that are open yet, and completions that came after their window was closed."""
+    folder = scratch_dir(spark)
+    out = streams.progress(_stream(spark, sf_dir), LATE, folder)
+    late = out.late.groupBy(F.window("ts", "1 minute")["start"].alias("start"), "model", "status").agg(F.count(F.lit(1)).alias("n"))
+    parts = [df.withColumn("state", F.lit(state)) for df, state in ((out.rows, "closed"), (streams.open_windows(spark, folder), "open"), (late, "late"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
@@ -522,12 +530,19 @@ def stream_requeues(spark, sf_dir):
 
 @query
 def stream_first_seen(spark, sf_dir):
-    return streams.latest(streams.first_seen(_stream(spark, sf_dir)), ("model",)).withColumn("first_seen", time_text("first_seen"))
+    """When models were first seen on each day of the month, and whether that is in the last week; the saved map has
+    earlier times of those with errors."""
+    name = F.concat("model", F.lit("/"), F.dayofmonth("ts").cast("string"))
+    failed = v.events(spark, sf_dir).filter("status = 'error'").groupBy(name.alias("name")).agg((F.min("ts") - F.expr("interval 2 days")).alias("ts"))
+    return streams.first_seen(_stream(spark, sf_dir).withColumn("name", name), scratch_dir(spark), failed).withColumn("first_seen", time_text("first_seen"))
 
 
 @query
 def stream_dedup(spark, sf_dir):
-    return streams.appended(streams.first_completions(_stream(spark, sf_dir))).groupBy("sample_id").agg(F.least(F.count(F.lit(1)), F.lit(1)).alias("completed"))
+    """Samples that completed, each once; completions beyond the lateness are counted apart."""
+    out = streams.first_completions(_stream(spark, sf_dir), LATE_SAMPLES)
+    count = lambda df, kind: df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("completed")).withColumn("state", F.lit(kind))
+    return count(out.rows, "first").unionByName(count(out.late, "late"))
 
 
 @query
