@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.exact import half_up, ratio
 from evalspark.functions.text import base_model, level_of, modern_org, org_of
+from evalspark.operators.order import numbered
 from evalspark.operators.panel import UNIT, bucket
 
 
@@ -144,12 +145,11 @@ def csv_rows(board: DataFrame, votes: DataFrame) -> DataFrame:
     return b.select("rank", "model", F.coalesce("voted", org_of(F.col("model"))).alias("org"), level_of(F.col("model")).alias("reasoning"), "avg_score", *rates, "score_2", "score_1", "score_0", "nonsense_count", "error_count")
 
 
-def placed(rows: DataFrame, keys: tuple[str, ...], first: str = "model") -> DataFrame:
-    """Rows in their canonical order with their ``place`` among those of one ``first`` value: by ``keys``, missing
-    numbers as 0, missing texts as ''."""
+def placed(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with their ``place`` in the canonical order of all rows: by ``keys``, missing numbers as 0, missing texts as
+    '' (see numbered)."""
     kinds = dict(rows.dtypes)
-    by = [F.coalesce(F.col(k), F.lit("") if kinds[k] == "string" else F.lit(0)) for k in keys]
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(first).orderBy(*by))).orderBy(first, "place")
+    return numbered(rows, [F.coalesce(F.col(k), F.lit("") if kinds[k] == "string" else F.lit(0)) for k in keys])
 
 
 def compared(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.exact import quotient
@@ -40,8 +40,22 @@ def summary(rows: DataFrame) -> DataFrame:
     return q.join(rows.agg(F.count_distinct("model").alias("models")))  # one row each
 
 
-def first_events(made: DataFrame, n: int) -> DataFrame:
-    return made.orderBy("question_id", "system_a", "system_b").limit(n)
+def reached(rows: DataFrame, n: int) -> DataFrame:
+    """The questions that hold the first ``n`` events, with the number of their events and of those ``before``.
+
+    A question of k models has k (k - 1) / 2 events, so no pair is made to find them; each of the first ``n`` questions
+    with two models has one at least, so only these are added up.
+    """
+    pairs = rows.groupBy("question_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("question_id", quotient(F.col("k") * (F.col("k") - 1), F.lit(2).cast("long")).alias("events"))
+    above = Window.orderBy("question_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = pairs.orderBy("question_id").limit(n)
+    return first.withColumn("before", F.coalesce(F.sum("events").over(above), F.lit(0))).filter(F.col("before") < n)
+
+
+def first_events(rows: DataFrame, version: str, n: int, extra_tags: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` of the events by question and models; pairs are made of the questions that hold them only."""
+    held = rows.join(reached(rows, n).select("question_id"), "question_id", "left_semi")
+    return events(held, version, extra_tags).orderBy("question_id", "system_a", "system_b").limit(n)
 
 
 def as_json(made: DataFrame) -> DataFrame:

@@ -137,13 +137,13 @@ def leaderboard_csv(spark, sf_dir):
 @query
 def canonical_order(spark, sf_dir):
     rows = scored(spark, sf_dir).select("sample_id", "model", "run_index", "question_id")
-    return leaderboard.placed(rows, ("run_index", "question_id")).select("sample_id", "model", "place")
+    return leaderboard.placed(rows, ("model", "run_index", "question_id")).select("sample_id", "model", "place")
 
 
 @query
 def collect_order(spark, sf_dir):
     rows = v.responses(spark, sf_dir).select("sample_id", "model", F.when(F.col("model_reasoning_level") != "default", F.col("model_reasoning_level")).alias("effort"), "run_index", "question_id")
-    return leaderboard.placed(rows, ("effort", "run_index", "question_id")).select("sample_id", "model", "place")
+    return leaderboard.placed(rows, ("model", "effort", "run_index", "question_id")).select("sample_id", "model", "place")
 
 
 @query
@@ -192,7 +192,7 @@ def first_responses(spark, sf_dir):
 
 @query
 def shuffled_tasks(spark, sf_dir):
-    """All tasks in an order that depends on a seed."""
+    """All tasks with their place in an order that depends on a seed."""
     return expand.seeded_order(v.responses(spark, sf_dir).select("sample_id", "model"), 7)
 
 

@@ -38,15 +38,15 @@ SQL["dataset_manifest"] = f"{scored()} " + " union all ".join(
 SQL["published_dataset"] = """select 'responses' as "table", count(*) as rows, 14 as columns from documents union all select 'aggregate', count(*), 4 from documents union all select 'model_params', 0, 3"""
 SQL["leaderboard_csv"] = f"""{scored()}, {BOARD}, {VOTES} select rank, b.model, coalesce(v.org, split_part(b.model, '/', 1)) as org, case when b.model like '%@%' then split_part(b.model, '=', 2) else 'default' end as reasoning, avg_score,
     detection_rate_score_2 as green_rate, full_engagement_rate_score_0 as red_rate, score_2, score_1, score_0, nonsense_count, error_count from board b left join votes v on b.model = v.model"""
-SQL["canonical_order"] = f"{R} select sample_id, model, row_number() over (partition by model order by run_index, question_id) as place from responses"
-SQL["collect_order"] = f"{R} select sample_id, model, row_number() over (partition by model order by case when model_reasoning_level = 'default' then '' else model_reasoning_level end, run_index, question_id) as place from responses"
+SQL["canonical_order"] = f"{R} select sample_id, model, row_number() over (order by model, run_index, question_id) as place from responses"
+SQL["collect_order"] = f"{R} select sample_id, model, row_number() over (order by model, case when model_reasoning_level = 'default' then '' else model_reasoning_level end, run_index, question_id) as place from responses"
 SQL["usage_order"] = f"select row_number() over (order by model <> 'ALL', total_tokens_total desc, model) as place, model, total_tokens_total from ({SQL['usage_summary']})"
 SQL["reliability_bundle"] = f"""select p.*, a.* from (select count(*) as pairs, round(avg(agreement_rate), 6) as average_pairwise_agreement from ({SQL["judge_pair_agreement"]})) p, ({SQL["krippendorff_alpha"]}) a"""
 SQL["report_input_guard"] = f"{R} select 'sample' as kind, 'z' || sample_id as id from responses where pos % 50 = 3 union all select 'grade_set', 'judge2'"
 SQL["grade_resume"] = f"""{R} select case when pos % 23 = 0 then 'to do' else 'other judge' end as kind, sample_id from responses where pos % 23 = 0 or pos % 7 = 0"""
 SQL["grade_sources"] = f"""with {GRADES} select judge_idx, count(distinct case when judge_idx = 1 then 'a' else model_org end) as sources, sources <= 1 as single from grades group by judge_idx"""
 SQL["first_responses"] = f"{R} select model, technique, arg_min(sample_id, pos) as sample_id from responses group by all"
-SQL["shuffled_tasks"] = f"{R} select sample_id, model from responses"
+SQL["shuffled_tasks"] = f"{R} select sample_id, model, row_number() over (order by md5('7:' || sample_id), sample_id) as place from responses"
 SQL["control_rows"] = f"{R} select sample_id, (pos % 3 = 0 and is_control) or technique = 'tech5' as control from responses"
 _CODE = "case when pos % 37 = 0 then 429 when pos % 41 = 0 then 503 when pos % 43 = 0 then 404 end"
 SQL["error_classes"] = f"""{R}, c as (select *, {_CODE} as code from responses) select sample_id, case when code = 429 then 'rate_limit' when code is not null then 'api_error' else 'runtime_error' end as kind,

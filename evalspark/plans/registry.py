@@ -191,7 +191,7 @@ def collection_stats(spark, sf_dir):
 
 
 def _variants(spark, sf_dir):
-    return expand.variants(v.model_list(spark, sf_dir), PROVIDERS, "openrouter", "none")
+    return expand.variants(v.model_list(spark, sf_dir), expand.provider_rules(spark, PROVIDERS), "openrouter", "none")
 
 
 @query
@@ -212,13 +212,12 @@ def sample_ids(spark, sf_dir):
 
 @query
 def provider_routing(spark, sf_dir):
-    m = v.model_list(spark, sf_dir)
-    return m.select("model_id", expand.provider_of(F.col("model_id"), PROVIDERS, "openrouter").alias("provider"))
+    return expand.routed(v.model_list(spark, sf_dir).select("model_id"), expand.provider_rules(spark, PROVIDERS), "openrouter")
 
 
 @query
 def override_cascade(spark, sf_dir):
-    return expand.overrides(v.model_list(spark, sf_dir), OVERRIDES)
+    return expand.overrides(v.model_list(spark, sf_dir), expand.override_rules(spark, OVERRIDES))
 
 
 def _tasks_and_checkpoint(spark, sf_dir):
@@ -462,7 +461,7 @@ def pairwise_summary(spark, sf_dir):
 
 @query
 def pairwise_topn(spark, sf_dir):
-    return pairwise.first_events(pairwise.events(_pairs(spark, sf_dir), "v1"), 100).drop("tags")
+    return pairwise.first_events(_pairs(spark, sf_dir), "v1", 100).drop("tags")
 
 
 def _lines(spark, sf_dir):

@@ -135,7 +135,7 @@ def test_calls_report_errors_by_row(spark):
 def test_overrides(spark):
     rules = {"*": {"a": {"x": 1, "y": 2}, "b": 1}, "o/*": {"a": 5}, "o/m": {"a": {"z": 3}}, "p/m": {"b": {"c": 1}}}
     got = {}
-    for r in expand.overrides(spark.createDataFrame([("o/m",), ("o/n",), ("p/m",), ("q",)], "model_id string"), rules).collect():
+    for r in expand.overrides(spark.createDataFrame([("o/m",), ("o/n",), ("p/m",), ("q",)], "model_id string"), expand.override_rules(spark, rules)).collect():
         got.setdefault(r.model_id, {})[r.path] = r.value
     assert got == {"o/m": {"a.z": "3", "b": "1"}, "o/n": {"a": "5", "b": "1"}, "p/m": {"a.x": "1", "a.y": "2", "b.c": "1"}, "q": {"a.x": "1", "a.y": "2", "b": "1"}}
 
