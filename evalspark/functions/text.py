@@ -93,9 +93,9 @@ def excerpt(c: Column, most: int = 140) -> Column:
 
 
 def unquoted(c: Column) -> Column:
-    """Trimmed, without one pair of straight or curly quotes."""
+    """Trimmed, without one pair of straight or curly double quotes."""
     t = F.trim(c)
-    return F.when(t.rlike('^(".*"|“.*”|\'.*\')$') & (F.length(t) >= 2), F.regexp_replace(t, r"(?s)^.(.*).$", "$1")).otherwise(t)
+    return F.when(t.rlike('(?s)^(".*"|“.*”)$') & (F.length(t) >= 2), F.trim(F.regexp_replace(t, r"(?s)^.(.*).$", "$1"))).otherwise(t)
 
 
 def utc_time(c: Column) -> Column:
@@ -120,6 +120,12 @@ def variant_label(model: Column, level: Column) -> Column:
     return F.concat(base_model(clean(model)), F.lit("@reasoning="), F.coalesce(F.nullif(clean(level), F.lit("")), F.lit("default")))
 
 
+def variant_of(model: Column, level: Column) -> Column:
+    """The variant of a normalised model name (see model_key); '' without a name."""
+    key = model_key(model)
+    return F.when(key == "", "").otherwise(F.concat(key, F.lit("@reasoning="), F.coalesce(F.nullif(clean(level), F.lit("")), F.lit("default"))))
+
+
 def is_control(flag: Column, technique: Column) -> Column:
     return F.coalesce(flag, F.lit(False)) | (F.coalesce(technique, F.lit("")) == "control_legitimate")
 

@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 from evalspark.functions.exact import half_up, ratio, whole
 from evalspark.functions.text import is_rate_limit, to_bool, to_float, to_int
 
-_DETAILS = "struct<cached_tokens:string,cache_write_tokens:string,reasoning_tokens:string>"
 #: Both providers' names; every leaf is read as text, since some write numbers as strings.
+_DETAILS = "struct<cached_tokens:string,cache_write_tokens:string,reasoning_tokens:string>"
 USAGE = (
     "prompt_tokens string, input_tokens string, completion_tokens string, output_tokens string, total_tokens string, cost string, is_byok string,"
     f"prompt_tokens_details {_DETAILS}, input_tokens_details {_DETAILS}, completion_tokens_details {_DETAILS}, output_tokens_details {_DETAILS},"
-    "cost_details struct<upstream_inference_cost:string,upstream_inference_prompt_cost:string,upstream_inference_completions_cost:string>"
+    "cost_details struct<upstream_inference_cost:string,upstream_inference_prompt_cost:string,upstream_inference_completions_cost:string>, __bad string"
 )
 
 
-def with_metrics(rows: DataFrame, json: str = "response_usage") -> DataFrame:
-    """Typed metrics of the usage object, whatever the provider's names; bad objects and values are null."""
+def with_metrics(rows: DataFrame, json: str = "response_usage", prices: DataFrame | None = None) -> DataFrame:
+    """Typed metrics of the usage object, whatever the provider's names; bad objects and values are null. With ``prices``
+    (see estimated_cost) the estimate is the cost of rows that tell none.
+
+    The JSON is parsed once; only an object that does not fit is parsed again, to tell odd values from broken text.
+    """
     u = lambda path: F.col(f"__u.{path}")
     either = lambda a, b: F.coalesce(u(a), u(b))
     prompt, completion = either("prompt_tokens_details", "input_tokens_details"), either("completion_tokens_details", "output_tokens_details")
-    parsed = rows.withColumn("__u", F.from_json(json, USAGE))
+    parsed = rows.withColumn("__u", F.from_json(json, USAGE, {"columnNameOfCorruptRecord": "__bad"}))
+    filled = F.col(json).rlike(r"^\s*\{\s*[^\s}]")
     m = {
         "prompt_tokens": to_int(either("prompt_tokens", "input_tokens")),
         "completion_tokens": to_int(either("completion_tokens", "output_tokens")),
@@ -35,13 +40,16 @@ def with_metrics(rows: DataFrame, json: str = "response_usage") -> DataFrame:
         "upstream_prompt_cost_usd": to_float(u("cost_details.upstream_inference_prompt_cost")),
         "upstream_completions_cost_usd": to_float(u("cost_details.upstream_inference_completions_cost")),
         "is_byok": to_bool(u("is_byok")),
-        "has_usage": F.coalesce(F.trim(json).startswith("{") & (F.trim(json) != "{}") & F.try_parse_json(json).isNotNull(), F.lit(False)),
+        "has_usage": F.coalesce(filled & F.when(u("__bad").isNull(), True).otherwise(F.try_parse_json(json).isNotNull()), F.lit(False)),
     }
     latency = F.col("response_latency_ms")
     out = parsed.withColumns(m).drop("__u")
     if "response_text" in rows.columns:
         out = out.withColumn("char_count", F.length(F.coalesce("response_text", F.lit(""))).cast("long"))
-    return out.withColumn("tokens_per_second", F.when(latency > 0, ratio(1000 * F.col("total_tokens"), latency)))
+    out = out.withColumn("tokens_per_second", F.when(latency > 0, ratio(1000 * F.col("total_tokens"), latency)))
+    if prices is None:
+        return out
+    return estimated_cost(out, prices).withColumn("cost_usd", F.col("final_cost_usd")).drop("estimated_cost_usd", "final_cost_usd")
 
 
 def estimated_cost(rows: DataFrame, prices: DataFrame) -> DataFrame:
@@ -59,7 +67,7 @@ def _sum(c: str) -> Column:
     return F.coalesce(F.sum(whole(c)), F.lit(0)).cast("long")
 
 
-#: What the summary adds up: tokens and characters as whole numbers, money to 8 decimals.
+#: What the summary adds up: tokens and characters as whole numbers, money to 10 decimals.
 TOKENS = ("prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens", "cached_prompt_tokens", "cache_write_tokens", "char_count")
 MONEY = ("cost_usd", "upstream_cost_usd", "upstream_prompt_cost_usd", "upstream_completions_cost_usd")
 
@@ -82,7 +90,7 @@ def usage_summary(rows: DataFrame) -> DataFrame:
         "rows_with_byok_true": F.count_if("is_byok"),
     }
     sums = {f"{c}_total": _sum(c) for c in TOKENS}
-    money = {f"{c}_total": F.sum(F.col(c).cast("decimal(28,8)")) for c in MONEY}
+    money = {f"{c}_total": F.sum(F.col(c).cast("decimal(28,10)")) for c in MONEY}
     rest = {"latency_ms_total": _sum("response_latency_ms"), "tps4_total": F.coalesce(F.sum(tps4), F.lit(0)).cast("long")}
     per = rows.groupBy("model").agg(*[c.alias(n) for n, c in (counts | sums | money | rest).items()])
     again = [F.sum(c).alias(c) for c in per.columns if c != "model"]

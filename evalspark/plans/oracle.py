@@ -152,7 +152,8 @@ SQL["synthetic_tiebreak"] = f"""with {PANEL} select *, case when judge_error <>
             when s1 is null and s2 is null then 'Synthetic tiebreaker row could not assign score because primary judges had no valid score.' else '' end as judge_error
     from panel)"""
 SQL["report_rows"] = f"""{scored()} select a.sample_id, a.model, a.question_id, r.error as response_error, c4, consensus_error,
-    'judge1:' || coalesce(s1::varchar, '-') || ':' || '|judge2:' || coalesce(s2::varchar, '-') || ':' || e2 || '|judge3:' || coalesce(s3::varchar, '-') || ':' || e3 as judges
+    'judge1:' || coalesce(s1::varchar, '-') || ':' || '|judge2:' || coalesce(s2::varchar, '-') || ':' || e2 || '|judge3:' || coalesce(s3::varchar, '-') || ':' || e3 as judges,
+    array_to_string(list_filter([nullif(r.error, ''), 'judge2: ' || nullif(e2, ''), 'judge3: ' || nullif(e3, ''), 'consensus: ' || consensus_error], lambda x: x is not null), ' | ') as report_error, case when report_error <> '' then 'error' else 'ok' end as status
     from agg a join responses r using (sample_id)"""
 SQL["report_errors"] = f"""{scored()} select sample_id, model, question_id, 'collect' as phase, '' as judge_model, error from responses where error <> ''
     union all select sample_id, model, question_id, 'aggregate', '', consensus_error from agg where consensus_error is not null
@@ -169,13 +170,15 @@ USAGE = f"""with u as (
     from orders)"""
 SQL["usage_metrics"] = f"{USAGE} select sample_id, model, prompt_tokens, completion_tokens, total_tokens, reasoning_tokens, cached_prompt_tokens, cache_write_tokens, cost_usd, cost_usd as upstream_cost_usd, is_byok, char_count, tokens_per_second from u"
 _SUMS = ", ".join(f"coalesce(sum({c}), 0)::bigint as {c}_total" for c in ("prompt_tokens", "completion_tokens", "total_tokens", "reasoning_tokens", "cached_prompt_tokens", "cache_write_tokens", "char_count"))
-SQL["usage_summary"] = f"""{USAGE} select coalesce(model, 'ALL') as model, count(*) as rows, count(*) filter (where error <> '') as error_rows, count(*) filter (where error = '') as success_rows,
-    count(*) as rows_with_usage, count(total_tokens) as rows_with_total_tokens, count(cents) as rows_with_cost, count(latency) as rows_with_latency, count(tokens_per_second) as rows_with_tokens_per_second,
-    count(*) filter (where is_byok) as rows_with_byok_true, {_SUMS}, coalesce(sum(cents), 0)::bigint / 100000.0::double as cost_usd_total, cost_usd_total as upstream_cost_usd_total,
+PRICED = f"""{USAGE}, p as (select * from (values ('1-URGENT', 25000, 2500, 100000), ('2-HIGH', 12500, 1250, 50000), ('5-LOW', 1500, 150, 6000)) t(model, i, c, o)),
+    est as (select *, greatest(prompt_tokens - cached_prompt_tokens, 0) * i + cached_prompt_tokens * c + completion_tokens * o as units, coalesce(cents * 100000, units)::hugeint as paid from u left join p using (model))"""
+SQL["usage_summary"] = f"""{PRICED} select coalesce(model, 'ALL') as model, count(*) as rows, count(*) filter (where error <> '') as error_rows, count(*) filter (where error = '') as success_rows,
+    count(*) as rows_with_usage, count(total_tokens) as rows_with_total_tokens, count(paid) as rows_with_cost, count(latency) as rows_with_latency, count(tokens_per_second) as rows_with_tokens_per_second,
+    count(*) filter (where is_byok) as rows_with_byok_true, {_SUMS}, coalesce(sum(paid), 0)::bigint / 1e10::double as cost_usd_total, coalesce(sum(cents), 0)::bigint / 100000.0::double as upstream_cost_usd_total,
     0.0::double as upstream_prompt_cost_usd_total, 0.0::double as upstream_completions_cost_usd_total, sum(round(tokens_per_second * 10000)::bigint)::bigint / 10000.0::double as tokens_per_second_total, sum(latency)::bigint as latency_ms_total, {ratio("sum(total_tokens)", "count(total_tokens)")} as avg_total_tokens,
     {ratio("sum(latency)", "count(latency)", 2)} as avg_latency_ms,
     ((2 * sum(round(tokens_per_second * 10000)::bigint)::bigint + count(tokens_per_second)) // nullif(2 * count(tokens_per_second), 0)) / 10000.0::double as avg_tokens_per_second
-    from u group by grouping sets ((model), ())"""
+    from est group by grouping sets ((model), ())"""
 SQL["estimated_cost"] = f"""{USAGE}, p as (select * from (values ('1-URGENT', 25000, 2500, 100000), ('2-HIGH', 12500, 1250, 50000), ('5-LOW', 1500, 150, 6000)) t(model, i, c, o))
     select sample_id, cost_usd, est as estimated_cost_usd, coalesce(cost_usd, est) as final_cost_usd
     from (select *, (greatest(prompt_tokens - cached_prompt_tokens, 0) * i + cached_prompt_tokens * c + completion_tokens * o) / 1e10::double as est from u left join p using (model))"""
@@ -230,11 +233,19 @@ SQL["score_checks"] = f"""with {GRADES} select sample_id, judge_idx,
         when not is_control and {_SCORE} > 2 then 'Invalid judge score ' || {_SCORE} || ' for this row; allowed scores: 0,1,2' end as unhinted from grades"""
 SQL["version_comparison"] = f"""{scored()}, h as (select model, substring(question_id, 2)::bigint % 2 as half, {MEAN4.format("case when not is_control then c4 end")} as a from agg group by all)
     select x.model, x.a as first_avg, y.a as second_avg, round((y.a - x.a) * 10000) / 10000.0::double as delta from h x join h y on x.model = y.model and x.half = 0 and y.half = 1"""
-SQL["judge_output_parse"] = """select doc_id, case when doc_id % 7 in (0, 1, 2, 3) then doc_id % 3 when doc_id % 7 = 6 then 0 end::int as score,
-    case when doc_id % 7 in (0, 1, 2, 3) then 'because {it} "is"' when doc_id % 7 = 6 then '' end as justification,
-    case doc_id % 7 when 0 then 'direct' when 3 then 'direct' when 1 then 'markdown_fence' when 2 then 'first_json_object' when 6 then 'fallback_empty_judge_output' else '' end as parse_mode,
-    case when doc_id % 7 in (4, 5) then 'unparseable judge output' else '' end as error from documents"""
-SQL["chat_text_extract"] = "select conv_id, turn, trim(coalesce(text, '')) as text, case when turn % 2 = 0 then 'completed' else 'stop' end as finish_reason, '' as refusal from conversations"
+_STRIP = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_NO_OBJECT = "Judge output parse error. Expected strict JSON object with `score` and `justification`."
+SQL["judge_output_parse"] = f"""with d as (select *, doc_id % 14 as k, {_STRIP.format("'because {it} \\ \"is\" ' || coalesce(text, '')")} as said from documents)
+    select doc_id, case when k in (0, 1, 2, 3, 11, 13) then doc_id % 3 when k = 6 then 0 end::int as score,
+        case when k = 13 then md5('a') when k in (0, 1, 2, 3, 11) then md5(said) when k = 6 then md5('') end as justification_md5,
+        case k when 0 then 'direct' when 13 then 'direct' when 1 then 'markdown_fence' when 2 then 'first_object' when 3 then 'direct_double_encoded' when 11 then 'markdown_fence_double_encoded' when 6 then 'fallback_empty_judge_output' else '' end as parse_mode,
+        case when k in (5, 12) then '{_NO_OBJECT}' when k in (4, 9, 10) then 'Judge JSON `score` must be integer in {{0,1,2,3}}.' when k in (7, 8) then 'Judge JSON `justification` must be a non-empty string.' else '' end as error from d"""
+SQL["chat_text_extract"] = f"""with c as (select *, (conv_id + turn) % 12 as k, {_STRIP.format("coalesce(text, '')")} as t from conversations)
+    select conv_id, turn, md5(case k when 0 then trim(t || chr(10) || 'more', chr(10)) when 1 then t when 2 then {_STRIP.format("coalesce(text, '') || chr(10) || 'end'")} when 3 then 'plain' else '' end) as text_md5,
+        case k when 0 then 'completed' when 2 then 'length' when 3 then 'max_output_tokens' when 11 then 'incomplete' when 1 then 'stop' when 4 then 'stop' end as finish_reason,
+        md5(case when k = 3 then t else '' end) as refusal_md5,
+        case k when 4 then 'API returned error payload: "rate limited"' when 5 then 'API returned error payload: {{"code":1}}' when 6 then 'API response missing both output and choices content.' when 7 then 'API response is not a JSON object.'
+            when 8 then 'API response first choice is not an object.' when 9 then 'API response choice.message is not an object.' when 10 then 'API response is not a JSON object.' else '' end as error from c"""
 
 LINES = """with l as (select case when l_orderkey % 97 = 0 then '' else l_orderkey::varchar end as key, l_linenumber, l_partkey, l_suppkey, l_quantity as qty, l_extendedprice as price from lineitem),
     both_sides as (select *, 0 as side from l where l_linenumber <= 4 union all select *, 1 from l where l_linenumber >= 3)"""
@@ -271,9 +282,9 @@ SQL["leaderboard_enriched"] = f"{ENRICHED} select rank, model, model_id, org, re
 SQL["release_trend"] = f"""{ENRICHED} select org, strftime(launch_date, '%Y-%m') as month, sum(score_2)::bigint as score_2, sum(nonsense_count)::bigint as n,
     {ratio("sum(score_2)", "sum(nonsense_count)")} as green_rate from enriched group by org, month"""
 SQL["size_vs_score"] = f"{ENRICHED} select model, total_params_b, detection_rate_score_2, avg_score from enriched where total_params_b is not null"
-SQL["cost_vs_score"] = f"""{scored()}, a2 as (select *, split_part(model, '/', 1) as org from agg),
-    u as (select 'org' || (left(o_orderpriority, 1)::int - 1) as org, sum(o_orderkey % 300) filter (where o_orderstatus <> 'O') as r, count(*) filter (where o_orderstatus <> 'O') as n from orders group by all)
-    select org, detection_rate_score_2, {ratio("r", "n")} as avg_reasoning_tokens from ({summary("org").replace("from agg", "from a2")}) join u using (org)"""
+SQL["cost_vs_score"] = f"""{scored()}, a2 as (select *, split_part(model, '/', 1) as org from agg), x as ({PRICED} select * from est),
+    y as (select 'org' || (left(model, 1)::int - 1) as org, sum(reasoning_tokens) as r, count(reasoning_tokens) as n, sum(paid)::bigint as cost, count(paid) as paid from x group by all)
+    select org, detection_rate_score_2, {ratio("r", "n")} as avg_reasoning_tokens, ((cost // paid + 50) // 100) / 1e8::double as avg_cost_usd from ({summary("org").replace("from agg", "from a2")}) join y using (org)"""
 SQL["model_inventory"] = """with o as (select case when c_custkey % 13 = 0 then 'm' || (c_custkey % 50) else 'org' || (c_custkey % 50 % 5) || '/m' || (c_custkey % 50) end as model_id,
         case c_mktsegment when 'AUTOMOBILE' then 'config' when 'BUILDING' then 'latest' else 'runs' end as source, model_id || '@reasoning=' || ['none', 'low', 'high', 'default'][c_custkey % 4 + 1] as variant from customer)
     select model_id, split_part(model_id, '/', 1) as org, bool_or(source = 'latest') as present_in_latest, bool_or(source = 'config') as present_in_config, bool_or(source = 'runs') as present_in_runs_history,

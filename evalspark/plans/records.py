@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalspark import views as v
 from evalspark.functions import text as t
 from evalspark.operators import expand, inference, integrity, leaderboard, metadata, pairwise, publish, reliability, usage
-from evalspark.plans.registry import JUDGES, _attempts, _pairs, aligned, board, query, scored
+from evalspark.plans.registry import JUDGES, _attempts, _pairs, _prices, aligned, board, query, scored
 from evalspark.scratch import scratch_dir
 from evalspark.sources import files
 
@@ -148,7 +148,7 @@ def collect_order(spark, sf_dir):
 
 @query
 def usage_order(spark, sf_dir):
-    return usage.ordered(usage.usage_summary(usage.with_metrics(v.usage(spark, sf_dir)))).select("place", "model", "total_tokens_total")
+    return usage.ordered(usage.usage_summary(usage.with_metrics(v.usage(spark, sf_dir), prices=_prices(spark)))).select("place", "model", "total_tokens_total")
 
 
 @query
@@ -239,17 +239,33 @@ def dataset_versions(spark, sf_dir):
     return v.read(spark, sf_dir, "documents").select("doc_id", t.benchmark_version(name).alias("version"))
 
 
+class _Refused(Exception):
+    """A client's error with its HTTP status."""
+
+    status_code, retry_after_seconds = 429, 2.5
+
+
 @query
 def collected_rows(spark, sf_dir):
-    """Responses from a batch function that fails on some rows, with metrics per row."""
-    asked = v.responses(spark, sf_dir).select("sample_id", "question_id", "model", "pos", F.lit('{"total_tokens": 40}').alias("response_usage"), (F.col("pos") % 5 * 100).alias("response_latency_ms"))
+    """Responses from a client that fails on some rows, refuses others and leaves some empty or cut short."""
+    tasks = v.responses(spark, sf_dir).select("sample_id", "question_id", "model", "pos")
 
-    def answer(batch: pd.DataFrame) -> list[str]:
-        if (batch["pos"] % 97 == 0).any():
+    def ask(row: dict) -> dict | str:
+        p = row["pos"]
+        if p % 97 == 0:
             raise ValueError("no answer")
-        return ("answer to " + batch["question_id"]).tolist()
-
-    return usage.with_metrics(inference.call(asked, answer)).select("sample_id", "response_text", "error", "char_count", "tokens_per_second", t.status_of(F.lit(None).cast("string"), F.col("error")).alias("status"))
+        if p % 89 == 0:
+            raise _Refused("HTTP 429")
+        if p % 83 == 0:
+            return {"error": {"message": "overloaded"}}
+        message = {"content": "" if p % 7 < 2 else [{"type": "text", "text": f" answer to {row['question_id']} "}], "refusal": "I will not." if p % 7 == 0 else None}
+        return {"id": f"r{p}", "usage": {"total_tokens": p % 50}, "choices": [{"message": message, "finish_reason": "length" if p % 11 == 0 else "stop"}]}
+
+    out = usage.with_metrics(inference.collected(inference.answered(tasks, ask, workers=8)))
+    return out.select(
+        "sample_id", "response_text", "response_id", "response_finish_reason", "total_tokens", "char_count", "error", "error_kind", "error_http_status", "error_retryable", "error_retry_after_seconds",
+        F.array_join("warnings", ",").alias("warnings"), (F.col("response_latency_ms") >= 0).alias("timed"), t.status_of(F.lit(None).cast("string"), F.col("error")).alias("status"),
+    )
 
 
 @query
@@ -268,7 +284,7 @@ def graded_rows(spark, sf_dir):
 def model_keys(spark, sf_dir):
     ending = v.pick(F.col("pos") % 5, ("", "-HIGH", "-none", "-x", "-minimal"))
     name = F.concat(F.lit(" "), "model_id", ending, F.when(F.col("pos") % 2 == 0, "@reasoning=low").otherwise(""))
-    return v.responses(spark, sf_dir).select("sample_id", t.model_key(name).alias("model_key"), t.variant_label(name, F.when(F.col("pos") % 3 == 0, "low")).alias("variant"))
+    return v.responses(spark, sf_dir).select("sample_id", t.model_key(name).alias("model_key"), t.variant_of(name, F.when(F.col("pos") % 3 == 0, "low")).alias("variant"))
 
 
 @query

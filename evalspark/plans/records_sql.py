@@ -58,13 +58,18 @@ SQL["known_settings"] = f"""{MODELS}, o as ({_OBSERVED}), p as (select distinct
     select pattern from p where pattern = '*' or exists (select 1 from models m where m.model_id = pattern or (pattern like '%/*' and starts_with(m.model_id, left(pattern, length(pattern) - 1))))"""
 SQL["request_messages"] = """select conv_id, turn, case when turn % 2 = 0 and trim(coalesce(role, '')) <> '' then 2 else 1 end as n, case when turn % 2 = 0 and trim(coalesce(role, '')) <> '' then 'system,user' else 'user' end as roles, md5(text) as last_md5 from conversations"""
 SQL["dataset_versions"] = """select doc_id, case when doc_id % 4 = 0 or doc_id % 3 = 0 then 'v2' when doc_id % 4 = 1 then 'v1' when doc_id % 4 = 2 then 'set_a' else 'old' end as version from documents"""
-SQL["collected_rows"] = f"""{R} select sample_id, case when pos % 97 = 0 then '' else 'answer to ' || question_id end as response_text, case when pos % 97 = 0 then 'ValueError: no answer' else '' end as error,
-    case when pos % 97 = 0 then 0 else length('answer to ' || question_id) end as char_count, case when pos % 5 > 0 then round(40000.0::double / (pos % 5 * 100), 4) end as tokens_per_second,
-    case when pos % 97 = 0 then 'error' else 'ok' end as status from responses"""
+SQL["collected_rows"] = f"""{R}, f as (select *, case when pos % 97 = 0 then 'no answer' when pos % 89 = 0 then 'HTTP 429' when pos % 83 = 0 then 'API returned error payload: {{"message":"overloaded"}}' else '' end as failure from responses),
+    x as (select *, case when failure <> '' then '' when pos % 7 = 0 then 'I will not.' when pos % 7 = 1 then '[Model returned an empty response.]' else 'answer to ' || question_id end as txt, case when pos % 11 = 0 then 'length' else 'stop' end as reason from f)
+    select sample_id, txt as response_text, case when failure = '' then 'r' || pos else '' end as response_id, case when failure = '' then reason end as response_finish_reason, case when failure = '' then pos % 50 end as total_tokens, length(txt) as char_count,
+        failure as error, case when failure = '' then '' when pos % 97 <> 0 and pos % 89 = 0 then 'rate_limit' else 'runtime_error' end as error_kind, case when failure = 'HTTP 429' then 429 end as error_http_status, case when failure = 'HTTP 429' then true end as error_retryable,
+        case when failure = 'HTTP 429' then 2.5::double end as error_retry_after_seconds,
+        case when failure <> '' then '' else array_to_string(list_filter([case when pos % 7 = 0 then 'response_text_fallback=message.refusal' when pos % 7 = 1 then 'response_text_fallback=empty_placeholder' end,
+            case when pos % 7 = 1 then 'empty_response_finish_reason=' || reason end, case when reason = 'length' then 'response_finish_reason=length (possible truncation)' end], lambda w: w is not null), ',') end as warnings,
+        true as timed, case when failure <> '' then 'error' else 'ok' end as status from x"""
 SQL["graded_rows"] = f"""{R} select sample_id, case when pos % 5 < 3 then 1 when pos % 5 = 4 then 0 end as score, case when pos % 5 < 3 then 'direct' when pos % 5 = 4 then 'fallback_empty_judge_output' else '' end as parse_mode,
-    case when pos % 5 = 3 then 'unparseable judge output' else '' end as error, case when pos % 5 < 3 then pos % 5 else 2 end::int as asked from responses"""
+    case when pos % 5 = 3 then 'Judge output parse error. Expected strict JSON object with `score` and `justification`.' else '' end as error, case when pos % 5 < 3 then pos % 5 else 2 end::int as asked from responses"""
 _ENDING = "['', '-HIGH', '-none', '-x', '-minimal'][pos % 5 + 1]"
-SQL["model_keys"] = f"{R} select sample_id, model_id || case when pos % 5 = 3 then '-x' else '' end as model_key, model_id || {_ENDING} || '@reasoning=' || case when pos % 3 = 0 then 'low' else 'default' end as variant from responses"
+SQL["model_keys"] = f"{R} select sample_id, model_id || case when pos % 5 = 3 then '-x' else '' end as model_key, model_id || case when pos % 5 = 3 then '-x' else '' end || '@reasoning=' || case when pos % 3 = 0 then 'low' else 'default' end as variant from responses"
 SQL["excerpts"] = f"""{R}, x as (select sample_id, trim(regexp_replace(trim(coalesce(response_text, '')), '\\s+', ' ', 'g')) as t from responses)
     select sample_id, md5(case when length(t) <= 140 then t else rtrim(substring(t, 1, 137)) || '...' end) as excerpt_md5 from x"""
 SQL["first_times"] = """select event_id as pos, strftime(case when event_id % 4 = 1 then date_trunc('second', ts) - interval 2 hours when event_id % 3 < 2 then date_trunc('second', ts) else ts::date::timestamp end, '%Y-%m-%dT%H:%M:%SZ') as first from events"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evalspark import views as v
 from evalspark.functions.exact import ratio
 from evalspark.functions.text import url_domain
-from evalspark.operators import expand, inference, integrity, leaderboard, metadata, pairwise, panel, publish, reliability, timeline, usage
+from evalspark.operators import expand, inference, integrity, leaderboard, metadata, pairwise, panel, publish, reliability, report, timeline, usage
 from evalspark.scratch import scratch_dir, stored
 from evalspark.sources import files
 from evalspark.streaming import events as streams
@@ -148,25 +148,22 @@ def synthetic_tiebreak(spark, sf_dir):
 
 
 def _report(spark, sf_dir):
-    r = v.responses(spark, sf_dir).select("sample_id", "model", "question_id", F.col("error").alias("response_error"))
-    p = scored(spark, sf_dir).select("sample_id", "judges", "c4", "consensus_error")
-    return r.join(p, "sample_id", "left")
+    return report.report_rows(v.responses(spark, sf_dir).select("sample_id", "model", "question_id", "error"), scored(spark, sf_dir))
 
 
 @query
 def report_rows(spark, sf_dir):
     text = F.transform("judges", lambda j, i: F.concat_ws(":", F.concat(F.lit("judge"), (i + 1).cast("string")), F.coalesce(j["score"].cast("string"), F.lit("-")), j["error"]))
-    return _report(spark, sf_dir).select("sample_id", "model", "question_id", "response_error", "c4", "consensus_error", F.array_join(text, "|").alias("judges"))
+    return _report(spark, sf_dir).select("sample_id", "model", "question_id", F.col("error").alias("response_error"), "c4", "consensus_error", F.array_join(text, "|").alias("judges"), "status", "report_error")
 
 
 @query
 def report_errors(spark, sf_dir):
-    """Errors of all phases, one pass over the report rows."""
-    none = F.lit("")
-    fact = lambda phase, judge, error: F.struct(F.lit(phase).alias("phase"), judge.alias("judge_model"), error.alias("error"))
-    graded = F.transform("judges", lambda j, i: F.when(j["error"] != "", fact("grade", F.concat(F.lit("judge"), (i + 1).cast("string")), j["error"])))
-    others = F.array(F.when(F.col("response_error") != "", fact("collect", none, F.col("response_error"))), F.when(F.col("consensus_error").isNotNull(), fact("aggregate", none, F.col("consensus_error"))))
-    return _report(spark, sf_dir).select("sample_id", "model", "question_id", F.explode(F.array_compact(F.concat(others, F.coalesce(graded, F.array())))).alias("e")).select("sample_id", "model", "question_id", "e.*")
+    return report.report_errors(_report(spark, sf_dir))
+
+
+def _prices(spark):
+    return spark.createDataFrame(PRICES, "model string, input long, cached_input long, output long")
 
 
 @query
@@ -176,13 +173,12 @@ def usage_metrics(spark, sf_dir):
 
 @query
 def usage_summary(spark, sf_dir):
-    return usage.usage_summary(usage.with_metrics(v.usage(spark, sf_dir)))
+    return usage.usage_summary(usage.with_metrics(v.usage(spark, sf_dir), prices=_prices(spark)))
 
 
 @query
 def estimated_cost(spark, sf_dir):
-    prices = spark.createDataFrame(PRICES, "model string, input long, cached_input long, output long")
-    return usage.estimated_cost(usage.with_metrics(v.usage(spark, sf_dir)), prices).select("sample_id", "cost_usd", "estimated_cost_usd", "final_cost_usd")
+    return usage.estimated_cost(usage.with_metrics(v.usage(spark, sf_dir)), _prices(spark)).select("sample_id", "cost_usd", "estimated_cost_usd", "final_cost_usd")
 
 
 @query
@@ -290,28 +286,45 @@ def version_comparison(spark, sf_dir):
 
 
 def judge_raw(spark, sf_dir):
-    d = F.col("doc_id")
-    obj = F.concat(F.lit('{"justification": "because {it} \\"is\\"", "score": '), (d % 3).cast("string"), F.lit("}"))
-    k = d % 7
-    raw = (
-        F.when(k == 0, obj).when(k == 1, F.concat(F.lit("Here:\n```json\n"), obj, F.lit("\n```"))).when(k == 2, F.concat(F.lit("I think "), obj, F.lit(" is right {")))
-        .when(k == 3, F.to_json(F.struct(obj.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(obj.alias("x")))) - 6))
-        .when(k == 4, F.replace(obj, F.lit("}"), F.lit(".0}"))).when(k == 5, F.substring(obj, 1, 20)).otherwise("")
-    )
+    """Judge outputs of every shape, the documents' texts as justifications."""
+    d, k = F.col("doc_id"), F.col("doc_id") % 14
+    said = F.concat(F.lit("because {it} \\ \"is\" "), F.coalesce("text", F.lit("")))
+    made = lambda score, reason: F.concat(F.lit('{"justification": '), reason, F.lit(', "score": '), score, F.lit("}"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r"(?s)^.{5}(.*).$", "$1")
+    n, reason = (d % 3).cast("string"), quoted(said)
+    obj, other = made(n, reason), quoted(F.lit("no"))
+    shapes = [
+        obj, F.concat(F.lit("Here:\n```json\n"), obj, F.lit("\n```")), F.concat(F.lit("I \"think } "), obj, F.lit(" is right {")), quoted(obj), made(F.concat(n, F.lit(".0")), reason), F.substring(obj, 1, 20), F.lit(" \n"),
+        made(n, F.lit("5")), made(n, quoted(F.lit(" "))), made(F.lit("4"), reason), F.concat(F.lit("[1] "), made(F.lit("true"), other), F.lit(" then "), obj), F.concat(F.lit("```\n"), quoted(obj), F.lit("\n```")), F.lit("[1, 2]"), F.concat(F.lit("\n "), made(n, F.concat(F.lit('" a"'))), F.lit(" ")),
+    ]
+    raw = F.element_at(F.array(*shapes), (k + 1).cast("int"))
     return v.read(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
 
 
 @query
 def judge_output_parse(spark, sf_dir):
-    return inference.judged(judge_raw(spark, sf_dir)).select("doc_id", "score", "justification", "parse_mode", "error")
+    return inference.judged(judge_raw(spark, sf_dir)).select("doc_id", "score", F.md5(F.col("justification").cast("binary")).alias("justification_md5"), "parse_mode", "error")
 
 
 @query
 def chat_text_extract(spark, sf_dir):
-    a = F.struct(F.array(F.struct(F.lit("message").alias("type"), F.array(F.struct(F.lit("output_text").alias("type"), F.col("text").alias("text"))).alias("content"))).alias("output"), F.lit("completed").alias("status"))
-    b = F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"), F.lit("stop").alias("finish_reason"))).alias("choices"))
-    payload = F.when(F.col("turn") % 2 == 0, F.to_json(a)).otherwise(F.to_json(b))
-    return inference.model_text(v.read(spark, sf_dir, "conversations").withColumn("payload", payload)).select("conv_id", "turn", "text", "finish_reason", "refusal")
+    """Payloads of both shapes, with lists as contents, refusals and unfinished answers, and of every broken shape."""
+    said = F.coalesce("text", F.lit(""))
+    part = lambda kind, field, c: F.struct(F.lit(kind).alias("type"), c.alias(field))
+    json = lambda **fields: F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    output = lambda *parts: F.array(F.struct(F.lit("reasoning").alias("type"), F.array(parts[0]).alias("content")), F.struct(F.lit("message").alias("type"), F.array(*parts).alias("content")))
+    choice = lambda content, reason="stop": F.array(F.struct(F.struct(content.alias("content")).alias("message"), F.lit(reason).alias("finish_reason")))
+    shapes = [
+        json(output=output(part("output_text", "text", said), part("output_text", "text", F.lit(" more "))), status=F.lit(" Completed "), incomplete_details=F.struct(F.lit("max").alias("reason"))),
+        json(choices=choice(said)),
+        json(choices=choice(F.array(F.struct(said.alias("text")), F.struct(F.lit("end").alias("text"))), "length")),
+        json(output=output(part("refusal", "refusal", said)), status=F.lit("incomplete"), incomplete_details=F.struct(F.lit("max_output_tokens").alias("reason")), choices=choice(F.lit("plain"))),
+        json(error=F.lit("rate limited"), choices=choice(said)), json(error=F.struct(F.lit(1).alias("code"))), F.lit("{}"), F.lit("not json"), F.lit('{"choices": ["x"], "error": null}'), F.lit('{"choices": [{"message": 5}]}'), F.lit("[1]"),
+        F.lit('{"choices": [{"finish_reason": "stop"}], "status": "INCOMPLETE"}'),
+    ]
+    payload = F.element_at(F.array(*shapes), ((F.col("conv_id") + F.col("turn")) % len(shapes) + 1).cast("int"))
+    c = v.read(spark, sf_dir, "conversations").withColumn("payload", payload)
+    return inference.model_text(c).select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text_md5"), "finish_reason", F.md5(F.col("refusal").cast("binary")).alias("refusal_md5"), "error")
 
 
 @query
@@ -404,10 +417,8 @@ def size_vs_score(spark, sf_dir):
 @query
 def cost_vs_score(spark, sf_dir):
     names = F.create_map(*[F.lit(x) for i, p in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) for x in (p, f"org{i}")])
-    u = usage.with_metrics(v.usage(spark, sf_dir)).withColumn("org", names[F.col("model")])
-    per = u.groupBy("org").agg(F.sum("reasoning_tokens").alias("reasoning"), F.count("reasoning_tokens").alias("n"))
-    b = leaderboard.summarize(scored(spark, sf_dir).withColumn("org", F.split_part("model", F.lit("/"), F.lit(1))), ("org",))
-    return b.join(per, "org").select("org", "detection_rate_score_2", ratio(F.col("reasoning"), F.col("n")).alias("avg_reasoning_tokens"))
+    u = usage.with_metrics(v.usage(spark, sf_dir), prices=_prices(spark)).withColumn("org", names[F.col("model")])
+    return report.cost_against_score(scored(spark, sf_dir).withColumn("org", F.split_part("model", F.lit("/"), F.lit(1))), u, "org")
 
 
 @query

@@ -1,5 +1,8 @@
 """Rules that are easy to get wrong, on literal rows."""
 
+import json
+import random
+import time
 from pathlib import Path
 
 import pytest
@@ -43,6 +46,8 @@ def test_coercion(spark):
 def test_names(spark):
     s = F.lit
     assert value(spark, t.slug(s("a b//c__")), t.tag(s("Hot & Cold!")), t.tag(s("!!")), t.excerpt(s("a " * 100), 10)) == ("a_b_c", "hot_cold", "unknown", "a a a a...")
+    assert value(spark, t.variant_of(s("openai/gpt-5-high@reasoning=low"), s("low")), t.variant_of(s(" a/b "), s(None)), t.variant_of(s(""), s("low"))) == ("openai/gpt-5@reasoning=low", "a/b@reasoning=default", "")
+    assert value(spark, t.unquoted(s("'x'")), t.unquoted(s('" x "'))) == ("'x'", "x")
     assert value(spark, t.model_key(s("x/y@reasoning=high")), t.model_key(s("x/y-HIGH")), t.model_key(s("x/y-max"))) == ("x/y", "x/y", "x/y-max")
     assert value(spark, t.url_domain(s("https://www.X.com:81/a")), t.url_domain(s("nothing")), t.org_of(s("meta-llama/z"))) == ("x.com:81", "", "meta")
     assert value(spark, t.unquoted(s(' "a b" ')), t.unquoted(s("“x”")), t.unquoted(s("it's"))) == ("a b", "x", "it's")
@@ -108,13 +113,80 @@ def test_usage(spark):
 
 def test_judge_output(spark):
     good = '{"score": 2, "justification": "j"}'
-    texts = [good, f"x ```json\n{good}\n``` y", f'pre {{"a": "}}"}} {good}', '"{\\"score\\": 1, \\"justification\\": \\"k\\"}"', good.replace("2", "2.0"), good.replace("2", '"2"'), good.replace("2", "true"), good.replace("2", "7"), good.replace('"j"', '" "'), "", None]
-    got = inference.judged(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, raw string")).orderBy("i").collect()
-    assert [(r.score, r.parse_mode) for r in got[:2]] == [(2, "direct"), (2, "markdown_fence")]
-    assert (got[3].score, got[3].justification) == (1, "k")
-    assert all(r.score is None and r.error for r in got[4:9])
-    assert [(r.score, r.parse_mode, r.error) for r in got[9:]] == [(0, "fallback_empty_judge_output", "")] * 2
-    assert inference.first_object('a {"x": "}\\"{"} b') == '{"x": "}\\"{"}' and inference.first_object("{ no") is None
+    double = '"{\\"score\\": 1, \\"justification\\": \\" k \\"}"'
+    score, reason, none = inference.NO_SCORE, inference.NO_REASON, inference.NO_OBJECT
+    cases = [
+        (good, 2, "j", "direct", ""), (f"x ```json\n{good}\n``` y", 2, "j", "markdown_fence", ""), (f"\n\t{good}\r\n", 2, "j", "direct", ""),
+        (double, 1, "k", "direct_double_encoded", ""), (f"```\n{double}\n```", 1, "k", "markdown_fence_double_encoded", ""), (f'so "a" {good} {{', 2, "j", "first_object", ""),
+        (f'pre {{"a": "}}"}} {good}', None, None, "", score), (good.replace("2", "2.0"), None, None, "", score), (good.replace("2", '"2"'), None, None, "", score), (good.replace("2", "true"), None, None, "", score),
+        (good.replace("2", "7"), None, None, "", score), ("{}", None, None, "", score), (good.replace('"j"', '" "'), None, None, "", reason), (good.replace('"j"', "5"), None, None, "", reason), ('{"score": 1}', None, None, "", reason),
+        ("[1]", None, None, "", none), ('"text"', None, None, "", none), ("{ no", None, None, "", none), ("", 0, "", "fallback_empty_judge_output", ""), (None, 0, "", "fallback_empty_judge_output", ""), (" \n\t", 0, "", "fallback_empty_judge_output", ""),
+    ]
+    got = inference.judged(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, raw string"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "")
+    assert [(r.score, r.justification, r.parse_mode, r.error) for r in got.orderBy("i").collect()] == [c[1:] for c in cases]
+
+
+def slow_first_object(text):
+    depth, start, quoted, skip = 0, -1, False, False
+    for i, ch in enumerate(text):
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = ch == "\\", ch != '"'
+        elif ch == '"' and depth:
+            quoted = True
+        elif ch == "{":
+            start = i if depth == 0 else start
+            depth += 1
+        elif ch == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                return text[start : i + 1]
+    return None
+
+
+def test_first_object(spark):
+    r = random.Random(1)
+    texts = ['a {"x": "}\\"{"} b', "{ no", "", "}{}", '{"' + "\\" * 5000 + '"}', "{" * 300 + "}" * 300, *["".join(r.choice('{}"\\ab\n') for _ in range(r.randrange(25))) for _ in range(3000)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [x.o for x in df.select("i", inference.first_object(F.col("t")).alias("o")).orderBy("i").collect()]
+    assert got == [slow_first_object(t) for t in texts]
+
+
+def test_payloads(spark):
+    msg = lambda m, **k: json.dumps({"choices": [{"message": m, "finish_reason": "stop"}], **k})
+    out = lambda *parts, **k: json.dumps({"output": [{"type": "reasoning", "content": [{"type": "output_text", "text": "no"}]}, "odd", {"type": "message", "content": [*parts, 5]}, {"type": "message", "content": "odd"}], **k})
+    part = lambda t: {"type": "output_text", "text": t}
+    error = inference.ERROR_PAYLOAD
+    cases = [
+        (msg({"content": " a \n"}), "a", "", "stop", ""), (msg({"content": None, "refusal": " no "}), "", "no", "stop", ""), (msg({"content": [{"text": "a"}, {"image": 1}, {"text": "b "}]}), "a\nb", "", "stop", ""),
+        (out(part("x "), part(" "), part("y"), status="completed", incomplete_details={"reason": "max"}), "x\ny", "", "completed", ""), (out(part("x"), status=" INCOMPLETE ", incomplete_details={"reason": "max"}), "x", "", "max", ""),
+        (out(part("x"), status="incomplete", incomplete_details=None), "x", "", "incomplete", ""), (out({"type": "refusal", "refusal": "never"}, choices=[{"message": {"content": "plain"}}]), "plain", "never", None, ""),
+        (out(), "", "", None, inference.NO_CONTENT), ('{"error": "rate limited"}', "", "", None, error + '"rate limited"'), (msg({"content": "a"}, error={"code": 5}), "", "", "stop", error + '{"code":5}'), (msg({"content": "a"}, error=""), "a", "", "stop", ""),
+        ("{}", "", "", None, inference.NO_CONTENT), ('{"choices": {}}', "", "", None, inference.NO_CONTENT), ("not json", "", "", None, inference.NOT_JSON), (None, "", "", None, inference.NOT_JSON), ("[]", "", "", None, inference.NOT_JSON),
+        ('{"choices": [1]}', "", "", None, inference.BAD_CHOICE), ('{"choices": [{"message": null}]}', "", "", None, inference.BAD_MESSAGE), ('{"choices": [{}], "status": ""}', "", "", None, ""), (msg({"content": 12}), "12", "", "stop", ""),
+    ]
+    got = inference.model_text(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, payload string")).orderBy("i").collect()
+    assert [(r.text, r.refusal, r.finish_reason, r.error) for r in got] == [c[1:] for c in cases]
+
+
+def test_calls_run_side_by_side_within_a_budget(spark):
+    def ask(row):
+        if row["id"] == 3:
+            raise ValueError("no")
+        time.sleep(0.2)
+        return {"usage": {"total_tokens": row["id"]}, "choices": [{"message": {"content": f"a{row['id']}"}}]}
+
+    rows = spark.range(12).coalesce(1)
+    start = time.monotonic()
+    got = inference.collected(inference.answered(rows, ask, workers=12)).collect()
+    assert time.monotonic() - start < 12 * 0.2 + 8
+    assert [r.id for r in got] == list(range(12)) and all(r.response_latency_ms >= 190 for r in got if r.id != 3)
+    assert (got[3].error, got[3].error_kind, got[3].response_text) == ("no", "runtime_error", "") and got[4].response_text == "a4" and got[4].response_usage == '{"total_tokens":4}'
+    start = time.monotonic()
+    inference.answered(rows, lambda row: "{}", workers=12, per_second=10).collect()
+    assert time.monotonic() - start >= 1.1
 
 
 def test_prompts_replace_in_turn(spark):
