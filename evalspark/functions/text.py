@@ -16,6 +16,14 @@ def clean(c: Column) -> Column:
     return F.coalesce(F.trim(c.cast("string")), F.lit(""))
 
 
+#: White space at the ends of a text.
+SPACE = " \t\n\r\x0b\x0c"
+
+
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(SPACE))
+
+
 def to_int(c: Column) -> Column:
     """Text or number to a long: whole values only ('12.0' is 12, '3.5' and 'true' are null)."""
     d = F.trim(c.cast("string")).try_cast("double")
@@ -94,8 +102,8 @@ def excerpt(c: Column, most: int = 140) -> Column:
 
 def unquoted(c: Column) -> Column:
     """Trimmed, without one pair of straight or curly double quotes."""
-    t = F.trim(c)
-    return F.when(t.rlike('(?s)^(".*"|“.*”)$') & (F.length(t) >= 2), F.trim(F.regexp_replace(t, r"(?s)^.(.*).$", "$1"))).otherwise(t)
+    t = strip(c)
+    return F.when(t.rlike('(?s)^(".*"|“.*”)$') & (F.length(t) >= 2), strip(F.regexp_replace(t, r"(?s)^.(.*).$", "$1"))).otherwise(t)
 
 
 def utc_time(c: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.functions.text import error_kind, is_retryable
+from evalspark.functions.text import error_kind, is_retryable, strip
 from evalspark.scratch import stored
 
 # The wording of rows that cannot be graded.
@@ -193,14 +193,6 @@ def graded(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], most: int)
     return out.withColumn("error", F.when(F.col("call_error") != "", F.col("call_error")).otherwise(F.col("error"))).drop("call_error")
 
 
-#: White space at the ends of a text.
-SPACE = " \t\n\r\x0b\x0c"
-
-
-def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(SPACE))
-
-
 def first_object(text: Column) -> Column:
     """The first balanced JSON object in a text, quotes and escapes observed; null if there is none.
 

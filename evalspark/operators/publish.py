@@ -74,15 +74,26 @@ def slim(df: DataFrame, raw: str = "response_raw", drop: Sequence[str] = ("reque
 
 
 def coverage(df: DataFrame) -> DataFrame:
-    """(column, rows, filled): rows whose value is there and, for texts, not blank. One pass over the table."""
+    """(column, rows, filled, objects): rows whose value is there and, for texts, not blank; and rows whose value is an
+    object: a struct or map that is there, a VARIANT or text that holds a JSON object. One pass over the table."""
 
     def filled(f: T.StructField) -> Column:
         c = F.col(f"`{f.name}`")
         return c.isNotNull() & (F.trim(c) != "") if isinstance(f.dataType, T.StringType) else c.isNotNull()
 
-    one = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(filled(f)).alias(f.name) for f in df.schema])
-    pairs = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("filled")) for f in df.schema])
-    return one.select(F.explode(pairs).alias("p"), F.col("__rows").alias("rows")).select("p.column", "rows", "p.filled")
+    def is_object(f: T.StructField) -> Column:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (T.StructType, T.MapType)):
+            return c.isNotNull()
+        if isinstance(kind, T.VariantType):
+            return F.coalesce(F.schema_of_variant(c).startswith("OBJECT"), F.lit(False))
+        if isinstance(kind, T.StringType):  # few texts begin like an object, so few are parsed
+            return F.coalesce(F.when(F.ltrim(c).startswith("{"), F.try_parse_json(c).isNotNull()), F.lit(False))
+        return F.lit(False)
+
+    one = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.struct(F.count_if(filled(f)).alias("filled"), F.count_if(is_object(f)).alias("objects")).alias(f.name) for f in df.schema])
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("c")) for f in df.schema])
+    return one.select(F.explode(pairs).alias("p"), F.col("__rows").alias("rows")).select("p.column", "rows", "p.c.filled", "p.c.objects")
 
 
 def first_seen(rows: DataFrame, saved: DataFrame) -> DataFrame:
@@ -107,8 +118,9 @@ def model_sets(rows: DataFrame) -> DataFrame:
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows of every published table and how far its columns are filled: ``table``, ``column``, ``rows``, ``filled``."""
-    parts = [coverage(df).select(F.lit(name).alias("table"), "column", "rows", "filled") for name, df in tables.items()]
+    """Rows of every published table and how far its columns are filled: ``table``, ``column``, ``rows``, ``filled``,
+    ``objects`` (see coverage)."""
+    parts = [coverage(df).select(F.lit(name).alias("table"), "column", "rows", "filled", "objects") for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

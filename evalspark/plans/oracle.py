@@ -257,7 +257,8 @@ SQL["redact_paths"] = "select doc_id as pos, md5('see [local-path]\" then ' || t
 SQL["slim_rows"] = f"with {RESPONSES} select sample_id, case when pos % 3 = 0 then 'snap' else model_id end as response_model_snapshot from responses"
 _COLUMNS = ("pos", "sample_id", "model", "model_id", "model_org", "model_reasoning_level", "run_index", "question_id", "technique", "domain", "is_control", "response_text", "n_chars", "error")
 _TEXTS = set(_COLUMNS) - {"pos", "run_index", "is_control", "n_chars"}
-SQL["column_coverage"] = f"with {RESPONSES} " + " union all ".join(f"""select '{c}' as "column", count(*) as rows, count(*) filter (where {c} is not null {f"and trim({c}) <> ''" if c in _TEXTS else ""}) as filled from responses""" for c in _COLUMNS)
+SQL["column_coverage"] = f"with {RESPONSES} " + " union all ".join(f"""select '{c}' as "column", count(*) as rows, count(*) filter (where {c} is not null {f"and trim({c}) <> ''" if c in _TEXTS else ""}) as filled, 0::bigint as objects from responses""" for c in _COLUMNS) + """
+    union all select 'response_usage', count(*), count(*) filter (where pos % 4 < 3), count(*) filter (where pos % 4 = 0) from responses union all select 'raw', count(*), count(*) filter (where pos % 3 = 0), count(*) filter (where pos % 3 = 0) from responses"""
 _TIME = "'%Y-%m-%d %H:%M:%S.%f'"
 SQL["recent_additions"] = f"""with {EVENTS},
     now as (select 'model' as kind, model || '@reasoning=' || event as name, min(ts) as seen from e where status = 'ok' group by all union all select 'base', model, min(ts) from e where status = 'ok' group by all),
@@ -336,10 +337,12 @@ SQL["pairwise_summary"] = f"{PAIRS} select (select count(distinct question_id) f
 
 SQL["jsonl_lenient"] = "select doc_id, lang, md5(text) as text_md5 from documents where doc_id % 7 <> 3"
 SQL["salvage_json"] = "select 0::bigint as place, doc_id, null as lang, md5(text) as text_md5 from documents union all select 1, doc_id, lang, null from documents"
-SQL["markdown_bank"] = """with d as (select doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '[*#:"'']', '', 'g')) as f from documents),
-    x as (select doc_id, substring(f, 1, length(f) // 2) as a, substring(f, length(f) // 2 + 1) as b from d)
-    select 'D' || (doc_id % 3) as domain_group, 'tech' || (doc_id % 4) as technique, 'q' || doc_id as id, 'x' || a || 'y' as question,
-        rtrim('w' || a) || ' continued ' || b || 'e' as nonsensical_element, (doc_id % 5)::varchar as domain from x"""
+SQL["markdown_bank"] = f"""with d as (select doc_id, regexp_replace(coalesce(text, ''), '[*#:"'']', '', 'g') as f, translate(doc_id::varchar, '0123456789', 'abcdefghij') as name, ['pnf', 'mm', 'L2', 'zz'][doc_id // 5 % 4 + 1] as code from documents),
+    x as (select *, name || '_' || code || '_' || lpad((doc_id % 100)::varchar, 2, '0') as id, list_filter(list_transform(string_split('"x' || f || 'y"', chr(10)), lambda l: {_STRIP.format("l")}), lambda l: l <> '') as ls from d)
+    select id, md5(case when contains(f, chr(10)) then array_to_string(ls, ' ') else {_STRIP.format("'x' || f || 'y'")} end) as question_md5, 'w continued ' || name as nonsensical_element, case when doc_id % 17 = 3 then '' else (doc_id % 5)::varchar end as domain,
+        ['legal', 'medical', 'software', 'finance', 'physics'][doc_id // 10 % 5 + 1] as domain_group, code as difficulty, 'The ' || code || ' kind' as difficulty_label,
+        case code when 'pnf' then 'plausible_nonexistent_framework' when 'mm' then 'misapplied_mechanism' when 'L2' then 'wrong_relationship' else code end as technique,
+        case when doc_id % 17 = 3 then 'Incomplete question block for ' || id || ': missing domain' else '' end as problem from x"""
 # a table of one file is one batch, whose newest time closes windows and ends what is recent
 SQL["stream_progress"] = f"""with {EVENTS}, d as (select date_trunc('minute', ts) as s, model, status from e where event = 'task_complete'),
     w as (select date_trunc('millisecond', max(ts)) - interval 1 hour as w from e where event = 'task_complete')

@@ -30,7 +30,7 @@ _WARNED = "case when pos % 9 = 0 then 'slow; cut' end"
 _STATUS = {"status": "case when error <> '' then 'error' else 'ok' end"}
 SQL["collect_review"] = f"{R} select {_review(COLLECT_REVIEW, _NAMES | _STATUS | {'model_reasoning_level': 'model_reasoning_level', 'warnings': _WARNED})} from responses"
 SQL["grade_review"] = f"with {GRADES} select {_review(GRADE_REVIEW, _NAMES | _STATUS | {'judge_model': 'judge_model', 'judge_score': 'score'})} from grades"
-_FILLED = "select '{0}' as \"table\", '{1}' as \"column\", count(*) as rows, count(*) filter (where {1} is not null {2}) as filled from {3}"
+_FILLED = "select '{0}' as \"table\", '{1}' as \"column\", count(*) as rows, count(*) filter (where {1} is not null {2}) as filled, 0::bigint as objects from {3}"
 _TEXT = "and trim({0}) <> ''"
 SQL["dataset_manifest"] = f"{scored()} " + " union all ".join(
     [_FILLED.format("responses", c, _TEXT.format(c) if c in _TEXTS else "", "responses") for c in _COLUMNS] + [_FILLED.format("aggregate", c, _TEXT.format(c) if c != "c4" else "", "agg") for c in ("sample_id", "model", "c4", "status")]

@@ -356,7 +356,10 @@ def slim_rows(spark, sf_dir):
 
 @query
 def column_coverage(spark, sf_dir):
-    return publish.coverage(v.responses(spark, sf_dir))
+    """Responses with a usage text that is an object, a list, broken or blank, and a payload that some have."""
+    k = F.col("pos") % 4
+    usage_text = F.when(k == 0, F.to_json(F.struct("pos"))).when(k == 1, "[1]").when(k == 2, "{broken").otherwise(" ")
+    return publish.coverage(v.responses(spark, sf_dir).withColumns({"response_usage": usage_text, "raw": F.when(F.col("pos") % 3 == 0, F.struct("model"))}))
 
 
 @query
@@ -502,16 +505,19 @@ def salvage_json(spark, sf_dir):
 
 @query
 def markdown_bank(spark, sf_dir):
-    """Drafts of ten questions a file, written from the documents' first lines."""
-    first = F.trim(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "[*#:\"']", ""))
-    half = F.floor(F.length(first) / 2).cast("int")
-    q = v.read(spark, sf_dir, "documents").select("doc_id", F.substring(first, F.lit(1), half).alias("a"), F.substring(first, half + 1, F.length(first)).alias("b"))
+    """Drafts of ten questions a file made of the documents' whole texts; headings stand before some questions only."""
+    d, text = F.col("doc_id"), F.regexp_replace(F.coalesce("text", F.lit("")), "[*#:\"']", "")
+    name = F.translate(d.cast("string"), "0123456789", "abcdefghij")
+    section = F.when(d % 10 == 0, F.concat(F.lit("## "), F.upper(v.pick(F.floor(d / 10) % 5, files.DOMAINS)), F.lit("\n"))).otherwise("")
+    code = v.pick(F.floor(d / 5) % 4, ("pnf", "mm", "L2", "zz"))
+    technique = F.when(d % 5 == 0, F.concat(F.lit("### "), code, F.lit(" — The "), code, F.lit(" kind \n"))).otherwise("")
     block = F.concat(
-        F.lit("## D"), (F.col("doc_id") % 3).cast("string"), F.lit("\n### tech"), (F.col("doc_id") % 4).cast("string"), F.lit("\n\n**q"), F.col("doc_id").cast("string"),
-        F.lit("**\nQuestion: \"x"), F.col("a"), F.lit("y\"\nWhat's wrong: w"), F.col("a"), F.lit("\ncontinued "), F.col("b"), F.lit("e\nDomain: "), (F.col("doc_id") % 5).cast("string"), F.lit("\n"),
+        section, technique, F.lit("\n**"), name, F.lit("_"), code, F.lit("_"), F.lpad((d % 100).cast("string"), 2, "0"), F.lit("**\nnot a field\nDomain: first\nQuestion: \"x"), text, F.lit("y\"\nWhat's wrong: “w”\n  continued "), name,
+        F.when(d % 17 == 3, "\nDomain:").otherwise(F.concat(F.lit("\nDomain: "), (d % 5).cast("string"))),
     )
-    lines = q.select(F.floor(F.col("doc_id") / 10).alias("file"), "doc_id", files.numbered(block).alias("k", "line")).select("file", (F.col("doc_id") * 100 + F.col("k")).alias("n"), "line")
-    return files.markdown_bank(lines).drop("file")
+    rows = v.read(spark, sf_dir, "documents").select(F.floor(d / 10).alias("file"), d.alias("doc_id"), files.numbered(block).alias("k", "line"))
+    bank = files.markdown_bank(rows.select("file", (F.col("doc_id") * (1 << 32) + F.col("k")).alias("n"), "line"))
+    return bank.withColumn("question_md5", F.md5(F.col("question").cast("binary"))).drop("file", "question", "is_control")
 
 
 def _stream(spark, sf_dir):

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.functions.text import unquoted
-from evalspark.operators.integrity import duplicates, require_empty
+from evalspark.functions.text import strip, unquoted
+from evalspark.operators.integrity import require_empty
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -26,9 +26,12 @@ def lenient_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 def grade_set(spark: SparkSession, path: str, schema: T.StructType, judge_idx: int) -> DataFrame:
     """A judge's grades: at least one row, and one per sample."""
     rows = strict_jsonl(spark, path, schema)
-    if rows.isEmpty():
+    per = rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    n, repeated = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max_by("sample_id", F.when(F.col("n") > 1, F.col("n")))).first()
+    if not n:
         raise ValueError(f"no grades in {path}")
-    require_empty(duplicates(rows), f"repeated samples in {path}")
+    if repeated is not None:
+        raise ValueError(f"repeated samples in {path}: {repeated}")
     return rows.withColumn("judge_idx", F.lit(judge_idx))
 
 
@@ -118,25 +121,81 @@ def question_counts(rows: DataFrame) -> DataFrame:
     return g.select(kind.alias("kind"), F.coalesce("domain", "technique", F.lit("")).alias("name"), "n")
 
 
+# The sections of a draft, and the techniques that codes in headings stand for.
+DOMAINS = ("legal", "medical", "software", "finance", "physics")
+TECHNIQUES = {
+    "L1": "jargon_soup",
+    "L2": "wrong_relationship",
+    "L3": "subtle_premise_violation",
+    "pnf": "plausible_nonexistent_framework",
+    "mm": "misapplied_mechanism",
+    "af": "authoritative_framing",
+    "fg": "false_granularity",
+    "wua": "wrong_unit_of_analysis",
+    "tce": "temporal_category_error",
+    "rm": "reified_metaphor",
+    "cds": "cross_domain_stitching",
+    "st": "specificity_trap",
+    "fa": "fabricated_authority",
+    "scf": "sunk_cost_framing",
+    "ce": "confident_extrapolation",
+    "nn": "nested_nonsense",
+}
+# Fixed patterns: a draft's domain and technique headings and question ids, and the names of its fields.
+DOMAIN_HEADING, TECHNIQUE_HEADING, QUESTION_ID = r"^##\s+([A-Z]+)$", r"^###\s+(L[123]|[a-z]{2,4})\s+[—\-]\s+(.+)$", r"^\*\*([a-z]+_(?:L[123]|[a-z]{2,4})_\d{2})\*\*$"
+FIELDS = {"question": "Question:", "nonsensical_element": "What's wrong:", "domain": "Domain:"}
+
+
 def markdown_bank(lines: DataFrame) -> DataFrame:
-    """Questions of markdown drafts (``file``, ``n`` line number, ``line``).
+    """Questions of markdown drafts (``file``, ``n`` line number, ``line``), with what is wrong with each (``problem``).
 
-    ``## DOMAIN``, ``### code — label`` and ``**id**`` hold for the lines after them; ``Question:``, ``What's wrong:``
-    and ``Domain:`` begin fields, which plain lines continue. Headings are carried by windows inside each file.
+    A domain heading and a technique heading (code and label) hold for the questions after them, a new domain has no
+    technique yet; a heading ends the question before it. In a question a field goes on over plain lines until the next
+    one; a value's quotes go where they stand around its first line; of a field that is given twice the last one counts.
+    Lines that are none of these, and lines outside a question, are left out. Headings are carried by windows inside each
+    file.
     """
     here = Window.partitionBy("file").orderBy("n")
-    mark = lambda pattern: F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))
-    label = F.when(F.col("line").rlike(r"^Question:"), "question").when(F.col("line").rlike(r"^What's wrong:"), "nonsensical_element").when(F.col("line").rlike(r"^Domain:"), "domain")
-    heading = F.col("line").rlike(r"^(##|\*\*)")
-    c = lines.withColumns({"d": mark(r"^## (.+)$"), "t": mark(r"^### (.+)$"), "q": mark(r"^\*\*(.+)\*\*$"), "f": F.when(heading, "").otherwise(label)})
-    fill = lambda name: F.last(name, ignorenulls=True).over(here)
-    c = c.withColumns({"domain_group": fill("d"), "technique": fill("t"), "id": fill("q"), "field": fill("f")})
-    body = c.filter(~heading & (F.trim("line") != "") & F.col("id").isNotNull() & F.col("field").isin("question", "nonsensical_element", "domain"))
-    text = F.trim(F.regexp_replace("line", r"^(Question|What's wrong|Domain):", ""))
-    whole = body.groupBy("file", "domain_group", "technique", "id", "field").agg(F.array_sort(F.collect_list(F.struct("n", text.alias("x")))).alias("xs"))
-    joined = F.array_join(F.transform("xs", lambda x: x["x"]), " ")
-    value = lambda name: F.max(F.when(F.col("field") == name, unquoted(F.col("v")))).alias(name)
-    return whole.withColumn("v", joined).groupBy("file", "domain_group", "technique", "id").agg(*[value(n) for n in ("question", "nonsensical_element", "domain")])
+    line = strip(F.coalesce("line", F.lit("")))
+    mark = lambda pattern, k=1: F.nullif(F.regexp_extract("x", pattern, k), F.lit(""))
+    c = lines.select("file", "n", line.alias("x")).filter("x <> ''")
+    c = c.select("*", F.lower(mark(DOMAIN_HEADING)).alias("d"), mark(TECHNIQUE_HEADING).alias("t"), mark(TECHNIQUE_HEADING, 2).alias("l"), mark(QUESTION_ID).alias("q"))
+    heading = F.col("d").isNotNull() | F.col("t").isNotNull()
+    technique = F.when(F.col("d").isNotNull(), F.struct(F.lit("").alias("code"), F.lit("").alias("label"))).when(F.col("t").isNotNull(), F.struct(F.col("t").alias("code"), F.col("l").alias("label")))
+    begun = F.lit(None).cast("string")
+    for name, start in FIELDS.items():
+        begun = F.when(F.col("x").startswith(start), name).otherwise(begun)
+    run = F.when(heading | F.col("q").isNotNull(), F.struct(F.lit("").alias("field"), F.col("n").alias("since"))).when(begun.isNotNull(), F.struct(begun.alias("field"), F.col("n").alias("since")))
+    fill = lambda c: F.last(c, ignorenulls=True).over(here)
+    question = F.when(heading, F.struct(F.lit(-1).cast("long").alias("at"), F.lit("").alias("id"))).when(F.col("q").isNotNull(), F.struct(F.col("n").cast("long").alias("at"), F.col("q").alias("id")))
+    held = c.select("file", "n", "x", F.col("q").isNotNull().alias("named"), heading.alias("heading"), fill("d").alias("group"), fill(technique).alias("technique"), fill(question).alias("question"), fill(run).alias("run"))
+    body = held.filter(F.col("named") | (~F.col("heading") & (F.col("question.at") >= 0) & (F.col("run.field") != "")))
+    value = F.col("x")
+    for name, start in FIELDS.items():
+        value = F.when((F.col("run.field") == name) & (F.col("run.since") == F.col("n")), unquoted(F.substr("x", F.lit(len(start) + 1)))).otherwise(value)
+    facts = F.struct(F.coalesce("group", F.lit("")).alias("group"), "technique", "question.id")
+    fields = body.groupBy("file", F.col("question.at").alias("at"), F.col("run.field").alias("field"), F.col("run.since").alias("since")).agg(
+        F.max(F.when(F.col("named"), facts)).alias("facts"), F.array_sort(F.collect_list(F.when(~F.col("named"), F.struct("n", value.alias("v"))))).alias("vs")
+    )
+    fields = fields.withColumn("v", strip(F.array_join(F.filter(F.transform("vs", lambda y: y["v"]), lambda y: y != ""), " ")))
+    per = fields.groupBy("file", "at").agg(F.max("facts").alias("f"), *[F.coalesce(F.max_by("v", F.when(F.col("field") == name, F.col("since"))), F.lit("")).alias(name) for name in FIELDS])
+    names = F.create_map(*[F.lit(x) for pair in TECHNIQUES.items() for x in pair])
+    code = F.coalesce("f.technique.code", F.lit(""))
+    out = per.select("file", F.col("f.id").alias("id"), *FIELDS, F.col("f.group").alias("domain_group"), code.alias("difficulty"), F.coalesce("f.technique.label", F.lit("")).alias("difficulty_label"), F.coalesce(names[code], code).alias("technique"), F.lit(False).alias("is_control"))
+    missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(name) == "", name) for name in FIELDS])), ", ")
+    problem = (
+        F.when(~F.col("domain_group").isin(*DOMAINS), F.concat(F.lit("Question "), "id", F.lit(" is outside a known domain section.")))
+        .when(F.col("difficulty") == "", F.concat(F.lit("Question "), "id", F.lit(" is outside a technique/level section.")))
+        .when(missing != "", F.concat(F.lit("Incomplete question block for "), "id", F.lit(": missing "), missing))
+    )
+    return out.withColumn("problem", F.coalesce(problem, F.lit("")))
+
+
+def sound_bank(questions: DataFrame) -> DataFrame:
+    """The questions of markdown_bank without their problems; fails if there are any, or an id of several questions."""
+    require_empty(questions.filter("problem <> ''").select("problem"), "draft")
+    require_empty(questions.groupBy("id").count().filter("count > 1").select("id"), "repeated question ids")
+    return questions.drop("problem")
 
 
 def incomplete(questions: DataFrame) -> DataFrame:
@@ -163,14 +222,67 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 
 # The columns of the two review exports.
-_REVIEWED = "status error sample_id model model_id model_org model_name model_provider model_reasoning_level model_row response_reasoning_effort run_index question_id technique is_control".split()
 COLLECT_REVIEW = [
-    *_REVIEWED,
-    *"response_latency_ms response_prompt_tokens response_completion_tokens response_total_tokens response_reasoning_tokens response_cached_prompt_tokens response_cache_write_tokens".split(),
-    *"response_cost_usd response_upstream_inference_cost_usd response_upstream_inference_prompt_cost_usd response_upstream_inference_completions_cost_usd response_usage_is_byok".split(),
-    *"response_char_count response_tokens_per_second error_kind error_http_status error_retryable error_retry_after_seconds response_finish_reason warnings response_text".split(),
+    "status",
+    "error",
+    "sample_id",
+    "model",
+    "model_id",
+    "model_org",
+    "model_name",
+    "model_provider",
+    "model_reasoning_level",
+    "model_row",
+    "response_reasoning_effort",
+    "run_index",
+    "question_id",
+    "technique",
+    "is_control",
+    "response_latency_ms",
+    "response_prompt_tokens",
+    "response_completion_tokens",
+    "response_total_tokens",
+    "response_reasoning_tokens",
+    "response_cached_prompt_tokens",
+    "response_cache_write_tokens",
+    "response_cost_usd",
+    "response_upstream_inference_cost_usd",
+    "response_upstream_inference_prompt_cost_usd",
+    "response_upstream_inference_completions_cost_usd",
+    "response_usage_is_byok",
+    "response_char_count",
+    "response_tokens_per_second",
+    "error_kind",
+    "error_http_status",
+    "error_retryable",
+    "error_retry_after_seconds",
+    "response_finish_reason",
+    "warnings",
+    "response_text",
+]
+GRADE_REVIEW = [
+    "status",
+    "error",
+    "sample_id",
+    "model",
+    "model_id",
+    "model_org",
+    "model_name",
+    "model_provider",
+    "model_reasoning_level",
+    "model_row",
+    "response_reasoning_effort",
+    "run_index",
+    "question_id",
+    "technique",
+    "is_control",
+    "judge_model",
+    "judge_provider",
+    "judge_score",
+    "judge_justification",
+    "source_response_error",
+    "response_text",
 ]
-GRADE_REVIEW = [*_REVIEWED, *"judge_model judge_provider judge_score judge_justification source_response_error response_text".split()]
 
 
 def review_columns(df: DataFrame, columns: Sequence[str] = COLLECT_REVIEW) -> DataFrame:
@@ -198,6 +310,13 @@ def write_dataset(tables: dict[str, DataFrame], path: str, dimensions: dict[str,
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def dataset_files(spark: SparkSession, path: str) -> DataFrame:
+    """The data files of a dataset folder (``table``, ``file`` below it, ``bytes``); their contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    below = F.regexp_extract("path", r"/([^/]+/[^/]+)$", 1)
+    return found.select(F.split_part(below, F.lit("/"), F.lit(1)).alias("table"), below.alias("file"), F.col("length").alias("bytes"))
+
+
 def numbered(text: Column) -> Column:
     """Lines of a text as (n, line)."""
     return F.posexplode(F.split(text, "\n", -1))
