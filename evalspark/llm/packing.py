@@ -40,6 +40,14 @@ def of_words(tokenizer: dict) -> bool:
     return "Lowercase" in steps and set(steps) <= {"NFC", "Replace", "Lowercase"} and by_words and ends
 
 
+def core(word: bytes) -> bytes:
+    """``word`` without the marks at its end, where a letter or digit stands before them; otherwise these marks and what
+    stands before them may be one run to the tokenizer, and the word is its own core."""
+    c = word.rstrip(MARKS)
+    last = c[-1:] if c[-1:].isascii() else c.decode("utf-8", "replace")[-1:]
+    return c if last.isalnum() else word
+
+
 class WordIds:
     """Ids of whole texts as little-endian 32-bit bytes, word by word.
 
@@ -66,7 +74,7 @@ class WordIds:
 
     def learn(self, words: list[bytes]) -> None:
         """Remember the ids of ``words``; those of several kinds of characters are encoded one by one."""
-        cores = {w: w.rstrip(MARKS) for w in words}
+        cores = {w: core(w) for w in words}
         letters = list({c for c in cores.values() if c not in self.known and c.isalpha()} | {c for c in cores.values() if c not in self.known and not c.isascii() and c.decode("utf-8", "replace").isalpha()})
         for a in range(0, len(letters), 2048):
             part = letters[a : a + 2048]

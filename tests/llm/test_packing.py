@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -62,3 +63,20 @@ def test_other_tokenizers_encode_whole_texts():
     texts = ["Two  Words, and\tone\n", "", "Ünï 12 don't"]
     assert not words.by_words
     assert words.texts([t.encode() for t in texts]) == [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_ids_do_not_depend_on_what_came_before():
+    whole = Tokenizer.from_file(tokenizer_path())
+    r = random.Random(9)
+    parts = ["foo", "a", "Zoë", "x1", "9", "5€", "²", "é", "日本", '"', "“", "”", "'", "-", "–", "$", "%", "​", "﻿", "…", ")", "(", ",", ".", "!", "?", ";", ":", "́", "_", "*"]
+    word = lambda: "".join(r.choice(parts) for _ in range(r.randrange(1, 6)))
+    vocabulary = [word() for _ in range(4000)]
+    texts = ['he said "foo" to me', 'he said "foo", ok', "a- b", "a-, b", "5€ x", "5€. x", "“foo”", "“foo”,"] + [" ".join(r.choice(vocabulary) for _ in range(r.randrange(1, 8))) for _ in range(20_000)]
+    want = {t: np.asarray(e.ids, "<u4").tobytes() for t, e in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True)}
+    for seed in range(3):
+        ids, order = WordIds(tokenizer_path()), list(want)
+        if seed:
+            random.Random(seed).shuffle(order)
+        for at in range(0, len(order), 700):
+            batch = order[at : at + 700] if seed < 2 else order[at : at + 1]
+            assert ids.texts([t.encode() for t in batch]) == [want[t] for t in batch]
