@@ -20,8 +20,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that never hold article text.
 SKIPPED = frozenset("applet aside audio button canvas datalist dialog footer form head iframe map menu nav noembed noframes noscript object option script select style svg template textarea title video".split())
 #: Words of a class, id or role that speak for page furniture, and words that may stand beside them in one name.
-FURNITURE = frozenset("ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent copyright disqus footer masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
-BESIDE = frozenset("area articles bar block bottom box button buttons container first form global google header icon icons inner item items last left link links list main outer page panel post posts primary right secondary section site stories top user wrap wrapper".split())
+FURNITURE = frozenset("ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+BESIDE = frozenset("area articles bar block body bottom box button buttons container first form global google header icon icons info inner item items last law left link links list main outer overlay page panel post posts primary right secondary section site slot stories top user wrap wrapper".split())
 #: What a name may say of an element that holds the whole page: it is then no furniture.
 PAGE = frozenset("html body main".split())
 #: Blocks that are parts of a text, not containers of one.
@@ -36,8 +36,9 @@ THRESHOLD = 0.5
 #: Share of the fullest level's content from which an outer level of marked elements is the page's. What a character
 #: counts there in an article or main element, and in an element with a furniture name.
 HOME, ARTICLE, NAMED = 0.25, 4.0, 0.1
-#: Characters fed to the parser at a time.
-CHUNK = 1 << 16
+#: Share of the fullest article's text from which another article of the page is one of its texts.
+FELLOW = 0.25
+_HIDING = re.compile(r"(?i)(^|;)\s*(display\s*:\s*none|visibility\s*:\s*hidden)")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -106,7 +107,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         names = frozenset(x for k, v in attrs if k in ("class", "id", "role") and v for x in v.split() if furniture_name(x))
-        hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
+        hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and _HIDING.search(v)) for k, v in attrs)
         up, element = self.stack[-1], len(self.parent)
         skipped = self.skipped[up] or tag in SKIPPED or hidden or (tag == "header" and not self.article[up])
         article = tag in ("article", "main") and not skipped
@@ -136,7 +137,11 @@ class Lines(HTMLParser):
             self.cut(at)
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        """Text counts to the block that it stands in, unless an element inside that block is skipped, hidden or named
+        as furniture."""
+        e, block = self.stack[-1], self.stack[self.blocks[-1]]
+        if e == block or (self.skipped[e] == self.skipped[block] and self.marked[e] == self.marked[block]):
+            self.text.append(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -182,22 +187,32 @@ def furniture(page: Lines, content: np.ndarray) -> list[bool]:
     return bad
 
 
+def parsed(html: str) -> Lines:
+    """The lines of a page, read at once, so that what is never closed is looked for once. A comment or tag without an end
+    takes the rest of the page with it, as in browsers."""
+    page, begin = Lines(), html.find("<!--", html.rfind("-->") + 1)
+    if begin >= 0 and html.rfind("<script", 0, begin) <= html.rfind("</script", 0, begin):
+        html = html[:begin]
+    page.feed(html)
+    if re.match("<[A-Za-z/!?]", page.rawdata) and page.cdata_elem is None:
+        page.rawdata = ""
+    page.close()
+    page.flush()
+    return page
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the page's main region, joined by two newlines; empty if there is none.
 
     A line's ratio is its characters over its tags (furniture has ratio 0). Lines whose smoothed ratio reaches a
-    threshold over the page form the content cluster; the region is the innermost container (an open article or main
-    element if there is one) that holds nearly all of that cluster's text, and all its lines that are no furniture are
-    kept, short ones too. Only where that is the whole page, lines outside the cluster's first and last line are left
+    threshold over the page form the content cluster; the region is the innermost container that holds nearly all of that
+    cluster's text, or, where a page has them, its outermost articles and main elements that hold text (of several the
+    fullest and those not much shorter). All lines of the region that are no furniture are kept, short ones too. Only where that is the whole page, lines outside the cluster's first and last line are left
     out. A furniture name marks no element that holds the content (see furniture).
     """
     if not html:
         return ""
-    page = Lines()
-    for at in range(0, len(html), CHUNK):
-        page.feed(html[at : at + CHUNK])
-    page.close()
-    page.flush()
+    page = parsed(html)
     lines, parent = page.lines, page.parent
     free = np.array([not page.skipped[e] for _, _, e in lines], bool)
     if not free.any():
@@ -207,19 +222,24 @@ def main_text(html: str | None) -> str:
         bad = furniture(page, content)
         free &= np.array([not bad[e] for _, _, e in lines], bool)
         content = cluster(lines, free)
-    held = [0] * len(parent)
-    for i in np.flatnonzero(content):
-        held[lines[i][2]] += len(lines[i][0])
+    held, whole = [0] * len(parent), [0] * len(parent)
+    for i in np.flatnonzero(free):
+        whole[lines[i][2]] += len(lines[i][0])
+        held[lines[i][2]] += len(lines[i][0]) if content[i] else 0
     for e in range(len(held) - 1, 0, -1):
         held[parent[e]] += held[e]
-    region = max(page.articles, key=lambda e: (held[e], e), default=0)
-    if not region or held[region] < 0.5 * held[0]:
-        region = max(e for e in range(len(held)) if page.region[e] and held[e] >= 0.8 * held[0])
-    inside = [region == 0] * len(parent)
+        whole[parent[e]] += whole[e]
+    articles = [e for e in page.articles if whole[e] and not page.article[parent[e]]]
+    regions = {e for e in articles if whole[e] >= FELLOW * max(whole[x] for x in articles)}
+    for e in [e for e in regions if page.tag[e] == "main"]:  # an article that holds nearly all of a main element is the text
+        inner = [x for x in page.articles if whole[x] >= 0.8 * whole[e] and x > e]
+        regions = regions - {e} | {max(inner, default=e)}
+    regions = regions or {max(e for e in range(len(held)) if page.region[e] and held[e] >= 0.8 * held[0])}
+    inside = [0 in regions] * len(parent)
     for e in range(1, len(inside)):
-        inside[e] = e == region or inside[parent[e]]
+        inside[e] = e in regions or inside[parent[e]]
     keep = [i for i in range(len(lines)) if free[i] and inside[lines[i][2]]]
-    if region in page.pages:
+    if regions & page.pages:
         first, last = np.flatnonzero(content)[[0, -1]]
         keep = [i for i in keep if first <= i <= last]
     return "\n\n".join(lines[i][0] for i in keep)

@@ -91,3 +91,37 @@ def test_hard_pages_and_empty_table(spark):
     assert got[:5] == [(1, ""), (2, ""), (3, ""), (4, "no tags at all"), (5, "deep")]
     assert got[5][1].count("word") == 30_000 and got[6][1] == ""
     assert extract_pages(df.limit(0)).count() == 0
+
+
+LONG = "text and more " * 30
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><p>Some text here <script>var a = 1;</script> goes on.</p></article>", "Some text here goes on."),
+        (f"<article><p>{LONG}</p><script>var a = 1;</script><p>{LONG}</p></article>", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        *[(f"<article><p>{LONG}{x}</p></article>", LONG.strip()) for x in ("<style>p{color:red}</style>", "<button>Go</button>", "<select><option>x</option></select>", "<textarea>t</textarea>", "<noscript>n</noscript>", "<iframe>f</iframe>", "<svg><text>s</text></svg>", "<span hidden>H</span>", "<span class='ad'>BUY</span>", "<b style='color:red; display : none'>no</b>")],
+        *[(f"<main><p>{LONG}</p><div class='{x}'><p>read this as well</p></div></main>", LONG.strip()) for x in ("comment-body", "ad-slot", "cookie-law-info", "gdpr-overlay")],
+        (f"<article><p>{LONG}</p></article><article><p>{LONG}</p></article>", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        (f"<div class='left-col'><p>{LONG}</p></div><article><p>Short news.</p></article>", "Short news."),
+        (f"<article><p>{LONG}</p></article><!-- {LONG}", LONG.strip()),
+        (f'<article><p>{LONG}</p></article><a href="{LONG}', LONG.strip()),
+        (f"<article><p>{LONG}</p></article><script>{LONG}", LONG.strip()),
+        (f"<article><p>{LONG}</p><script>a = '<!--';</script><p>{LONG}</p></article>", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        ("<article><p>a &lt; b <c</p></article>", "a < b"),
+    ],
+)
+def test_nothing_skipped_speaks_and_no_article_is_lost(html, text):
+    assert main_text(html) == text
+
+
+@pytest.mark.parametrize("begin", ["<!-- ", '<a href="', "<div ", "<script>", "<p>", "&", "<![CDATA["])
+def test_what_is_never_closed_costs_its_length(begin):
+    def seconds(n):
+        start = time.perf_counter()
+        main_text(f"<article><p>{LONG}</p></article>{begin}" + "x y " * n)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(400_000) < 12 * max(0.05, seconds(100_000))
