@@ -116,7 +116,8 @@ def block_sums(rows: DataFrame, least: float, bits: int, bands: int, kind: str)
         query = (unit @ rotations(dims, 1)[0]).astype(np.float32)
         code = (2 * np.unpackbits(x["signs"], axis=1, count=dims).astype(np.float32) - 1) / np.float32(math.sqrt(dims)) / x["factor"].astype(np.float32)[:, None]
         floor = least - widths(x["factor"], dims, least).astype(np.float32)
-        keys, norm = keys_of(x["signs"], bits, bands), np.linalg.norm(x["vector"], axis=1)
+        vector = x["vector"] / np.abs(x["vector"]).max(1, keepdims=True)  # squares of any finite components stay finite
+        keys, norm = keys_of(x["signs"], bits, bands), np.linalg.norm(vector, axis=1)
         around, label = np.zeros(n, np.int64), np.arange(n)
 
         def settle(i: np.ndarray, j: np.ndarray) -> None:
@@ -128,7 +129,7 @@ def block_sums(rows: DataFrame, least: float, bits: int, bands: int, kind: str)
                 a, b = a[ok], b[ok]
                 new = ((keys[a] == keys[b]) & (np.arange(bands) < x["band"][a][:, None])).sum(1) == 0
                 a, b = a[new], b[new]
-                near = np.einsum("nd,nd->n", x["vector"][a], x["vector"][b]) / (norm[a] * norm[b]) >= least
+                near = np.einsum("nd,nd->n", vector[a], vector[b]) / (norm[a] * norm[b]) >= least
                 a, b = a[near], b[near]
                 around += np.bincount(a, x["rows"][b], n).astype(np.int64) + np.bincount(b, x["rows"][a], n).astype(np.int64)
                 label = joined(label, a, b)

@@ -88,3 +88,13 @@ def test_classes_of_a_block():
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+@pytest.mark.parametrize("scale", [1e200, 1e-170, 1e-200, 1e300])
+def test_vectors_of_extreme_magnitude(spark, scale):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(6, 16))
+    rows = [(i, (v * s).tolist(), 0) for i, (v, s) in enumerate((v, s) for v in x for s in (1.0, scale, -scale))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(x) for x in vector_links(df).select("id", "n_links", "component_id", "kept").collect())
+    assert got == sorted((i, 0 if i % 3 == 2 else 1, i if i % 3 == 2 else i - i % 3, i % 3 != 1) for i in range(18))
