@@ -40,12 +40,10 @@ def of_words(tokenizer: dict) -> bool:
     return "Lowercase" in steps and set(steps) <= {"NFC", "Replace", "Lowercase"} and by_words and ends
 
 
-def core(word: bytes) -> bytes:
-    """``word`` without the marks at its end, where a letter or digit stands before them; otherwise these marks and what
-    stands before them may be one run to the tokenizer, and the word is its own core."""
-    c = word.rstrip(MARKS)
-    last = c[-1:] if c[-1:].isascii() else c.decode("utf-8", "replace")[-1:]
-    return c if last.isalnum() else word
+def ends_in_letter(core: bytes) -> bool:
+    """Whether a letter or digit ends what stands before a word's marks; otherwise these and the marks may be one run to
+    the tokenizer."""
+    return core[-1:].isalnum() or (core[-1:] > b"\x7f" and core.decode("utf-8", "replace")[-1].isalnum())
 
 
 class WordIds:
@@ -73,22 +71,39 @@ class WordIds:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
-        """Remember the ids of ``words``; those of several kinds of characters are encoded one by one."""
-        cores = {w: core(w) for w in words}
-        letters = list({c for c in cores.values() if c not in self.known and c.isalpha()} | {c for c in cores.values() if c not in self.known and not c.isascii() and c.decode("utf-8", "replace").isalpha()})
-        for a in range(0, len(letters), 2048):
-            part = letters[a : a + 2048]
-            ids = np.asarray(self.tokenizer.encode(b" ".join(part).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+        """Remember the ids of ``words``. Those of letters are encoded many at a time, with or without the marks at their
+        end; the others one by one, with their marks."""
+        known = self.known
+        letters, marked, rest = {}, [], []
+        for w in words:
+            c = w.rstrip(MARKS)
+            if len(c) < len(w):
+                if not ends_in_letter(c):
+                    rest.append(w)
+                    continue
+                marked.append((w, c))
+            if c not in known and c not in letters:
+                if c.isalpha() or (not c.isascii() and c.decode("utf-8", "replace").isalpha()):
+                    letters[c] = len(c) == len(w)
+                elif len(c) == len(w):
+                    rest.append(w)
+            elif len(c) == len(w) and c in letters:
+                letters[c] = True
+        every = list(letters)
+        for a in range(0, len(every), 2048):
+            part = every[a : a + 2048]
+            ids = np.frombuffer(self.encode([b" ".join(part).decode("utf-8", "replace")])[0], "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
-                raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.known.update((w, raw[i:j]) for w, i, j in zip(part, at[:-1], at[1:], strict=True))
-        get = self.known.get
-        rest = [w for w, c in cores.items() if w not in self.known and (c == w or c not in self.known)]
-        marks = list({w[len(c) :] for w, c in cores.items() if c != w and c in self.known} - self.known.keys())
+                raw, at = ids.tobytes(), (4 * cuts).tolist()
+                known.update((w, raw[i:j]) for w, i, j in zip(part, [0, *at], at))
+            else:
+                rest.extend(w for w in part if letters[w])
+        rest.extend(w for w, c in marked if c not in known)
+        marks = list({w[len(c) :] for w, c in marked if c in known} - known.keys())
         single = [*rest, *marks]
-        self.known.update(zip(single, self.encode([w.decode("utf-8", "replace") for w in single]), strict=True))
-        self.known.update((w, get(c) + get(w[len(c) :])) for w, c in cores.items() if w not in self.known)
+        known.update(zip(single, self.encode([w.decode("utf-8", "replace") for w in single]), strict=True))
+        known.update((w, known[c] + known[w[len(c) :]]) for w, c in marked if w not in known)
 
     def texts(self, raw: list[bytes]) -> list[bytes]:
         if not self.by_words:
