@@ -337,6 +337,7 @@ SQL["pairwise_summary"] = f"{PAIRS} select (select count(distinct question_id) f
 
 SQL["jsonl_lenient"] = "select doc_id, lang, md5(text) as text_md5 from documents where doc_id % 7 <> 3"
 SQL["salvage_json"] = "select 0::bigint as place, doc_id, null as lang, md5(text) as text_md5 from documents union all select 1, doc_id, lang, null from documents"
+SQL["salvage_files"] = "select doc_id, null as lang, md5(text) as text_md5 from documents union all select doc_id, lang, null from documents"
 SQL["markdown_bank"] = f"""with d as (select doc_id, regexp_replace(coalesce(text, ''), '[*#:"'']', '', 'g') as f, translate(doc_id::varchar, '0123456789', 'abcdefghij') as name, ['pnf', 'mm', 'L2', 'zz'][doc_id // 5 % 4 + 1] as code from documents),
     x as (select *, name || '_' || code || '_' || lpad((doc_id % 100)::varchar, 2, '0') as id, list_filter(list_transform(string_split('"x' || f || 'y"', chr(10)), lambda l: {_STRIP.format("l")}), lambda l: l <> '') as ls from d)
     select id, md5(case when contains(f, chr(10)) then array_to_string(ls, ' ') else {_STRIP.format("'x' || f || 'y'")} end) as question_md5, 'w continued ' || name as nonsensical_element, case when doc_id % 17 = 3 then '' else (doc_id % 5)::varchar end as domain,

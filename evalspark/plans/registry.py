@@ -12,7 +12,7 @@ from evalspark.functions.exact import ratio
 from evalspark.functions.text import url_domain
 from evalspark.operators import expand, inference, integrity, leaderboard, metadata, pairwise, panel, publish, reliability, report, timeline, usage
 from evalspark.scratch import scratch_dir, stored
-from evalspark.sources import files
+from evalspark.sources import damaged, files
 from evalspark.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,12 +497,22 @@ def salvage_json(spark, sf_dir):
     """Two objects on one damaged line, raw line ends in strings, junk around them."""
     d = v.read(spark, sf_dir, "documents")
     body = F.replace(F.to_json(F.struct("doc_id", "text")), F.lit("\\n"), F.lit("\n"))
-    damaged = F.concat(F.lit("junk } "), body, F.lit(", "), F.to_json(F.struct("doc_id", "lang")), F.lit(" tail {"))
-    found = files.salvaged(d.select("doc_id", damaged.alias("value")), "value", ["doc_id"])
+    broken = F.concat(F.lit("junk } "), body, F.lit(", "), F.to_json(F.struct("doc_id", "lang")), F.lit(" tail {"))
+    found = files.salvaged(d.select("doc_id", broken.alias("value")), "value", ["doc_id"])
     x = F.from_json("json", "doc_id long, text string, lang string")
     return found.select("place", x.alias("x")).select("place", "x.doc_id", "x.lang", F.md5(F.col("x.text").cast("binary")).alias("text_md5"))
 
 
+@query
+def salvage_files(spark, sf_dir):
+    """Files of damaged texts, each with two objects, scanned split by split."""
+    path, d = scratch_dir(spark), v.read(spark, sf_dir, "documents")
+    body = F.replace(F.to_json(F.struct("doc_id", "text")), F.lit("\\n"), F.lit("\n"))
+    d.select(F.concat(F.lit('junk } " '), body, F.lit(", "), F.to_json(F.struct("doc_id", "lang")), F.lit(' tail }"')).alias("value")).write.text(path)
+    x = F.from_json("json", "doc_id long, text string, lang string")
+    return damaged.salvage_files(spark, path).select(x.alias("x")).select("x.doc_id", "x.lang", F.md5(F.col("x.text").cast("binary")).alias("text_md5"))
+
+
 @query
 def markdown_bank(spark, sf_dir):
     """Drafts of ten questions a file made of the documents' whole texts; headings stand before some questions only."""

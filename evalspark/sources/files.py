@@ -58,6 +58,7 @@ def objects_in(text: str) -> list[str]:
             continue
         if quoted and ch in "\n\r\t":
             part.append({"\n": "\\n", "\r": "\\r", "\t": "\\t"}[ch])
+            skip = False
             continue
         part.append(ch)
         if skip:
@@ -89,10 +90,6 @@ def salvaged(texts: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     return texts.select(*keys, text).mapInPandas(run, T.StructType([*fields, T.StructField("place", T.LongType()), T.StructField("json", T.StringType())]))
 
 
-def salvage_files(spark: SparkSession, path: str) -> DataFrame:
-    return salvaged(spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path")), "value", ["file"])
-
-
 QUESTION = "struct<id:string,question:string,nonsensical_element:string,domain:string,domain_group:string,difficulty:string,technique:string,is_control:boolean>"
 BANK = f"techniques array<struct<technique:string,description:string,questions:array<{QUESTION}>>>"
 
