@@ -100,7 +100,7 @@ class WordIds:
             else:
                 rest.extend(w for w in part if letters[w])
         rest.extend(w for w, c in marked if c not in known)
-        marks = list({w[len(c) :] for w, c in marked if c in known} - known.keys())
+        marks = list({w[len(c) :] for w, c in marked if c in known}.difference(known))
         single = [*rest, *marks]
         known.update(zip(single, self.encode([w.decode("utf-8", "replace") for w in single]), strict=True))
         known.update((w, known[c] + known[w[len(c) :]]) for w, c in marked if w not in known)
@@ -110,7 +110,7 @@ class WordIds:
             return self.encode([t.decode("utf-8", "replace") for t in raw])
         words = [None if b"<|" in t else t.lower().split() for t in raw]
         every = set().union(*(ws for ws in words if ws))
-        unknown = every - self.known.keys()
+        unknown = every.difference(self.known)  # looks up what is in `every`; its keys would be walked as a whole
         if len(self.known) + len(unknown) > REMEMBERED:
             self.older, self.known = self.known, {}
             unknown = every
