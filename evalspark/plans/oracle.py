@@ -349,6 +349,11 @@ SQL["stream_progress"] = f"""with {EVENTS}, d as (select date_trunc('minute', ts
     w as (select date_trunc('millisecond', max(ts)) - interval 1 hour as w from e where event = 'task_complete')
     select strftime(s, '%Y-%m-%d %H:%M:%S') as start, model, status, count(*) as n, case when s + interval 1 minute <= w then 'closed' else 'open' end as state from d, w group by all"""
 SQL["stream_requeues"] = SQL["requeue_stats"]
+SQL["stream_due_again"] = f"""with {EVENTS}, w as (select epoch_ms(max(ts)) as w from e where event in ('task_rate_limit_requeue', 'task_complete')),
+    q as (select sample_id, model, max(ts) as ts, max_by(epoch_us(ts) + (coalesce(cooldown, 0) * 1000000)::bigint, (ts, cooldown)) as retry from e where event = 'task_rate_limit_requeue' group by all),
+    d as (select sample_id, model, max(ts) as done from e where event = 'task_complete' group by all)
+    select sample_id, model, strftime(make_timestamp(retry), {_TIME}) as retry_at, case when done >= ts then 'done' when ceil(retry / 1000.0) > w then 'waiting' else 'due' end as state
+    from q left join d using (sample_id, model), w"""
 SQL["stream_first_seen"] = f"""with {EVENTS}, n as (select model || '/' || day(ts) as name, ts from e union all select model || '/' || day(ts), ts - interval 2 days from e where status = 'error'),
     w as (select date_trunc('millisecond', max(ts)) as w from e)
     select name, strftime(min(ts), {_TIME}) as first_seen, min(ts) + interval 7 days > any_value(w) as recent from n, w group by name"""

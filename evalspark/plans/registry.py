@@ -554,6 +554,12 @@ def stream_requeues(spark, sf_dir):
     return streams.latest(streams.requeues(_stream(spark, sf_dir)), ("model",)).withColumn("max_cooldown", F.col("max_cooldown").cast("double"))
 
 
+@query
+def stream_due_again(spark, sf_dir):
+    """Samples sent back by a rate limit: still cooling down, due again, or done since."""
+    return streams.due_again(_stream(spark, sf_dir), scratch_dir(spark)).withColumn("retry_at", time_text("retry_at"))
+
+
 @query
 def stream_first_seen(spark, sf_dir):
     """When models were first seen on each day of the month, and whether that is in the last week; the saved map has

@@ -202,6 +202,96 @@ def first_seen(events: DataFrame, folder: str, saved: DataFrame | None = None, d
     return last.select("name", F.timestamp_micros("r.first").alias("first_seen"), "r.recent")
 
 
+def retry_at(ts: Column, cooldown: Column) -> Column:
+    """When a requeued sample may be asked again, in microseconds: ``cooldown`` seconds after its requeue."""
+    return F.unix_micros(ts.cast("timestamp")) + (F.coalesce(cooldown, F.lit(0)).cast("decimal(18,6)") * 1000000).cast("long")
+
+
+class _DueAgain(StatefulProcessor):
+    """Per sample its newest requeue (microseconds), the time at which that lets it go on, its newest completion, and the
+    timer that is set."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "queued long, retry long, done long, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        reached = timerValues.getCurrentWatermarkInMs()
+        queued, retry, done, timer = self.known.get() if self.known.exists() else (-1, -1, -1, -1)
+        fresh = queued < 0 and done < 0
+        for x in rows:
+            for kind, ts, again in zip(x["kind"].tolist(), x["ts"].tolist(), x["retry"].tolist(), strict=True):
+                if fresh and 0 < reached and ts // 1000 <= reached:
+                    continue  # what a forgotten sample did before the watermark
+                if kind:
+                    done = max(done, ts)
+                else:
+                    queued, retry = max((queued, retry), (ts, again))
+        if queued < 0 and done < 0:
+            return
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        finished = done >= queued
+        timer = -(-(done if finished else retry) // 1000)
+        passed = timer <= reached
+        if finished and passed:
+            self.known.clear()
+        else:
+            if not passed:
+                self.handle.registerTimer(timer)
+            self.known.update((queued, retry, done, -1 if passed else timer))
+        if queued >= 0:
+            yield self._row(key, retry, "done" if finished else "due" if passed else "waiting", 0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        queued, retry, done, _ = self.known.get()
+        if done >= queued:
+            self.known.clear()
+        else:
+            self.known.update((queued, retry, done, -1))
+            yield self._row(key, retry, "due", 1)
+
+    def _row(self, key, retry: int, state: str, step: int) -> pd.DataFrame:
+        return pd.DataFrame({"sample_id": [key[0]], "model": [key[1]], "retry": [retry], "state": [state], "step": [step]})
+
+    def close(self) -> None:
+        pass
+
+
+def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The newest requeue and completion per sample of each batch."""
+    by = ["sample_id", "model", "kind"]
+    for b in batches:
+        t = pa.Table.from_batches([b]).sort_by([("ts", "ascending"), ("retry", "ascending")])
+        last = t.group_by(by, use_threads=False).aggregate([("ts", "last"), ("retry", "last")]).rename_columns([*by, "ts", "retry"])
+        yield from last.cast(b.schema).to_batches()
+
+
+def due_again(events: DataFrame, folder: str, late: int = 0) -> DataFrame:
+    """Samples that a rate limit sent back (``sample_id``, ``model``, ``retry_at``, ``state``), over all runs with
+    ``folder``: ``waiting`` until the watermark (``late`` seconds behind the newest requeue or completion) reaches the time of
+    their newest requeue's retry, ``due`` from then on, ``done`` once they complete at or after that requeue.
+
+    Of a sample's events the newest requeue (of equal ones that with the longest cooldown) and the newest completion
+    count, in whatever order they come. A sample that is done is forgotten when the watermark has passed its completion;
+    events from before the watermark do not bring it back. So the state is the samples that are still owed, and those
+    that moved within ``late``. Rows without sample or time are left out, a missing cooldown is none.
+    """
+    kind = F.when(F.col("event") == "task_rate_limit_requeue", 0).when(F.col("event") == "task_complete", 1)
+    moves = events.withColumn("kind", kind).filter("sample_id is not null and ts is not null and kind is not null")
+    moves = moves.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{late} seconds")
+    moves = moves.select("sample_id", "model", "kind", F.unix_micros("ts").alias("ts"), retry_at(F.col("ts"), F.col("cooldown")).alias("retry"))
+    ids = f"sample_id {events.schema['sample_id'].dataType.simpleString()}, model string"
+    made = f"{ids}, retry long, state string, step int"
+    states = moves.mapInArrow(_newest, f"{ids}, kind int, ts long, retry long").groupBy("sample_id", "model").transformWithStateInPandas(
+        statefulProcessor=_DueAgain(), outputStructType=made, outputMode="Update", timeMode="EventTime",
+    )
+    _drain(states, "update", folder, lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{folder}/rows/b={i}"))
+    rows = events.sparkSession.read.schema(f"{made}, batch int").parquet(f"{folder}/rows/*")
+    last = rows.groupBy("sample_id", "model").agg(F.max_by(F.struct("retry", "state"), F.struct("batch", "step")).alias("r"))
+    return last.select("sample_id", "model", F.timestamp_micros("r.retry").alias("retry_at"), "r.state")
+
+
 def published(stream: DataFrame, key: str, order: Sequence[str], existing: DataFrame, folder: str | None = None, buckets: int = 16, compact_every: int = 16) -> DataFrame:
     """The dataset ``existing`` with all batches of ``stream`` merged in by key (see KeyedLog); a batch writes its own
     rows, however large the dataset is. With the folder of an earlier run the stream goes on where that one ended, and

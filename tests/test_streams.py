@@ -1,6 +1,7 @@
 import json
 import os
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from evalspark.operators.keyed_log import KeyedLog
@@ -171,3 +172,27 @@ def test_a_batch_writes_its_own_rows_and_compaction_its_buckets(spark, tmp_path)
     log.compact(1)
     assert same() and log.vacuum() and same()
     assert log.vacuum() == []
+
+
+def test_samples_come_due_when_their_cooldown_is_over(spark, tmp_path):
+    path, folder = str(tmp_path / "log"), str(tmp_path / "state")
+    schema = "sample_id string, model string, event string, ts timestamp, cooldown double"
+
+    def run(rows):
+        at = lambda s: datetime(2024, 1, 1, 12, 0, 0) + timedelta(seconds=s)
+        names = {"q": "task_rate_limit_requeue", "c": "task_complete", "s": "start"}
+        spark.createDataFrame([(k, "m", names[e], None if t is None else at(t), c) for k, e, t, c in rows], schema).coalesce(1).write.mode("append").parquet(path)
+        live = spark.readStream.schema(schema).parquet(path)
+        out = streams.due_again(live, folder)
+        assert out.filter("retry_at is null").isEmpty()
+        return {r.sample_id: (r.state, (r.retry_at - at(0)).total_seconds()) for r in out.collect()}
+
+    got = run([("a", "q", 0, 5.0), ("b", "q", 0, 60.0), ("c", "q", 1, 5.0), ("c", "c", 7, None), ("d", "q", 2, 1.5), ("d", "q", 2, 90.25), ("e", "c", 3, None), ("f", "s", 900, None), (None, "q", 1, 1.0), ("g", "q", None, 1.0), ("h", "q", 4, None), ("t", "q", 5, 9.0), ("t", "c", 5, None), ("z", "q", 10, 100.0)])
+    assert got == {"a": ("due", 5), "b": ("waiting", 60), "c": ("done", 6), "d": ("waiting", 92.25), "h": ("due", 4), "t": ("done", 14), "z": ("waiting", 110)}
+    # a is done by an event from before the watermark, c and e are forgotten, b's newest requeue counts, whatever the order
+    got = run([("a", "c", 9, None), ("c", "q", 8, 1.0), ("e", "q", 2, 1.0), ("b", "q", 30, 50.0), ("b", "q", 20, 500.0), ("z", "c", 70, None)])
+    assert got == {"a": ("done", 5), "b": ("waiting", 80), "c": ("done", 6), "d": ("waiting", 92.25), "h": ("due", 4), "t": ("done", 14), "z": ("done", 110)}
+    got = run([("d", "c", 200, None), ("n", "q", 200, 0.0)])
+    assert got["b"] == ("due", 80) and got["d"] == ("done", 92.25) and got["n"] == ("due", 200)
+    state = spark.read.format("statestore").option("stateVarName", "known").load(f"{folder}/checkpoint")
+    assert {s.key.sample_id for s in state.select("key").collect()} == {"b", "h", "n"}
