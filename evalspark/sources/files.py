@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from evalspark.functions.text import strip, unquoted
 from evalspark.operators.integrity import require_empty
+from evalspark.operators.order import numbered as placed_rows
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -104,11 +105,16 @@ def flat_questions(bank: DataFrame, techniques: Sequence[str] = (), limit: int |
     return q if limit is None else q.orderBy("p1", "p2").limit(limit)
 
 
-def nested_bank(rows: DataFrame) -> DataFrame:
-    """Questions grouped by technique in one row each: an ordered array and its size."""
+def nested_bank(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """Questions nested by technique: ``technique``, ``part``, an ordered array of ``questions`` and its size
+    (``question_count``). A row holds ``most`` questions at most: a larger technique goes on in further rows, whose
+    ``part`` rises. The order is that of the columns beside the technique; questions that repeat are all kept."""
     rest = [c for c in rows.columns if c != "technique"]
-    g = rows.groupBy("technique").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("questions"))
-    return g.withColumn("question_count", F.size("questions"))
+    placed = placed_rows(rows, [F.col("technique"), *[F.col(f"`{c}`") for c in rest]], "__place")
+    part = F.floor((F.col("__place") - 1) / most).cast("long").alias("part")
+    one = F.struct("__place", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("q"))
+    g = placed.groupBy("technique", part).agg(F.array_sort(F.collect_list(one)).alias("qs"))
+    return g.select("technique", "part", F.transform("qs", lambda x: x["q"]).alias("questions"), F.size("qs").alias("question_count"))
 
 
 def question_counts(rows: DataFrame) -> DataFrame:

@@ -274,4 +274,10 @@ def test_question_bank(spark):
     flat = files.flat_questions(bank)
     assert {(r.kind, r.name): r.n for r in files.question_counts(flat).collect()}[("all", "")] == 3
     assert {r.technique: r.question_count for r in files.nested_bank(flat).collect()} == {"t1": 2, "t2": 1}
+    many = spark.range(95).select(F.when(F.col("id") < 70, "big").when(F.col("id") < 90, "small").alias("technique"), F.format_string("q%03d", "id").alias("id"))
+    parts = files.nested_bank(many.unionByName(many.filter("id = 'q007'")), 20).orderBy("technique", "part").collect()
+    assert max(r.question_count for r in parts) <= 20 and all(r.question_count == len(r.questions) for r in parts)
+    ids = lambda t: [q.id for r in parts if r.technique == t for q in r.questions]
+    assert ids("big") == sorted([f"q{i:03d}" for i in range(70)] + ["q007"]) and len(ids("small")) == 20 and len(ids(None)) == 5
+    assert files.nested_bank(many.limit(0)).count() == 0
     assert files.incomplete(flat).count() == 0
