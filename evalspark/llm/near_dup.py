@@ -355,7 +355,8 @@ def common_shingles(texts: DataFrame, most: int = COMMON) -> list[tuple[int, int
 
 
 def prefixes(texts: DataFrame, common: list[tuple[int, int]], least: float) -> DataFrame:
-    """The shingles of each text's prefix: ``node``, ``label``, ``token``.
+    """The shingles of each text's prefix: ``node``, ``label``, ``token``, ``n`` (shingles of the text) and ``at`` (the
+    shingle's place in the order).
 
     All texts order their shingles alike: first those not in ``common``, then by rising count. Two texts with likeness
     of at least ``least`` share a shingle among their first n - ceil(least * n) + 1, whatever that order is; this one
@@ -375,11 +376,23 @@ def prefixes(texts: DataFrame, common: list[tuple[int, int]], least: float) -> D
                 text = np.repeat(np.arange(b - a), n)
                 order = np.lexsort((h, rank, text))
                 length = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
-                chosen = order[np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(length, n)]
+                place = np.arange(len(h)) - np.repeat(at[:-1], n)
+                first = place < np.repeat(length, n)
+                chosen = order[first]
                 take = pa.array(text[chosen] + a)
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(take), batch.column("label").take(take), pa.array(h[chosen])], names=["node", "label", "token"])
+                columns = [batch.column("node").take(take), batch.column("label").take(take), *map(pa.array, (h[chosen], n[text[chosen]], place[first]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "token", "n", "at"])
 
-    return texts.select("node", "label", "text").mapInArrow(run, "node long, label long, token long")
+    return texts.select("node", "label", "text").mapInArrow(run, "node long, label long, token long, n long, at long")
+
+
+def may_reach(least: float) -> Column:
+    """Whether two texts (``na``, ``nb`` shingles) that share the shingles at ``ata`` and ``atb`` of their orders, and
+    none before them, can have enough in common: what they share lies at these places or behind them. Two texts whose
+    likeness reaches ``least`` pass at the first shingle they share, though perhaps not at later ones. If that one's
+    group is large, its blocks compare them."""
+    behind = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    return behind >= (F.col("na") + F.col("nb")) * F.lit(least / (1 + least)) - F.lit(1e-6)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -463,8 +476,8 @@ def classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFr
     m = tokens.count()
     mixed = stored(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("token", "size"), "mixed", m)
     sides = stored(tokens.join(mixed, "token"), "sides", m)
-    side = lambda s: sides.filter(F.col("size") <= PAIRED).select("token", F.col("node").alias(s), F.col("label").alias(f"l{s}"))
-    rest = side("a").join(side("b"), "token").filter("a < b and la <> lb").select("a", "b").distinct()
+    side = lambda s: sides.filter(F.col("size") <= PAIRED).select("token", *[F.col(c).alias(x) for c, x in (("node", s), ("label", f"l{s}"), ("n", f"n{s}"), ("at", f"at{s}"))])
+    rest = side("a").join(side("b"), "token").filter(F.expr("a < b and la <> lb") & may_reach(least)).select("a", "b").distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(few(verified(_likely(rest.join(tried, ["a", "b"], "left_anti"), nodes, least), texts, least)), "links")
     large = sides.filter(F.col("size") > PAIRED).select("token", "node").join(open_, "node")

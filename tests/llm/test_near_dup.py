@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from evalspark.llm.near_dup import Sketcher, aligned_likeness, banded_common, keep_one, near_duplicates
+from evalspark.llm.near_dup import Sketcher, aligned_likeness, banded_common, keep_one, may_reach, near_duplicates
 from evalspark.llm.queries import op8_order_minhash_near_dup
 
 
@@ -63,6 +63,21 @@ def test_classes_equal_brute_force(spark):
     assert got == {d: root(d) for d in of}
 
 
+def test_places_rule_out_no_pair(spark):
+    r = random.Random(3)
+    rows, alike = [], 0
+    for _ in range(3000):
+        one = set(r.sample(range(400), r.randrange(1, 120)))
+        two = {x for x in one if r.random() > 0.08} | set(r.sample(range(400), r.randrange(9)))
+        if one & two:
+            x, y, first = sorted(one), sorted(two), min(one & two)
+            rows.append((len(x), len(y), x.index(first), y.index(first), len(one & two) >= 0.8 * len(one | two)))
+            alike += rows[-1][-1]
+    pairs = spark.createDataFrame(rows, "na long, nb long, ata long, atb long, alike boolean").withColumn("may", may_reach(0.8))
+    assert alike > 500 and pairs.filter("alike and not may").count() == 0
+    assert pairs.filter("not may").count() > 100
+
+
 def test_a_large_group_of_near_copies_and_order(spark):
     r = random.Random(5)
     base = [f"w{r.randrange(10**6)}" for _ in range(300)]
