@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -31,52 +32,135 @@ def stepped(depth: int, mode: int, mark: str, adjacent: bool, ground: bool) -> t
     return depth + {"{": 1, "}": -1}.get(mark, 0), QUOTED if mark == '"' else PLAIN
 
 
+class Group:
+    """Scans that are in one state and so go on as one. A group that has joined another names it in ``to``."""
+
+    __slots__ = ("to",)
+
+    def __init__(self) -> None:
+        self.to: Group | None = None
+
+    def root(self) -> Group:
+        g = self
+        while g.to is not None:
+            if g.to.to is not None:
+                g.to = g.to.to
+            g = g.to
+        return g
+
+
+class Depths:
+    """Groups above depth 0 in one mode, the deepest first: they move together, so only ``shift`` changes."""
+
+    def __init__(self) -> None:
+        self.shift, self.items = 0, []
+
+    def joined(self, other: Depths) -> Depths:
+        """Both, the smaller put into the larger; groups of one depth become one."""
+        few, many = (self, other) if len(self.items) < len(other.items) else (other, self)
+        for k, g in few.items:
+            k += few.shift - many.shift
+            at = bisect.bisect_left(many.items, -k, key=lambda x: -x[0])
+            if at < len(many.items) and many.items[at][0] == k:
+                g.to = many.items[at][1]
+            else:
+                many.items.insert(at, (k, g))
+        return many
+
+
 class Transition:
     """What a stretch of text does to every state in which it could be met.
 
     ``far``: per mode, the change of depth and the mode at the end if the scan never comes back to depth 0. A stretch
-    that can close d objects is met by less than that, too: ``near`` has, per mode and d, the state at the end of a scan
-    that is at depth 0 behind the brace that closes them. Scans that are in one state go on as one.
+    that can close d objects is met by less than that, too: ``near`` has, per mode and run of d (its last one), the group
+    of a scan that is at depth 0 behind the brace that closes them. Scans that are in one state go on as one, so a mark
+    costs the same however many objects came before it.
     """
 
     def __init__(self) -> None:
         self.far = {m: (0, m) for m in (PLAIN, QUOTED, SKIP)}
         self.least = dict.fromkeys(self.far, 0)
-        self.near: dict[tuple[int, int], tuple[int, int]] = {}
-        self.ground: dict[tuple[int, int], list] = {(0, PLAIN): [(PLAIN, 0)]}
+        self.near: dict[int, list[tuple[int, Group]]] = {m: [] for m in self.far}
+        self.start = Group()
+        self.ground: Group | None = self.start
+        self.inside = {m: Depths() for m in self.far}
+
+    def _meet(self, mode: int, d: int) -> None:
+        """A scan that closed ``d`` objects since the stretch began joins those at depth 0."""
+        runs = self.near[mode]
+        if self.ground is None:
+            self.ground = Group()
+        while len(runs) > 1 and runs[-1][1].root() is runs[-2][1].root():
+            runs[-2:] = [runs[-1]]
+        if runs and runs[-1][1].root() is self.ground:
+            runs.pop()
+        runs.append((d, self.ground))
+
+    def _move(self, mark: str, adjacent: bool) -> None:
+        plain, quoted, skip, kept = *self.inside.values(), None
+        if skip.items:
+            if adjacent:
+                kept = skip
+            else:
+                quoted = quoted.joined(skip)
+            skip = Depths()
+        if mark == '"':
+            plain, quoted = quoted, plain
+        elif mark == "\\":
+            quoted, skip = skip, quoted
+        elif mark == "{":
+            plain.shift += 1
+            if self.ground is not None:
+                plain.items.append((1 - plain.shift, self.ground))
+                self.ground = None
+        else:
+            plain.shift -= 1
+            if plain.items and plain.items[-1][0] + plain.shift == 0:
+                g = plain.items.pop()[1]
+                if self.ground is None:
+                    self.ground = g
+                else:
+                    g.to = self.ground
+        self.inside = {PLAIN: plain, QUOTED: quoted.joined(kept) if kept else quoted, SKIP: skip}
 
     def take(self, text: str) -> None:
         last = -1
         for found in _MARKS.finditer(text):
             mark, adjacent = found[0], found.start() == last + 1
             last = found.start()
-            moved: dict[tuple[int, int], list] = {}
-            for (depth, mode), origins in self.ground.items():
-                moved.setdefault(stepped(depth, mode, mark, adjacent, True), []).extend(origins)
+            self._move(mark, adjacent)
             for m, (depth, mode) in self.far.items():
                 self.far[m] = depth, mode = stepped(depth, mode, mark, adjacent, False)
                 if depth < self.least[m]:
                     self.least[m] = depth
-                    moved.setdefault((0, PLAIN), []).append((m, -depth))
-            self.ground = moved
+                    self._meet(m, -depth)
         if last < len(text) - 1:  # a backslash has skipped the character behind it
             self.far = {m: (d, QUOTED if mode == SKIP else mode) for m, (d, mode) in self.far.items()}
-            rested: dict[tuple[int, int], list] = {}
-            for (d, mode), origins in self.ground.items():
-                rested.setdefault((d, QUOTED if mode == SKIP else mode), []).extend(origins)
-            self.ground = rested
+            if self.inside[SKIP].items:
+                self.inside = {PLAIN: self.inside[PLAIN], QUOTED: self.inside[QUOTED].joined(self.inside[SKIP]), SKIP: Depths()}
 
     def table(self) -> dict:
-        near = {f"{m},{d}": state for state, origins in self.ground.items() for m, d in origins}
-        return {"far": list(self.far.values()), "least": list(self.least.values()), "near": near}
+        state = {id(g): (k + x.shift, m) for m, x in self.inside.items() for k, g in x.items}
+        if self.ground is not None:
+            state[id(self.ground)] = (0, PLAIN)
+        near = []
+        for runs in self.near.values():
+            ends: list[tuple] = []
+            for d, g in runs:
+                if ends and ends[-1][1:] == state[id(g.root())]:
+                    ends.pop()
+                ends.append((d, *state[id(g.root())]))
+            near.append(ends)
+        return {"far": list(self.far.values()), "least": list(self.least.values()), "start": state[id(self.start.root())], "near": near}
 
 
 def after(table: dict, depth: int, mode: int) -> tuple[int, int, bool]:
     """The state behind a stretch met in a state, and whether the scan was at depth 0 in it or before it."""
     if depth == 0:
-        return (*table["near"][f"{PLAIN},0"], True)
+        return (*table["start"], True)
     if depth <= -table["least"][mode]:
-        return (*table["near"][f"{mode},{depth}"], True)
+        runs = table["near"][mode]
+        return (*runs[bisect.bisect_left(runs, depth, key=lambda x: x[0])][1:], True)
     change, end = table["far"][mode]
     return depth + change, end, False
 

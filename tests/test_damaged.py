@@ -55,3 +55,30 @@ def test_files_in_many_splits(spark, tmp_path, size):
         got.setdefault(x.file.split("/")[-1], []).append(x.json)
     assert got == {k: v for k, v in want.items() if v}
     assert splits > 60 or size != "40b"
+
+
+def test_a_mark_costs_the_same_however_many_objects_came_before():
+    scan = damaged.Transition()
+    for i in range(2000):  # each row closes one object more than it opens, and leaves a string open
+        scan.take(f'junk }} " {{"doc_id": {i}, "text": "words"}}, {{"doc_id": {i}}} tail }}"\n')
+    table = scan.table()
+    assert min(table["least"]) < -1000
+    assert sum(map(len, table["near"])) < 20
+    # the scans still apart: at depth 0, or in one of the three modes
+    assert sum(len(x.items) for x in scan.inside.values()) < 5
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_deep_states_equal_the_scan(seed):
+    r = random.Random(seed)
+    marks = r.choice(['"\\{}', '{}"', '{}}"', '"\\{{}x'])
+    scan, lines = damaged.Transition(), ["".join(r.choice(marks) for _ in range(r.randrange(30))) for _ in range(3)]
+    for line in lines:
+        scan.take(line + "\n")
+    table = scan.table()
+    for mode in (damaged.PLAIN, damaged.QUOTED, damaged.SKIP):
+        for depth in range(1, 60):
+            d, m = depth, mode
+            for line in lines:
+                _, d, m = damaged.pieces(line + "\n", d, m)
+            assert damaged.after(table, depth, mode)[:2] == (d, m)
