@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from evalspark.functions.text import strip, unquoted
 from evalspark.operators.integrity import require_empty
 from evalspark.operators.order import numbered as placed_rows
+from evalspark.sources.damaged import PLAIN, pieces
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -53,42 +54,34 @@ def run_history(spark: SparkSession, root: str, name: str, schema: T.StructType)
 def objects_in(text: str) -> list[str]:
     """JSON objects of a damaged text: several on a line or one over many, raw line ends in strings escaped, what lies
     between them left out."""
-    out, depth, part, quoted, skip = [], 0, [], False, False
-    for ch in text:
-        if depth == 0 and ch != "{":
-            continue
-        if quoted and ch in "\n\r\t":
-            part.append({"\n": "\\n", "\r": "\\r", "\t": "\\t"}[ch])
-            skip = False
-            continue
-        part.append(ch)
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = ch == "\\", ch != '"'
-        elif ch == '"':
-            quoted = True
-        elif ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if depth == 0:
-                out.append("".join(part))
-                part = []
-    return out
+    return [part for part, _, ends in pieces(text, 0, PLAIN)[0] if ends]
 
 
-def salvaged(texts: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
-    """A row per JSON object found in each text: ``keys``, its place and its JSON."""
+#: Characters of JSON that a task holds before it hands them on.
+SALVAGED = 1 << 20
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = b[text].map(lambda t: objects_in(t or ""))
-            out = b[list(keys)].loc[b.index.repeat(found.str.len())].reset_index(drop=True)
-            yield out.assign(place=[i for f in found for i in range(len(f))], json=[x for f in found for x in f])
+def salvaged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The objects in the texts of the last column, a row each, with the other columns and their places."""
+    for batch in batches:
+        texts, size = batch.column(batch.num_columns - 1), 0
+        rows, places, found = [], [], []
+        for r in range(len(batch)):
+            objects = objects_in(texts[r].as_py() or "")
+            rows.extend([r] * len(objects))
+            places.extend(range(len(objects)))
+            found.extend(objects)
+            size += sum(map(len, objects))
+            if rows and (size >= SALVAGED or r == len(batch) - 1):
+                keys = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(places, pa.int64()), pa.array(found, pa.string())], names=[*batch.schema.names[:-1], "place", "json"])
+                rows, places, found, size = [], [], [], 0
 
+
+def salvaged(texts: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """A row per JSON object found in each text: ``keys``, its place and its JSON."""
     fields = [texts.schema[k] for k in keys]
-    return texts.select(*keys, text).mapInPandas(run, T.StructType([*fields, T.StructField("place", T.LongType()), T.StructField("json", T.StringType())]))
+    return texts.select(*keys, text).mapInArrow(salvaged_rows, T.StructType([*fields, T.StructField("place", T.LongType()), T.StructField("json", T.StringType())]))
 
 
 QUESTION = "struct<id:string,question:string,nonsensical_element:string,domain:string,domain_group:string,difficulty:string,technique:string,is_control:boolean>"

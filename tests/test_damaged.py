@@ -2,8 +2,9 @@
 
 import random
 
+import pyarrow as pa
 import pytest
-from evalspark.sources import damaged
+from evalspark.sources import damaged, files
 from evalspark.sources.files import objects_in
 
 
@@ -82,3 +83,47 @@ def test_deep_states_equal_the_scan(seed):
             for line in lines:
                 _, d, m = damaged.pieces(line + "\n", d, m)
             assert damaged.after(table, depth, mode)[:2] == (d, m)
+
+
+def by_characters(text):
+    out, depth, part, quoted, skip = [], 0, [], False, False
+    for ch in text:
+        if depth == 0 and ch != "{":
+            continue
+        if quoted and ch in "\n\r\t":
+            part.append({"\n": "\\n", "\r": "\\r", "\t": "\\t"}[ch])
+            skip = False
+            continue
+        part.append(ch)
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = ch == "\\", ch != '"'
+        elif ch == '"':
+            quoted = True
+        elif ch == "{":
+            depth += 1
+        elif ch == "}":
+            depth -= 1
+            if depth == 0:
+                out.append("".join(part))
+                part = []
+    return out
+
+
+@pytest.mark.parametrize("seed", range(100))
+def test_objects_equal_a_scan_by_characters(seed):
+    r = random.Random(seed)
+    for _ in range(20):
+        text = text_of(r, r.randrange(40)) if seed % 2 else "".join(r.choice('"\\{}x\n\r\t') for _ in range(r.randrange(60)))
+        assert objects_in(text) == by_characters(text)
+
+
+def test_salvaged_rows_come_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(files, "SALVAGED", 10_000)
+    texts = [f'junk }} {{"n": {i}, "t": "{"x" * 100}\n"}}, {{"m": {i}}} tail {{' for i in range(3000)] + [None, "", '{"t": "' + "y" * 50_000 + '"}']
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["k", "text"])
+    out = list(files.salvaged_rows(iter([batch, batch.slice(0, 0)])))
+    got = [(x["k"], x["place"], x["json"]) for b in out for x in b.to_pylist()]
+    assert got == [(i, p, x) for i, t in enumerate(texts) for p, x in enumerate(by_characters(t or ""))]
+    assert len(out) > 30 and all(sum(map(len, b.column("json").to_pylist()[:-2])) < 10_000 for b in out)
