@@ -16,36 +16,54 @@ from evalspark.llm.near_dup import mixed
 SHORT = 12
 #: Ratio of neighbouring length classes; parts of a line in the two blocking passes.
 RATIO, COARSE, FINE = 1.125, 2, 8
+#: What counts as white space.
+SPACES = " \t\n\v\f\r"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(line: Column) -> Column:
     """What is compared: lower case, white space runs as one space, trimmed."""
-    # most lines hold single spaces only and match nowhere
-    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[^\S ]", " "))
+    low = F.lower(line)
+    # most lines hold single spaces only: a search for bytes costs far less than the pattern, which matches nowhere
+    spaced = low.contains("  ")
+    for c in SPACES[1:]:
+        spaced |= low.contains(c)
+    return F.trim(F.when(spaced, F.regexp_replace(low, r"\s{2,}|[^\S ]", " ")).otherwise(low))
 
 
-def length_classes(n: Column) -> Column:
-    """Classes of n and n-1: lines whose lengths differ by one share at least one class."""
-    of = lambda x: F.floor(F.log(x.cast("double")) / float(np.log(RATIO))).cast("int")
-    return F.array_compact(F.array_distinct(F.array(of(n), F.when(n > 1, of(n - 1)))))
+def blank(line: Column) -> Column:
+    """Whether nothing is left of the normal form, without making it."""
+    return F.ltrim(line, F.lit(SPACES)) == ""
 
 
-def block_keys(line: Column, parts: int) -> Column:
-    """Keys such that any two lines within one edit share one: all but one of ``parts`` pieces, the first ones counted
-    from the line's start and the others from its end. With each key, the places [lo, hi) that it leaves open."""
-    n = F.length(line)
+def length_class(n: Column) -> Column:
+    """The class of a length. Lines whose lengths differ by one share a class of n or n-1."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(RATIO))).cast("int")
 
-    def keys(c: Column) -> Column:
-        piece = F.floor(F.floor(F.pow(F.lit(RATIO), c.cast("double"))) / parts).cast("int")
+
+def block_keys(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` with ``keys`` of their ``line``, such that any two lines within one edit share one: all but one of
+    ``parts`` pieces, the first ones counted from the line's start and the others from its end. With each key, the places
+    [lo, hi) that it leaves open.
+
+    Written out instead of as a lambda over the classes, which Spark would interpret for every line.
+    """
+    n, kept = F.col("__n"), [F.col(f"`{c}`") for c in rows.columns]
+    sized = rows.select(*kept, F.length("line").alias("__n"))
+    sized = sized.select(*kept, n, length_class(n).alias("__c0"), F.when(n > 1, length_class(n - 1)).alias("__c1"))
+    size = lambda c: F.floor(F.floor(F.pow(F.lit(RATIO), F.col(c).cast("double"))) / parts).cast("int")
+    sized = sized.select(*kept, n, "__c0", "__c1", size("__c0").alias("__p0"), size("__c1").alias("__p1"))
+
+    def of(c: str, piece: Column) -> Column:
         one = lambda i: F.struct(
-            F.xxhash64(c, F.lit(i), F.substring(line, F.lit(1), piece * i), F.substring(line, n - piece * (parts - 1 - i) + 1, piece * (parts - 1 - i))).alias("key"),
+            F.xxhash64(c, F.lit(i), F.substring("line", F.lit(1), piece * i), F.substring("line", n - piece * (parts - 1 - i) + 1, piece * (parts - 1 - i))).alias("key"),
             (piece * i).alias("lo"),
             (n - piece * (parts - 1 - i)).alias("hi"),
         )
         return F.array(*[one(i) for i in range(parts)])
 
-    return F.flatten(F.transform(length_classes(n), keys))
+    first = of("__c0", F.col("__p0"))
+    return sized.select(*kept, F.when(F.col("__c1") != F.col("__c0"), F.concat(first, of("__c1", F.col("__p1")))).otherwise(first).alias("keys"))
 
 
 def deletion_variants(lines: DataFrame) -> DataFrame:
@@ -99,11 +117,9 @@ def without(lines: Column, drop: Column) -> Column:
 def repeated_lines(docs: DataFrame, short: int) -> DataFrame:
     """``id``, ``node`` and ``drop`` (ascending line numbers) of the rows of ``id``, ``node``, ``text`` with repeats."""
     each = docs.select("id", "node", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    each = each.select("id", "node", "pos", normal(F.col("raw")).alias("line")).filter("line <> ''")
-    at = F.struct("id", "node", "pos").alias("at")
-    long = F.length("line") >= short
-    coarse = F.when(long, F.transform(block_keys(F.col("line"), COARSE), lambda k: k["key"])).alias("keys")
-    seen = stored(each.select(at, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), coarse), "lines")
+    each = each.filter(~blank(F.col("raw"))).select(F.struct("id", "node", "pos").alias("at"), normal(F.col("raw")).alias("line"))
+    coarse = F.when(F.length("line") >= short, F.col("keys")["key"]).alias("keys")
+    seen = stored(block_keys(each, COARSE).select("at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), coarse), "lines")
     n = seen.count()
     distinct = stored(seen.groupBy("h", "g").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys")), "distinct_lines", n)
 
@@ -116,7 +132,7 @@ def repeated_lines(docs: DataFrame, short: int) -> DataFrame:
     lines = lines.select(F.struct("id", "node", F.col("x.pos").alias("pos")).alias("at"), normal(F.col("x.raw")).alias("line")).dropDuplicates(["at"])
     lines = stored(lines, "near_lines", n)
 
-    fine = lines.select("at", F.explode(block_keys(F.col("line"), FINE)).alias("k")).select("at", "k.*")
+    fine = block_keys(lines, FINE).select("at", F.explode("keys").alias("k")).select("at", "k.*")
     shared = fine.groupBy("key").count().filter("count > 1").select("key")
     spans = fine.join(shared, "key").groupBy("at").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     variants = stored(deletion_variants(lines.join(spans, "at")), "variants")

@@ -1,7 +1,9 @@
+import random
 import re
 import time
 
 import pytest
+from evalspark.llm import line_dedup
 from evalspark.llm.line_dedup import SHORT, dedup_lines, with_lines, without
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -104,3 +106,21 @@ def test_a_large_group_keeps_one_line(spark, n):
     rows = [(i, line[: i % 40] + ("#" if i else "") + line[i % 40 + (i % 2) :]) for i in range(n)]
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("text <> ''").collect()
     assert {r.doc_id for r in got} == {0}
+
+
+def test_normal_and_blank_of_odd_white_space(spark):
+    r = random.Random(5)
+    odd = ["".join(r.choice(" \t\n\v\f\r  aBÉİ\u00a0\u0085\u2003") for _ in range(r.randrange(8))) for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in odd], "x string").select("x", line_dedup.normal(F.col("x")).alias("n"), line_dedup.blank(F.col("x")).alias("b")).collect()
+    assert [(x.x, x.n, x.b) for x in rows] == [(x, normal(x), normal(x) == "") for x in odd]
+
+
+def test_keys_are_compiled_and_shared_within_one_edit(spark):
+    r = random.Random(6)
+    lines = ["".join(r.choice("abc é") for _ in range(n)) for n in range(1, 120)]
+    near = [x[: len(x) // 2] + y + x[len(x) // 2 + k :] for x in lines for y, k in (("z", 0), ("z", 1), ("", 1))]
+    for parts in (line_dedup.COARSE, line_dedup.FINE):
+        keyed = line_dedup.block_keys(spark.createDataFrame([(x,) for x in [*lines, *near]], "line string"), parts)
+        assert "lambda" not in keyed._jdf.queryExecution().executedPlan().toString()
+        keys = {x.line: {k.key for k in x.keys} for x in keyed.collect()}
+        assert all(keys[x] & keys[y] for i, x in enumerate(lines) for y in near[3 * i : 3 * i + 3] if y)
