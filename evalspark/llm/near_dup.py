@@ -395,6 +395,16 @@ def may_reach(least: float) -> Column:
     return behind >= (F.col("na") + F.col("nb")) * F.lit(least / (1 + least)) - F.lit(1e-6)
 
 
+def agreeing(rows: DataFrame, least: float) -> DataFrame:
+    """The pairs (``a`` < ``b``) of nodes of ``rows`` (token, node, label, n, at, sketch) that share a token, differ in label,
+    may reach ``least`` and agree in AGREE sketches. All of it is the join's own condition, so that a group's pairs are
+    counted off where they meet and only candidates leave the join."""
+    side = lambda s: rows.select("token", *[F.col(c).alias(x) for c, x in (("node", s), ("label", f"l{s}"), ("n", f"n{s}"), ("at", f"at{s}"), ("sketch", f"s{s}"))])
+    # written out: a lambda over both arrays would be interpreted for every pair
+    agree = sum(((F.col("sa")[i] == F.col("sb")[i]).cast("int") for i in range(SKETCHES)), F.lit(0))
+    return side("a").join(side("b"), "token").filter(F.expr("a < b and la <> lb") & may_reach(least) & (agree >= AGREE)).select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (``a``, ``b``) of nodes whose texts align with at least ``least``."""
 
@@ -476,10 +486,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFr
     m = tokens.count()
     mixed = stored(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("token", "size"), "mixed", m)
     sides = stored(tokens.join(mixed, "token"), "sides", m)
-    side = lambda s: sides.filter(F.col("size") <= PAIRED).select("token", *[F.col(c).alias(x) for c, x in (("node", s), ("label", f"l{s}"), ("n", f"n{s}"), ("at", f"at{s}"))])
-    rest = side("a").join(side("b"), "token").filter(F.expr("a < b and la <> lb") & may_reach(least)).select("a", "b").distinct()
+    small = stored(sides.filter(F.col("size") <= PAIRED).join(open_.select("node", "sketch"), "node"), "small", m)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(few(verified(_likely(rest.join(tried, ["a", "b"], "left_anti"), nodes, least), texts, least)), "links")
+    pairs = stored(few(verified(agreeing(small, least).join(tried, ["a", "b"], "left_anti"), texts, least)), "links")
     large = sides.filter(F.col("size") > PAIRED).select("token", "node").join(open_, "node")
     more = pairs.unionByName(stored(few(block_links(in_blocks(large), least)), "links"))
     label = components(found.unionByName(more), n)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from evalspark.llm import near_dup
 from evalspark.llm.near_dup import Sketcher, aligned_likeness, banded_common, keep_one, may_reach, near_duplicates
 from evalspark.llm.queries import op8_order_minhash_near_dup
 
@@ -104,3 +105,22 @@ def test_hard_rows_and_empty_table(hard, nothing):
     one = keep_one(hard)
     assert one.columns == hard.columns and one.count() == len({(r.class_id, r.node if r.class_id is None else 0) for r in rows})
     assert near_duplicates(nothing).count() == 0 and keep_one(nothing).count() == 0
+
+
+def test_only_candidates_leave_the_join(spark):
+    r = random.Random(3)
+    rows = []
+    for k in range(60):
+        sketch = [r.randrange(1, 1 << 60) for _ in range(16)]
+        for node in (2 * k, 2 * k + 1):  # agree in k % 4 sketches
+            mine = [x if i < k % 4 else r.randrange(1, 1 << 60) for i, x in enumerate(sketch)]
+            rows += [(t, node, node % 3, 100, at, mine) for t, at in ((k % 7, 0), (100 + k, 1 if k % 5 else 90))]
+    df = spark.createDataFrame(rows, "token long, node long, label long, n long, at long, sketch array<long>")
+    agree = lambda x, y: sum(p == q for p, q in zip(x[5], y[5], strict=True)) >= 2
+    may = lambda x, y: min(x[3] - x[4], y[3] - y[4]) >= (x[3] + y[3]) * 0.8 / 1.8 - 1e-6
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2] and may(x, y) and agree(x, y)}
+    out = near_dup.agreeing(df, 0.8)
+    assert {(x.a, x.b) for x in out.collect()} == want and len(want) > 10
+    # the agreement is part of the join itself
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x]
+    assert len(joins) == 1 and "sa#" in joins[0] and "sb#" in joins[0]
